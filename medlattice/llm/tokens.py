@@ -27,10 +27,13 @@ from medlattice.llm.common import read, scratch_path, slices
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_TOKENS = 1 << 19
-CACHED_PIECES = 600_000
+CACHED_PIECES = 1_200_000
 #: Unicode White_Space, fixed by the standard.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECE = f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]"
+PUNCTUATION = r"!-&(-/:-@\[-`{-~"  # ASCII without the apostrophe, which starts pre-tokens like 's
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A run of letters before punctuation, white space or the end; punctuation before white space or the end; any other run without white space; white space.
+PIECE = f" ?[{LETTERS}]+(?=[{PUNCTUATION}{WHITE}]|\\Z)|[{PUNCTUATION}]+(?=[{WHITE}]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]"
 
 
 def vocabulary_path() -> str:
@@ -48,21 +51,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        if self.t.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of the vocabulary need more than 16 bits")
         self.t.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cut, self.cached, self.known = re.compile(PIECE).findall, cached, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian uint32 ids, without an end."""
+        """Little-endian uint16 ids, without an end."""
+        from array import array
+
         pieces = [self.cut(t) if t else [] for t in texts]
         known = self.known
-        new = list({p for ps in pieces for p in ps if p not in known})
-        for i in range(0, len(new), 10_000):
-            for p, e in zip(new[i : i + 10_000], self.t.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False)):
-                known[p] = b"".join(x.to_bytes(4, "little") for x in e.ids)
-        out = [b"".join(map(known.__getitem__, ps)) for ps in pieces]
         if len(known) > self.cached:
             known.clear()
-        return out
+        new = list(set().union(*pieces).difference(known))
+        for i in range(0, len(new), 10_000):
+            for p, e in zip(new[i : i + 10_000], self.t.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False)):
+                known[p] = array("H", e.ids).tobytes()
+        of = known.__getitem__
+        return [b"".join(map(of, ps)) for ps in pieces]
+
+
+#: One encoder for each vocabulary in a Python worker: what a task has cached serves the next one.
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _tokenize(path: str, end: int):
@@ -70,18 +81,17 @@ def _tokenize(path: str, end: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         import pyarrow as pa
 
-        encoder = Encoder(path)
-        tail = end.to_bytes(4, "little")
-        for batch in slices(batches, 2_000_000):
+        from medlattice.llm import tokens  # the worker's module: this function's own globals are a copy
+
+        if path not in tokens._ENCODERS:
+            tokens._ENCODERS[path] = Encoder(path)
+        encoder, tail = tokens._ENCODERS[path], end.to_bytes(2, "little")
+        for batch in slices(batches, 8_000_000):
             ids = [b + tail for b in encoder.encode(batch.column("text").to_pylist())]
-            small = [np.frombuffer(b, dtype="<u4") for b in ids]
-            if any(a.max() > 0xFFFF for a in small):
-                raise ValueError("ids of the vocabulary need more than 16 bits")
-            packed = [pa.compress(a.astype("<u2").tobytes(), codec="zstd", asbytes=True) for a in small]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(a) for a in small], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "ids"])
+            packed = [pa.compress(b, codec="zstd", asbytes=True) for b in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "ids"])
 
     return run
 
@@ -99,8 +109,9 @@ def _count(batches):
 
     counts = np.zeros(1 << 16, dtype=np.int64)
     for batch in batches:
-        for n, b in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist()):
-            counts += np.bincount(_unpack(n, b), minlength=1 << 16)
+        rows = list(zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist()))
+        for i in range(0, len(rows), 1000):
+            counts += np.bincount(np.concatenate([_unpack(n, b) for n, b in rows[i : i + 1000]]), minlength=1 << 16)
     seen = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["id", "n"])
 
