@@ -78,9 +78,11 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def _tokenize(path: str, end: int):
     def run(batches):
+        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         import pyarrow as pa
 
         from medlattice.llm import tokens  # the worker's module: this function's own globals are a copy
@@ -88,10 +90,16 @@ def _tokenize(path: str, end: int):
         if path not in tokens._ENCODERS:
             tokens._ENCODERS[path] = Encoder(path)
         encoder, tail = tokens._ENCODERS[path], end.to_bytes(2, "little")
-        for batch in slices(batches, 8_000_000):
-            ids = [b + tail for b in encoder.encode(batch.column("text").to_pylist())]
-            packed = [pa.compress(b, codec="zstd", asbytes=True) for b in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "ids"])
+        gc.disable()  # millions of strings in lists and no cycles
+        try:
+            for batch in slices(batches, 8_000_000):
+                ids = [b + tail for b in encoder.encode(batch.column("text").to_pylist())]
+                packed = [pa.compress(b, codec="zstd", asbytes=True) for b in ids]
+                counts = np.bincount(np.frombuffer(b"".join(ids), dtype="<u2"), minlength=1 << 16).astype("<u4").tobytes()
+                counts = [*[None] * (len(ids) - 1), pa.compress(counts, codec="zstd", asbytes=True)]  # of the slice, in its last row
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "n", "ids", "counts"])
+        finally:
+            gc.enable()
 
     return run
 
@@ -109,9 +117,8 @@ def _count(batches):
 
     counts = np.zeros(1 << 16, dtype=np.int64)
     for batch in batches:
-        rows = list(zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist()))
-        for i in range(0, len(rows), 1000):
-            counts += np.bincount(np.concatenate([_unpack(n, b) for n, b in rows[i : i + 1000]]), minlength=1 << 16)
+        for b in batch.column("counts").to_pylist():
+            counts += np.frombuffer(pa.decompress(b, 4 << 16, codec="zstd", asbytes=True), dtype="<u4")
     seen = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["id", "n"])
 
@@ -145,7 +152,7 @@ def _pack(tables, block_tokens: int):
     return run
 
 
-def _decode(tables):
+def _decode(tables, with_ids: bool):
     def run(batches):
         import zlib
 
@@ -162,9 +169,11 @@ def _decode(tables):
                 if batch.column("n_tokens")[row].as_py() != len(tokens):
                     raise ValueError("a block has other tokens than its row says")
                 starts = ends - block.lengths + batch.column("first")[row].as_py()
-                docs = np.split(tokens, ends[:-1])
+                docs, raw = np.split(tokens, ends[:-1]), pa.nulls(len(ends), pa.binary())
+                if with_ids:
+                    raw = pa.array([d.tobytes() for d in docs], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block.doc_ids, pa.int64()), pa.array(starts), pa.array(block.lengths), pa.array([zlib.crc32(d.tobytes()) for d in docs], pa.int64()), pa.array([d.tobytes() for d in docs], pa.binary())],
+                    [pa.array(block.doc_ids, pa.int64()), pa.array(starts), pa.array(block.lengths), pa.array([zlib.crc32(d) for d in docs], pa.int64()), raw],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
@@ -178,23 +187,23 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     spark = docs.sparkSession
     import numpy as np
 
-    schema = "doc_id bigint, n bigint, ids binary"
+    schema = "doc_id bigint, n bigint, ids binary, counts binary"
     held = scratch_path(spark, "token-ids")
     docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_tokenize(vocabulary or vocabulary_path(), end_id), schema).write.option("compression", "none").parquet(held)
     ids = spark.read.schema(schema).parquet(held)
     counts = np.zeros(1 << 16, dtype=np.int64)  # a row for each id of the vocabulary at most
-    for r in ids.mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in ids.select("counts").filter("counts is not null").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     freq = rans.frequencies(counts)
     seen = np.flatnonzero(freq).tolist()
     spark.createDataFrame([(i, int(freq[i])) for i in seen], "id bigint, frequency bigint").coalesce(1).write.parquet(f"{path}/table")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
+    ordered = ids.drop("counts").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
     ordered.mapInArrow(_pack(spark.sparkContext.broadcast(freq), block_tokens), "part bigint, block bigint, n_tokens bigint, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian uint32) of every document, decoded and verified."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, unless they aren't wanted, ids (little-endian uint32) of every document, decoded and verified."""
     import numpy as np
 
     freq = np.zeros(1 << 16, dtype=np.int64)
@@ -207,7 +216,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     inside = places.select("part", "block", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("block")) - F.col("n_tokens")).alias("at"))
     first = inside.join(before, "part").select("part", "block", (F.col("at") + F.col("base")).alias("first"))
     placed = blocks.join(F.broadcast(first) if _small(first) else first, ["part", "block"])
-    return placed.select("first", "n_tokens", "data").mapInArrow(_decode(spark.sparkContext.broadcast(freq)), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    return placed.select("first", "n_tokens", "data").mapInArrow(_decode(spark.sparkContext.broadcast(freq), with_ids), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
 
 
 def _small(first: DataFrame, rows: int = 1_000_000) -> bool:
@@ -220,7 +229,7 @@ def token_digests(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
     write_tokens(docs, path)
-    return read_tokens(spark, path).drop("ids")
+    return read_tokens(spark, path, with_ids=False).drop("ids")
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
