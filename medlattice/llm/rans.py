@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 
 SCALE = 20
-LANES = 1024
+LANES = 2048
 STEPS = 128
 MAGIC = b"RNS1"
 _HEAD = struct.Struct("<4sIIQIII")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from medlattice.llm import decontaminate, mixing, quality, secrets, tokens, urls
+from medlattice.llm import decontaminate, html, mixing, quality, secrets, tokens, urls
 
-MODULES = (quality, decontaminate, secrets, tokens, urls, mixing)
+MODULES = (quality, decontaminate, secrets, tokens, html, urls, mixing)
 
 
 def queries() -> dict:
