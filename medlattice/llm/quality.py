@@ -83,7 +83,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
     )
     counted = cut.select(
-        *[quoted(c) for c in cut.columns if not c.startswith("_")],
+        *[quoted(c) for c in cut.columns if c not in ("_words", "_lines")],
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.size("_lines").cast("long").alias("n_lines"),
@@ -150,9 +150,9 @@ def judge(measured: DataFrame, sketch: DataFrame, **options) -> DataFrame:
 def apply_rules(docs: DataFrame, **options) -> DataFrame:
     """docs that the rules keep, with docs' own columns."""
     own = F.struct(*[quoted(c) for c in docs.columns])
-    marked = docs.select(own.alias("_row"), "text", "lang", "source")
+    marked = docs.select(own.alias("kept_row"), "text", "lang", "source")
     sketch = table(sketches(features(docs.select("text", "lang", "source"))), "quality-sketch")
-    return judge(features(marked), sketch, **options).filter("kept").select("_row.*")
+    return judge(features(marked), sketch, **options).filter("kept").select("kept_row.*")
 
 
 BASE = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from medlattice.llm import decontaminate, html, jaccard, mixing, quality, secrets, tokens, urls
+from medlattice.llm import decontaminate, html, jaccard, katz, line_dedup, mixing, quality, secrets, tokens, urls
 
-MODULES = (quality, decontaminate, jaccard, secrets, tokens, html, urls, mixing)
+MODULES = (quality, decontaminate, katz, secrets, tokens, line_dedup, jaccard, html, urls, mixing)
 
 
 def queries() -> dict:
