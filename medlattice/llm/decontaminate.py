@@ -96,7 +96,7 @@ def _scanner(index, columns: list[str]):
 
         class Ids(dict):
             def __missing__(self, word):
-                if len(self) > 1_000_000:
+                if len(self) > 300_000:
                     self.clear()
                 got = self[word] = vocabulary.get(word.translate(LOWER), 0)
                 return got

@@ -18,10 +18,14 @@ empty, one of them isn't. Every document goes to one region for each part
 1. the least document is the region's pivot; distances to it are computed
    exactly, each pair once;
 2. linked documents join components; a region that lies in one component is done;
-3. otherwise the region is joined again: of every component but its largest
-   the least document that hasn't been one becomes a pivot (at most PIVOTS a
-   round), whose distances are computed to the documents of other components
-   that the triangle inequality over the first pivot doesn't exclude. This
+3. otherwise the region is joined again. Regions of at most SMALL documents are
+   compared in one task by parity sketches (the distance of two sketches never
+   exceeds the sets' symmetric difference, so only pairs that can't link are
+   left out), and what is left between components is computed exactly;
+4. in larger regions, of every component but its largest the least document
+   that hasn't been one becomes a pivot (at most PIVOTS a round), whose
+   distances are computed to the documents of other components that neither
+   the triangle inequality over the first pivot nor the sketches exclude. This
    goes on until each region is done.
 
 So a group of n copies costs n distances for each pivot and never n * n pairs,
@@ -46,6 +50,8 @@ N = 3
 PERCENT = 90
 SPARE = 2
 PIVOTS = 8
+SMALL = 4096
+SKETCH_BITS = 512
 LOWER = {c: c + 32 for c in range(65, 91)}
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -67,7 +73,7 @@ class Grams:
 
         class Words(dict):
             def __missing__(self, word):
-                if len(self) > 500_000:
+                if len(self) > 200_000:
                     self.clear()
                 got = self[word] = xxhash.xxh64_intdigest(word.translate(LOWER).encode("utf-8", "surrogatepass"))
                 return got
@@ -125,6 +131,70 @@ def signatures(grams, bounds, percent: int, salt: int):
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
+def sketch(grams) -> list[int]:
+    """Parities of the n-grams that hash to each of SKETCH_BITS bits."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        at = (_mix(grams ^ np.uint64(_M2)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
+def _small_regions(percent: int):
+    """Pairs of different components in each region that sizes and sketches don't exclude; rows come sorted by key."""
+
+    def close(x, n, comp, bits):
+        import numpy as np
+
+        order = np.argsort(n, kind="stable")
+        x, n, comp, bits = x[order], n[order], comp[order], bits[order]
+        for i in range(len(x) - 1):
+            to = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+            js = np.arange(i + 1, to)
+            js = js[comp[js] != comp[i]]
+            if len(js):
+                apart = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                js = js[apart * (100 + percent) <= (100 - percent) * (n[js] + n[i])]
+                for j in js.tolist():
+                    yield (int(x[i]), int(x[j])) if x[i] > x[j] else (int(x[j]), int(x[i]))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rows, key, found, sent = [], None, [], set()
+
+        def done():
+            if len(rows) > 1:
+                x, n, comp, raw = zip(*rows)
+                bits = np.array(raw, dtype=np.int64).view(np.uint64)
+                for pair in close(np.array(x), np.array(n), np.array(comp), bits):
+                    if pair not in sent:
+                        if len(sent) > 500_000:
+                            sent.clear()
+                        sent.add(pair)
+                        found.append(pair)
+            rows.clear()
+
+        def out():
+            got = pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["x", "p"])
+            found.clear()
+            return got
+
+        for batch in batches:
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "x", "n", "component", "sketch"))):
+                if k != key:
+                    done()
+                    key = k
+                rows.append(row)
+            if len(found) > 100_000:
+                yield out()
+        done()
+        yield out()
+
+    return run
+
+
 def _features(n: int, percent: int):
     def run(batches):
         import hashlib
@@ -134,12 +204,13 @@ def _features(n: int, percent: int):
 
         of, bounds, seen = Grams(n), np.array(size_bounds(1 << 16, percent)), set()
         for batch in slices(batches):
-            sizes, prints, keys = [], [], []
+            sizes, prints, keys, sketches = [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 g = of(text)
                 while len(g) >= bounds[-3]:
                     bounds = np.array(size_bounds(int(bounds[-1]) * 2, percent))
                 sizes.append(len(g))
+                sketches.append(sketch(g) if len(g) else None)
                 prints.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None)
                 if len(g) and prints[-1] not in seen:  # further copies in this task share the first one's regions
                     if doc is not None and len(seen) < 1_000_000:
@@ -149,7 +220,7 @@ def _features(n: int, percent: int):
                     keys.append(np.zeros(0, dtype=np.int64))
             lengths = np.cumsum([0, *map(len, keys)])
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)], names=["doc_id", "n", "print", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n", "print", "keys", "sketch"])
 
     return run
 
@@ -177,8 +248,8 @@ def _compare(n: int, percent: int):
 
 def _verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """pairs x, p with shared, either (sizes of intersection and union) and linked."""
-    a = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("text_x")), "x")
-    b = a.join(texts.select(F.col("node").alias("p"), F.col("text").alias("text_p")), "p")  # sorted by pivot where it is a merge join
+    a = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("text_x")).hint("merge"), "x")
+    b = a.join(texts.select(F.col("node").alias("p"), F.col("text").alias("text_p")).hint("merge"), "p")  # so sorted by pivot
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")  # each row holds two texts
     try:
@@ -192,7 +263,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, one row for each row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    feats = table(docs.mapInArrow(_features(n, percent), "doc_id bigint, n bigint, print binary, keys array<bigint>"), "jaccard-features")
+    feats = table(docs.mapInArrow(_features(n, percent), "doc_id bigint, n bigint, print binary, keys array<bigint>, sketch array<bigint>"), "jaccard-features")
     known = feats.filter("doc_id is not null and n > 0")
     nodes = table(known.groupBy("print").agg(F.min("doc_id").alias("node")), "jaccard-nodes")  # equal sets are one node
     member = known.select("doc_id", "print").join(nodes, "print")
@@ -207,9 +278,22 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     shared = entries.groupBy("key").agg(F.min("x").alias("p"), F.max("x").alias("q")).filter("p <> q").select("key", "p")
     regions = table(entries.join(shared, "key"), "jaccard-regions")
     first = as_node(as_node(regions.filter("x <> p").select("x", "p").distinct(), "x"), "p").filter("x <> p").select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
-    first = table(first, "jaccard-candidates")
-    involved = first.select(F.col("x").alias("node")).unionByName(first.select(F.col("p").alias("node"))).distinct()
-    done = _verified(spark, first, _texts(docs, involved), n, percent)
+    info = known.groupBy(F.col("doc_id").alias("node")).agg(F.min("n").alias("n"), F.max("n").alias("n2"), F.min("sketch").alias("sketch"), F.max("sketch").alias("s2"))
+    one_text = (F.col("n") == F.col("n2")) & (F.col("sketch") == F.col("s2"))  # else the sketch excludes nothing
+    info = table(info.select("node", F.when(one_text, F.col("n")).alias("n"), F.when(one_text, F.col("sketch")).alias("sketch")), "jaccard-sketches")
+
+    def possible(df: DataFrame) -> DataFrame:
+        """Pairs x, p that sizes and sketches don't exclude."""
+        a = info.select(F.col("node").alias("x"), F.col("n").alias("_nx"), F.col("sketch").alias("_sx"))
+        b = info.select(F.col("node").alias("p"), F.col("n").alias("_np"), F.col("sketch").alias("_sp"))
+        bits = F.zip_with("_sx", "_sp", lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+        apart = F.aggregate(bits, F.lit(0).cast("int"), lambda t, k: t + k.cast("int"))
+        near = apart * (100 + percent) <= (100 - percent) * (F.col("_nx") + F.col("_np"))
+        sizes = F.least("_nx", "_np") * 100 >= F.greatest("_nx", "_np") * percent
+        return df.join(a, "x").join(b, "p").filter(F.coalesce(sizes & near, F.lit(True))).select("x", "p")
+
+    first = table(possible(first), "jaccard-candidates")
+    done = _verified(spark, first, _texts(docs, _ends(first)), n, percent)
     copies = alias.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     links = copies.unionByName(done.filter("linked").select(F.col("x").alias("u"), F.col("p").alias("v")))
     found = components(links)
@@ -229,23 +313,26 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     open_ = as_node(as_node(regions, "x"), "p").distinct()
     open_ = split(labelled(open_)).filter("x <> p")
     open_ = table(distance(open_.withColumnRenamed("p", "first"), "first", "d").select("key", "x", "d"), "jaccard-open")
-    texts = None
     while True:
         now = table(split(labelled(open_.select("key", "x", "d"))), "jaccard-open")
         if now.isEmpty():
             break
-        if texts is None:
-            texts = table(_texts(docs, now.select(F.col("x").alias("node")).distinct()), "jaccard-texts")
-        per = now.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("x", "d")).alias("q"))
-        order = Window.partitionBy("key").orderBy(F.desc("c"), "component")
-        ranked = per.withColumn("k", F.row_number().over(order))
-        pivots = ranked.filter((F.col("k") > 1) & (F.col("k") <= PIVOTS + 1)).select("key", F.col("component").alias("qc"), F.col("q.x").alias("q"), F.col("q.d").alias("qd"))
+        of_key = now.groupBy("key").agg(F.count("*").alias("c"))
+        large = of_key.filter(F.col("c") > SMALL).select("key")
+        own = info.select(F.col("node").alias("x"), "n", "sketch")
+        rows = now.join(of_key.filter(F.col("c") <= SMALL).select("key"), "key").join(own, "x").select("key", "x", "n", "component", "sketch")
+        exact = rows.filter("n is not null").repartition("key").sortWithinPartitions("key").mapInArrow(_small_regions(percent), "x bigint, p bigint")
+        open_ = table(now.join(large, "key", "left_semi"), "jaccard-open")
+        pivots = _next_pivots(open_)
         near = (F.abs(F.col("d") - F.col("qd")) <= (100 - percent) / 100 + 1e-9) | F.col("d").isNull() | F.col("qd").isNull()
-        pairs = now.join(pivots, "key").filter((F.col("component") != F.col("qc")) & near)
-        pairs = pairs.select(F.greatest("x", "q").alias("x"), F.least("x", "q").alias("p")).distinct().join(done.select("x", "p"), ["x", "p"], "left_anti")
-        got = _verified(spark, table(pairs, "jaccard-candidates"), texts, n, percent)
+        far = open_.join(pivots, "key").filter((F.col("component") != F.col("qc")) & near).select(F.greatest("x", "q").alias("x"), F.least("x", "q").alias("p"))
+        odd = rows.filter("n is null").select("key", F.col("x").alias("q"), F.col("component").alias("qc"))  # no sketch: met by all of its region
+        odd = rows.join(odd, "key").filter(F.col("component") != F.col("qc")).select(F.greatest("x", "q").alias("x"), F.least("x", "q").alias("p"))
+        pairs = exact.unionByName(possible(far.unionByName(odd).distinct())).distinct().join(done.select("x", "p"), ["x", "p"], "left_anti")
+        pairs = table(pairs, "jaccard-candidates")
+        got = _verified(spark, pairs, _texts(docs, _ends(pairs)), n, percent)
         done = table(done.unionByName(got), "jaccard-pairs")
-        open_ = now.join(pivots.select("key", F.col("q").alias("x")), ["key", "x"], "left_anti")
+        open_ = open_.join(pivots.select("key", F.col("q").alias("x")), ["key", "x"], "left_anti")
         if not got.filter("linked").isEmpty():
             links = copies.unionByName(done.filter("linked").select(F.col("x").alias("u"), F.col("p").alias("v")))
             found = components(links)
@@ -254,9 +341,21 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _next_pivots(rows: DataFrame) -> DataFrame:
+    """key, qc, q, qd: of every component of a region but its largest the least document, of PIVOTS components at most."""
+    per = rows.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("x", "d")).alias("q"))
+    order = Window.partitionBy("key").orderBy(F.desc("c"), "component")
+    ranked = per.withColumn("k", F.row_number().over(order)).filter((F.col("k") > 1) & (F.col("k") <= PIVOTS + 1))
+    return ranked.select("key", F.col("component").alias("qc"), F.col("q.x").alias("q"), F.col("q.d").alias("qd"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "p")).alias("node")).distinct()
+
+
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, text: one text for each node."""
-    return docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text"))
+    return docs.join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text"))
 
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

@@ -160,7 +160,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     out = table(out.groupBy("id", "th").agg(F.collect_list("line").alias("_out")), "lines-out")  # of one document
     kept = [c for c in docs.columns if c.lower() not in (*_ADDED, "_out")]
     schema = T.StructType([T.StructField(c, T.StringType()) if c == "text" else docs.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in _ADDED])
-    joined = docs.select(*[quoted(c) for c in kept]).join(out, (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("th")), "left")
+    joined = docs.select(*[quoted(c) for c in kept]).join(out.hint("merge"), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("th")), "left")
     return joined.select(*[quoted(c) for c in kept], "_out").mapInArrow(_cut(kept), schema)
 
 

@@ -30,6 +30,7 @@ GAMMA = 1.02
 LEAST = 1e-4
 SPREADS = 6.0
 MIN_DOCS = 30
+MAX_BROADCAST = 100_000  # groups, of some hundred bytes each; beyond it the fences are joined by shuffling
 #: What a metric may exceed the median by in a group without any spread.
 MARGINS = {"symbol_rate": 0.02, "upper_rate": 0.1, "dup_line_rate": 0.4, "repeat_rate": 0.2, "word_length": 1.0}
 
@@ -110,7 +111,8 @@ def sketches(measured: DataFrame) -> DataFrame:
     """lang, source, metric, bucket, n: the mergeable sketches of documents that passed the base rules."""
     bucket = lambda v: F.when(v < LEAST, F.lit(0)).otherwise(1 + F.ceil(F.log(v / LEAST) / F.log(F.lit(GAMMA)))).cast("int")
     values = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in MARGINS])
-    rows = measured.filter(~F.col("base_failed")).select(_group("lang").alias("lang"), _group("source").alias("source"), F.inline(values))
+    values = F.when(F.col("base_failed"), F.slice(values, 1, 0)).otherwise(values)  # a filter here would be pushed down and count repeats twice
+    rows = measured.select(_group("lang").alias("lang"), _group("source").alias("source"), F.inline(values))
     return rows.groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
@@ -139,12 +141,14 @@ def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS, spreads: float = SPR
 
 def judge(measured: DataFrame, sketch: DataFrame, **options) -> DataFrame:
     """measured (from `features`) with kept, by the fences of each row's group."""
-    limits = thresholds(sketch, **options).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = table(thresholds(sketch, **options).withColumnsRenamed({"lang": "_lang", "source": "_source"}), "quality-fences")
+    if limits.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        limits = F.broadcast(limits)
     joined = measured.join(limits, (_group("lang") == F.col("_lang")) & (_group("source") == F.col("_source")), "left")
     within = F.lit(True)
     for m in MARGINS:
         within = within & F.coalesce(F.col(m) <= F.col(f"fence_{m}"), F.lit(True))
-    return joined.select(*[quoted(c) for c in measured.columns], (~F.col("base_failed") & within).alias("kept"))
+    return joined.select(*[quoted(c) for c in measured.columns], F.when(~F.col("base_failed") & within, True).otherwise(False).alias("kept"))
 
 
 def apply_rules(docs: DataFrame, **options) -> DataFrame:
