@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medlattice.llm.common import read, slices, table
+from medlattice.llm.common import quoted, read, slices, table
 
 N = 13
 BLOCK_BYTES = 32 << 20
@@ -183,9 +183,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = B
     return docs
 
 
-def contaminated(share: float = 0.05):
-    """The document rule: n_hit words at least this share of all words."""
-    return (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words")) if share != 0.05 else (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+def contaminated():
+    """The document rule: at least a twentieth of all words is hit."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
 def _cut(columns: list[str]):
@@ -212,12 +212,14 @@ def _cut(columns: list[str]):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without contaminated documents, or (remove="spans") with the hit
     words cut out of every text. Columns as in docs."""
-    found = scan(docs, benchmark, n, block_bytes)
+    marked = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("kept_row"), "text")
+    found = scan(marked, benchmark, n, block_bytes)
     if remove == "documents":
-        return found.filter(~contaminated()).select([f"`{c}`" for c in docs.columns])
+        return found.filter(~contaminated()).select("kept_row.*")
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
-    return found.mapInArrow(_cut(docs.columns), docs.schema)
+    cut = found.mapInArrow(_cut(marked.columns), marked.schema)
+    return cut.select(*[F.col("text") if c == "text" else F.col(f"kept_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medlattice.llm.common import read, slices
+from medlattice.llm.common import quoted, read, slices
 
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -184,7 +184,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs whose texts have every span (overlapping ones together) replaced by mask."""
-    found = scan(docs)
+    found = scan(docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("kept_row"), "text"))
     text = F.aggregate(
         F.col("secrets"),
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
@@ -193,7 +193,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         ),
         lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))),
     )
-    return found.select([text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return found.select([text.alias("text") if c == "text" else F.col(f"kept_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
