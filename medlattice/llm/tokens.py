@@ -62,14 +62,16 @@ class Encoder:
 
         pieces = [self.cut(t) if t else [] for t in texts]
         known = self.known
-        if len(known) > self.cached:
-            known.clear()
         new = list(set().union(*pieces).difference(known))
         for i in range(0, len(new), 10_000):
             for p, e in zip(new[i : i + 10_000], self.t.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False)):
                 known[p] = array("H", e.ids).tobytes()
         of = known.__getitem__
-        return [b"".join(map(of, ps)) for ps in pieces]
+        out = [b"".join(map(of, ps)) for ps in pieces]
+        if len(known) > self.cached:  # full: what came first, so most common pieces, stays
+            for p in new:
+                del known[p]
+        return out
 
 
 #: One encoder for each vocabulary in a Python worker: what a task has cached serves the next one.
