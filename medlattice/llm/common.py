@@ -50,11 +50,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends here,
-    so a lost executor costs a re-read and no recomputation."""
+def table(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df once to the shared folder, partitioned by these columns, and
+    read it back: lineage ends here, so a lost executor costs a re-read and no
+    recomputation."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

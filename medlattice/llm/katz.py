@@ -1,20 +1,26 @@
 """LM scoring with a Katz backoff model of word pairs.
 
 Method: counts of words and of pairs (history, word) come from all training
-documents, are stored as tables partitioned by hash, and are discounted by
-Good-Turing (Katz's form, counts up to K); backoff weights are computed for
-each history from its seen pairs so that P(. | history) sums to exactly 1 over
-the vocabulary and one class of unknown words. A token is scored recursively:
-the discounted pair if it was seen, else weight(history) * P(word), where P is
-the discounted unigram or the unknown mass.
+documents and are discounted by Good-Turing (Katz's form, counts up to K);
+backoff weights are computed for each history from its seen pairs so that
+P(. | history) sums to exactly 1 over the vocabulary and one class of unknown
+words. A token is scored recursively: the discounted pair if it was seen, else
+weight(history) * P(word), where P is the discounted unigram or the unknown
+mass. Counts and weights are stored as tables partitioned by kind.
 
 Where the counts of counts can't give a discount in (0, 1) K is lowered; with
 K = 0 absolute discounting is used. A history whose seen pairs leave no mass
 gives one count's worth, c / (c(h) + 1), to what it hasn't been followed by.
 
-Texts are handled in slices of bounded bytes: a slice sends each distinct word
-and pair once, and gets the model's answer for each of them back; its arrays
-are bounded by the slice. Words are 64-bit hashes.
+Texts are handled in slices of bounded bytes. A slice asks once for each of its
+distinct words and pairs: it sends one packed, sorted array of 64-bit hashes
+and training counts to each range of hashes (a bucket), and gets the summed
+counts back in the same order. Hashes spread evenly and a slice names each word
+or pair once, so no bucket is hot; buckets grow in number with the tokens, so
+none grows. Of the slices that hold a pair in training one is told that it owns
+the pair; owners sum what a history's pairs leave over, which makes the weights
+a second, smaller exchange. Two pairs with equal 64-bit hashes would share
+their count, which is expected for one pair in 2**64 / (distinct pairs).
 
 Defined cases: a null or empty text is the end token alone; repeated documents
 count each time; an empty table gives no rows; without training documents all
@@ -24,8 +30,6 @@ training (its remainder is undefined) and scored; other columns are ignored.
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +37,21 @@ from medlattice.llm.common import WORD, read, slices, table
 
 K = 5
 SLICE_CHARS = 24_000_000
+BUCKET_KEYS = 4_000_000
+LEAST_BUCKETS = 64
 HELD_OUT = (7, 2)
 LOWER = {c: c + 32 for c in range(65, 91)}
-END, START = 1, 2  # hashes of the two marks
-_ROWS = "slice string, doc_id array<bigint>, held array<boolean>, lengths array<int>, tokens binary, words array<bigint>, trained array<bigint>, first array<int>, second array<int>, together array<int>"
+END, START = 1, 2  # hashes of the two marks, which are words 0 and 1 of each slice
+WORDS, PAIRS = 0, 1
+_SLICES = "slice string, doc_id array<bigint>, held array<boolean>, lengths array<int>, n_tokens bigint, tokens binary, words binary"
+_ASKED = "kind int, bucket int, slice string, n int, keys binary, counts binary"
+_COUNTED = "kind int, bucket int, slice string, n int, keys binary, counts binary, total bigint, seen_times array<bigint>"
+_STATE = (
+    "slice string, doc_id array<bigint>, held array<boolean>, lengths array<int>, known array<bigint>, base array<double>, part array<double>, open_n array<int>, open_at binary, open_back binary, "
+    "asked array<struct<bucket:int,n:int,keys:binary,sums:binary>>"
+)
+_WEIGHED = "bucket int, slice string, n int, keys binary, weights binary"
+_OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -45,18 +60,70 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % HELD_OUT[0] == HELD_OUT[1]
 
 
+def pack(values) -> bytes:
+    """Unsigned integers as compressed planes of bytes, least significant first."""
+    import numpy as np
+    import pyarrow as pa
+
+    v = np.ascontiguousarray(values, dtype="<u8")
+    width = (int(v.max()).bit_length() + 7) // 8 if len(v) else 0
+    planes = np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if width else b"")
+
+
+def unpack(data: bytes, n: int):
+    import numpy as np
+    import pyarrow as pa
+
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if width := data[0]:
+        out[:, :width] = np.frombuffer(pa.decompress(memoryview(data)[1:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def bucket_starts(buckets: int):
+    """The first hash of each bucket."""
+    import numpy as np
+
+    return np.array([b * 2**64 // buckets for b in range(buckets)], dtype=np.uint64)
+
+
+def _dealt(hashes, buckets: int):
+    """The order that sorts hashes, the sorted hashes and (bucket, from, to, packed gaps) of each bucket that has any."""
+    import numpy as np
+
+    order = np.argsort(hashes)
+    got, starts = hashes[order], bucket_starts(buckets)
+    cuts = [*np.searchsorted(got, starts).tolist(), len(got)]
+    parts = [(b, i, j, pack(np.diff(got[i:j], prepend=starts[b]))) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+    return order, got, parts
+
+
+def _keys(data: bytes, n: int, start):
+    import numpy as np
+
+    return np.cumsum(unpack(data, n), dtype=np.uint64) + start
+
+
+def _record(rows: list[dict], ddl: str):
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_())}
+    kinds["array<struct<bucket:int,n:int,keys:binary,sums:binary>>"] = pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("sums", pa.binary())]))
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([(c, kinds[k]) for c, k in (x.split() for x in ddl.split(", "))]))
+
+
 def _slice(batches):
     import re
     import uuid
 
     import numpy as np
-    import pyarrow as pa
     import xxhash
 
     find = re.compile(WORD).findall
 
     def hashed(word: str) -> int:
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h if h not in (END, START) else h + 2
 
     for batch in slices(batches, SLICE_CHARS):
@@ -71,42 +138,85 @@ def _slice(batches):
             return got
 
         parts = []
-        for t in batch.column("text").to_pylist():
-            w = find(t) if t else []
-            a = np.zeros(len(w) + 1, dtype=np.int64)  # 0: end, 1: start
-            a[:-1] = np.fromiter(map(local, w), dtype=np.int64, count=len(w))
+        for t in batch.column("text"):
+            w = find(t.as_py() or "")
+            a = np.zeros(len(w) + 1, dtype=np.uint32)  # 0: end
+            a[:-1] = np.fromiter(map(local, w), dtype=np.uint32, count=len(w))
             parts.append(a)
-        held = np.array([is_held_out(i) for i in ids], dtype=bool)
-        lengths = np.array([len(a) for a in parts], dtype=np.int64)
-        tokens = np.concatenate(parts)
-        before = np.concatenate(([1], tokens[:-1]))
-        before[np.cumsum(lengths)[:-1]] = 1
-        train = ~np.repeat(held, lengths)
-        size = len(number) + 2
-        trained = np.bincount(tokens[train], minlength=size)
-        pairs, at = np.unique(before * size + tokens, return_inverse=True)
-        together = np.bincount(at[train], minlength=len(pairs))
-        hashes = [END, START, *map(hashed, number)]
-        yield pa.RecordBatch.from_pylist(
-            [
-                {
-                    "slice": uuid.uuid4().hex,
-                    "doc_id": ids,
-                    "held": held.tolist(),
-                    "lengths": lengths.tolist(),
-                    "tokens": pa.compress(at.astype("<u4").tobytes(), codec="zstd", asbytes=True),
-                    "words": hashes,
-                    "trained": trained,
-                    "first": (pairs // size).astype(np.int32),
-                    "second": (pairs % size).astype(np.int32),
-                    "together": together.astype(np.int32),
-                }
-            ],
-            schema=pa.schema(
-                [("slice", pa.string()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.int64())), ("trained", pa.list_(pa.int64()))]
-                + [(c, pa.list_(pa.int32())) for c in ("first", "second", "together")]
-            ),
-        )
+        row = {"slice": uuid.uuid4().hex, "doc_id": ids, "held": [is_held_out(i) for i in ids], "lengths": [len(a) for a in parts], "n_tokens": sum(map(len, parts))}
+        yield _record([row | {"tokens": pack(np.concatenate(parts)), "words": np.array([END, START, *map(hashed, number)], dtype="<u8").tobytes()}], _SLICES)
+
+
+class _Slice:
+    """tokens and their documents' lengths; words' hashes; for each distinct pair its two words and hash; pair: of each token."""
+
+    def __init__(self, row: dict):
+        import numpy as np
+
+        self.lengths = np.array(row["lengths"], dtype=np.int64)
+        self.tokens = unpack(row["tokens"], row["n_tokens"]).astype(np.int64)
+        self.words = np.frombuffer(row["words"], dtype="<u8")
+        self.size = len(self.words)
+        before = np.concatenate(([1], self.tokens[:-1]))
+        before[np.cumsum(self.lengths)[:-1]] = 1  # a text's first token follows the start
+        codes, self.pair = np.unique(before * self.size + self.tokens, return_inverse=True)
+        self.first, self.second = codes // self.size, codes % self.size
+        self.train = ~np.repeat(np.array(row["held"], dtype=bool), self.lengths)
+
+    def pair_hashes(self):
+        import numpy as np
+
+        def mixed(x):  # the finalizer of splitmix64
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return x ^ (x >> np.uint64(31))
+
+        return mixed(mixed(self.words + np.uint64(0x9E3779B97F4A7C15))[self.first] + self.words[self.second])
+
+
+def _ask(buckets: int):
+    """What each slice asks of each bucket: its words and pairs, with their counts in training."""
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+                s = _Slice(row)
+                for kind, hashes, own in ((WORDS, s.words, s.tokens), (PAIRS, s.pair_hashes(), s.pair)):
+                    order, _, parts = _dealt(hashes, buckets)
+                    counts = np.bincount(own[s.train], minlength=len(hashes))[order]
+                    yield _record([{"kind": kind, "bucket": b, "slice": row["slice"], "n": j - i, "keys": keys, "counts": pack(counts[i:j])} for b, i, j, keys in parts], _ASKED)
+
+    return run
+
+
+def _count(buckets: int):
+    """A bucket's sums: one row of the model, and to each slice that asked twice the count of each of its keys, plus 1 if it owns the key."""
+
+    def run(asked):
+        import numpy as np
+        import pyarrow as pa
+
+        rows = asked.to_pylist()
+        kind, b = rows[0]["kind"], rows[0]["bucket"]
+        start = bucket_starts(buckets)[b]
+        keys, at = np.unique(np.concatenate([_keys(r["keys"], r["n"], start) for r in rows]), return_inverse=True)
+        counts = np.concatenate([unpack(r["counts"], r["n"]) for r in rows]).astype(np.int64)
+        sums = np.zeros(len(keys), np.int64)
+        np.add.at(sums, at, counts)
+        trained = np.flatnonzero(counts)
+        answer = 2 * sums[at]
+        answer[trained[np.unique(at[trained], return_index=True)[1]]] += 1
+        ends = np.cumsum([r["n"] for r in rows]).tolist()
+        out = [{"kind": kind, "bucket": b, "slice": r["slice"], "n": r["n"], "counts": pack(answer[i:j])} for r, i, j in zip(rows, [0, *ends], ends)]
+        keys, sums = keys[sums > 0], sums[sums > 0]
+        times = np.bincount(np.minimum(sums, K + 3), minlength=K + 4)[: K + 3]
+        gaps = np.diff(keys, prepend=start) if len(keys) else keys
+        out.append({"kind": kind, "bucket": b, "n": len(keys), "keys": pack(gaps), "counts": pack(sums), "total": int(sums.sum()), "seen_times": times.tolist()})
+        return pa.Table.from_batches([_record(out, _COUNTED)])
+
+    return run
 
 
 def discounts(n: list[int], k: int = K) -> list[float]:
@@ -124,107 +234,156 @@ def discounts(n: list[int], k: int = K) -> list[float]:
     return [1.0, *[(r - part) / r for r in range(1, k + 1)]]
 
 
-def _counts_of_counts(counts: DataFrame) -> list[int]:
-    n = [0] * (K + 3)
-    for r in counts.filter(f"c <= {K + 2}").groupBy("c").agg(F.count("*").alias("n")).collect():  # K + 2 rows
-        n[r.c] = r.n
-    return n
-
-
-def _discounted(c, d: list[float]):
-    out = c.cast("double")
-    for r in range(1, len(d)):
-        out = F.when(c == r, F.lit(d[r] * r)).otherwise(out)
-    return out
+def _answer(buckets: int, d1: list[float], d2: list[float], tokens: int, types: int, unknown: float, scale: float):
+    """Each slice's scores but for the weights, the tokens that wait for these, and its share of each history's sums."""
 
+    def taken(c, d):
+        out = c.astype(float)
+        for r in range(1, len(d)):
+            out[c == r] = d[r] * r
+        return out
 
-class Model:
-    """words: word, c; pairs: h, w, c; histories: h, total, mass (1: discounts, 0: one count's worth), weight."""
-
-    def __init__(self, slices_: DataFrame):
-        ones = slices_.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("trained").alias("c")))).filter("c > 0")
-        self.words = table(ones.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
-        self.tokens, self.types = (lambda r: (r.n or 0, r.v))(self.words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first())
-        self.d1 = discounts(_counts_of_counts(self.words))
-        seen = self.words.agg(F.sum(_discounted(F.col("c"), self.d1)).alias("s")).first().s or 0.0
-        self.unknown = 1 - seen / self.tokens if self.tokens else 1.0
-        if self.unknown <= 0:  # no word was seen but a few times: one pseudo-count
-            self.unknown = 1 / (self.tokens + 1)
-            self.scale = (1 - self.unknown) * self.tokens / seen if seen else 1.0
-        else:
-            self.scale = 1.0
-        self.slices = slices_
-        zipped = F.inline(F.arrays_zip(F.col("first").alias("a"), F.col("second").alias("b"), F.col("together").alias("c")))
-        twos = slices_.select("words", zipped).filter("c > 0").select(F.expr("words[a]").alias("h"), F.expr("words[b]").alias("w"), F.col("c").cast("bigint"))
-        self.pairs = table(twos.groupBy("h", "w").agg(F.sum("c").alias("c")), "lm-pairs")
-        self.d2 = discounts(_counts_of_counts(self.pairs))
-        one = self.words.select(F.col("word").alias("w"), (_discounted(F.col("c"), self.d1) * F.lit(self.scale / max(1, self.tokens))).alias("p"))
-        per = self.pairs.join(one, "w").groupBy("h").agg(F.sum("c").alias("total"), F.sum(_discounted(F.col("c"), self.d2)).alias("held"), F.sum("p").alias("lower"))
-        mass = F.when(F.col("total") - F.col("held") > 1e-9, 1).otherwise(0)
-        left = F.when(mass == 1, 1 - F.col("held") / F.col("total")).otherwise(1 / (F.col("total") + 1))
-        self.histories = table(per.select("h", "total", mass.alias("mass"), (left / F.greatest(1 - F.col("lower"), F.lit(1e-300))).alias("weight")), "lm-histories")
-
-
-def _score(d1: list[float], d2: list[float], tokens: int, types: int, unknown: float, scale: float):
     def run(batches):
         import numpy as np
-        import pyarrow as pa
-
-        def taken(c, d):
-            out = c.astype(np.float64)
-            for r in range(1, len(d)):
-                out[c == r] = d[r] * r
-            return out
 
         for batch in batches:
-            for row in batch.to_pylist():
-                size, pairs = len(row["words"]), len(row["first"])
-                c, total, mass, weight = np.zeros(size, np.int64), np.zeros(size), np.ones(size), np.ones(size)
-                for x in row["answers"] or ():
-                    c[x["i"]] = x["c"] or 0
-                    if x["total"] is not None:
-                        total[x["i"]], mass[x["i"]], weight[x["i"]] = x["total"], x["mass"], x["weight"]
-                c2 = np.zeros(pairs, np.int64)
-                if row["seen"]:
-                    c2[np.array([x["k"] for x in row["seen"]])] = [x["c"] for x in row["seen"]]
-                first, second = np.array(row["first"], np.int64), np.array(row["second"], np.int64)
+            for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+                s = _Slice(row)
+                got = []
+                for kind, hashes in ((WORDS, s.words), (PAIRS, s.pair_hashes())):
+                    order = np.argsort(hashes)
+                    got.append(np.zeros(len(hashes), np.int64))
+                    got[-1][order] = np.concatenate([unpack(x["counts"], x["n"]) for x in sorted((x for x in row["answers"] if x["kind"] == kind), key=lambda x: x["bucket"])])
+                c, c2, owned = got[0] >> 1, got[1] >> 1, (got[1] & 1).astype(bool)
+                total = c.copy()
+                total[1] = c[0]  # each training text starts and ends once
                 p1 = np.where(c > 0, taken(c, d1) * scale / max(1, tokens), unknown)
+                left = c2 - taken(c2, d2)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    h = total[first]
-                    direct = np.where(mass[first] == 1, taken(c2, d2) / h, c2 / (h + 1))
-                    logp = np.log10(np.where(c2 > 0, direct, weight[first] * p1[second]))
-                base = np.log10((c + 1) / ((tokens + 1) * (types + 1)))[second]
-                known = (c > 0)[second]
-                at = np.frombuffer(pa.decompress(row["tokens"], sum(row["lengths"]) * 4, codec="zstd", asbytes=True), "<u4")
-                starts = np.concatenate(([0], np.cumsum(row["lengths"])[:-1]))
-                yield pa.RecordBatch.from_arrays(
+                    part = np.where(c2 > 0, np.log10((c2 - left) / total[s.first]), np.log10(p1)[s.second])
+                base = np.log10((c + 1) / ((tokens + 1) * (types + 1)))
+                certain = np.bincount(s.first, weights=(c2 > 0) & (left > 1e-9), minlength=s.size) > 0  # its pairs leave some mass
+                waits = ((c2 == 0) | ~certain[s.first])[s.pair]
+                starts = np.concatenate(([0], np.cumsum(s.lengths)[:-1]))
+                asks = np.zeros(s.size, bool)
+                asks[s.first[owned]] = True
+                asks[s.first[s.pair[waits]]] = True
+                asked = np.flatnonzero(asks)
+                order, _, parts = _dealt(s.words[asked], buckets)
+                asked = asked[order]
+                place = np.zeros(s.size, np.int64)
+                place[asked] = np.arange(len(asked))
+                sums = np.stack([np.bincount(s.first[owned], weights=x[owned], minlength=s.size)[asked] for x in (left, p1[s.second])] + [total[asked].astype(float)], axis=1)
+                yield _record(
                     [
-                        pa.array(row["doc_id"], pa.int64()),
-                        pa.array(row["held"], pa.bool_()),
-                        pa.array(row["lengths"], pa.int64()),
-                        pa.array(np.add.reduceat(known[at].astype(np.int64), starts)),
-                        pa.array(np.full(len(starts), tokens, np.int64)),
-                        pa.array(np.add.reduceat(base[at], starts)),
-                        pa.array(np.add.reduceat(logp[at], starts)),
+                        {
+                            "slice": row["slice"],
+                            "doc_id": row["doc_id"],
+                            "held": row["held"],
+                            "lengths": row["lengths"],
+                            "known": np.add.reduceat((c > 0).astype(np.int64)[s.tokens], starts).tolist(),
+                            "base": np.add.reduceat(base[s.tokens], starts).tolist(),
+                            "part": np.add.reduceat(part[s.pair], starts).tolist(),
+                            "open_n": np.add.reduceat(waits.astype(np.int64), starts).tolist(),
+                            "open_at": pack(place[s.first[s.pair[waits]]]),
+                            "open_back": pack((c2 == 0)[s.pair[waits]]),
+                            "asked": [{"bucket": b, "n": j - i, "keys": keys, "sums": sums[i:j].tobytes()} for b, i, j, keys in parts],
+                        }
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    _STATE,
                 )
 
     return run
 
 
+def _weigh(buckets: int):
+    """A bucket's histories: log10 of the backoff weight, and what a seen pair loses where no mass is left; one row of the model, and an answer to each slice."""
+
+    def run(asked):
+        import numpy as np
+        import pyarrow as pa
+
+        rows = asked.to_pylist()
+        b = rows[0]["bucket"]
+        start = bucket_starts(buckets)[b]
+        keys, at = np.unique(np.concatenate([_keys(r["keys"], r["n"], start) for r in rows]), return_inverse=True)
+        parts = np.concatenate([np.frombuffer(r["sums"]).reshape(-1, 3) for r in rows])
+        left, lower = (np.bincount(at, weights=parts[:, k], minlength=len(keys)) for k in (0, 1))
+        total = np.zeros(len(keys))
+        total[at] = parts[:, 2]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.where(left > 1e-9, left / total, 1 / (total + 1))
+            weight = np.where(total > 0, np.log10(share / np.maximum(1 - lower, 1e-300)), 0.0)
+            lost = np.where((total > 0) & (left <= 1e-9), np.log10(total / (total + 1)), 0.0)
+        both = np.stack([weight, lost], axis=1)
+        ends = np.cumsum([r["n"] for r in rows]).tolist()
+        out = [{"bucket": b, "slice": r["slice"], "n": r["n"], "weights": both[at[i:j]].tobytes()} for r, i, j in zip(rows, [0, *ends], ends)]
+        out.append({"bucket": b, "n": len(keys), "keys": pack(np.diff(keys, prepend=start)), "weights": both.tobytes()})
+        return pa.Table.from_batches([_record(out, _WEIGHED)])
+
+    return run
+
+
+def _finish(tokens: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+                n = np.array(row["open_n"], np.int64)
+                answers = [np.frombuffer(x["weights"]).reshape(-1, 2) for x in sorted(row["answers"] or (), key=lambda x: x["bucket"])]
+                weights = np.concatenate(answers or [np.zeros((0, 2))])
+                at, back = unpack(row["open_at"], int(n.sum())).astype(np.int64), unpack(row["open_back"], int(n.sum())).astype(bool)
+                more = np.bincount(np.repeat(np.arange(len(n)), n), weights=np.where(back, weights[at, 0], weights[at, 1]), minlength=len(n))
+                columns = [
+                    pa.array(row["doc_id"], pa.int64()),
+                    pa.array(row["held"], pa.bool_()),
+                    pa.array(row["lengths"], pa.int64()),
+                    pa.array(row["known"], pa.int64()),
+                    pa.array(np.full(len(n), tokens, np.int64)),
+                    pa.array(row["base"], pa.float64()),
+                    pa.array(np.array(row["part"]) + more),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _OUT.split(", ")])
+
+    return run
+
+
+class Model:
+    """counts: packed rows of words and pairs (kind, bucket, n, keys, counts, total, seen_times; slice: to whom, null for the
+    model itself); d1, d2: discounts; tokens, types: of the training documents; unknown: the mass of unknown words."""
+
+    def __init__(self, slices_: DataFrame):
+        n = slices_.agg(F.sum("n_tokens")).first()[0] or 0
+        self.buckets = max(LEAST_BUCKETS, -(-n // BUCKET_KEYS))
+        counted = slices_.mapInArrow(_ask(self.buckets), _ASKED).groupBy("kind", "bucket").applyInArrow(_count(self.buckets), _COUNTED)
+        self.counts = table(counted.withColumn("model", F.col("slice").isNull()), "lm-counts", "model", "kind")
+        stats = {WORDS: (0, 0, [0] * (K + 3)), PAIRS: (0, 0, [0] * (K + 3))}
+        times = [F.sum(F.col("seen_times")[r]).alias(f"n{r}") for r in range(K + 3)]
+        for r in self.counts.filter("model").groupBy("kind").agg(F.sum("total").alias("total"), F.sum("n").alias("types"), *times).collect():  # two rows
+            stats[r.kind] = (r.total or 0, r.types or 0, [r[f"n{k}"] or 0 for k in range(K + 3)])
+        self.tokens, self.types, seen_times = stats[WORDS]
+        self.d1, self.d2 = discounts(seen_times), discounts(stats[PAIRS][2])
+        seen = self.tokens - sum(r * seen_times[r] * (1 - self.d1[r]) for r in range(1, len(self.d1)))
+        self.scale = 1.0
+        self.unknown = 1 - seen / self.tokens if self.tokens else 1.0
+        if self.unknown <= 1e-12:  # no word was seen but a few times: one pseudo-count
+            self.unknown = 1 / (self.tokens + 1)
+            self.scale = (1 - self.unknown) * self.tokens / seen if seen else 1.0
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all docs, by a model of those in training."""
-    rows = table(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_slice, _ROWS), "lm-slices")
+    rows = table(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_slice, _SLICES), "lm-slices")
     m = Model(rows)
-    words = rows.select("slice", F.posexplode("words").alias("i", "word"))
-    known = words.join(m.words, "word", "left").join(m.histories.withColumnRenamed("h", "word"), "word", "left").filter("c is not null or total is not null")
-    answers = known.groupBy("slice").agg(F.collect_list(F.struct("i", "c", "total", "mass", "weight")).alias("answers"))  # of one slice
-    pairs = rows.select("slice", "words", F.posexplode(F.arrays_zip("first", "second")).alias("k", "x")).select("slice", "k", F.expr("words[x.first]").alias("h"), F.expr("words[x.second]").alias("w"))
-    seen = pairs.join(m.pairs, ["h", "w"]).groupBy("slice").agg(F.collect_list(F.struct("k", "c")).alias("seen"))  # of one slice
-    joined = rows.join(answers, "slice", "left").join(seen, "slice", "left")
-    out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return joined.mapInArrow(_score(m.d1, m.d2, m.tokens, m.types, m.unknown, m.scale), out)
+    answers = m.counts.filter("not model").groupBy("slice").agg(F.collect_list(F.struct("kind", "bucket", "n", "counts")).alias("answers"))  # of one slice
+    run = _answer(m.buckets, m.d1, m.d2, m.tokens, m.types, m.unknown, m.scale)
+    state = table(rows.join(answers, "slice").mapInArrow(run, _STATE), "lm-state")
+    weighed = state.select("slice", F.inline("asked")).groupBy("bucket").applyInArrow(_weigh(m.buckets), _WEIGHED)
+    weights = table(weighed.withColumn("model", F.col("slice").isNull()), "lm-weights", "model")
+    answers = weights.filter("not model").groupBy("slice").agg(F.collect_list(F.struct("bucket", "weights")).alias("answers"))  # of one slice
+    return state.drop("asked").join(answers, "slice", "left").mapInArrow(_finish(m.tokens), _OUT)
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
