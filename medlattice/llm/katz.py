@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from medlattice.llm.common import WORD, read, slices, table
 
 K = 5
-SLICE_CHARS = 24_000_000
-BUCKET_KEYS = 4_000_000
+SLICE_CHARS = 12_000_000
+BUCKET_KEYS = 2_000_000
 LEAST_BUCKETS = 64
 HELD_OUT = (7, 2)
 LOWER = {c: c + 32 for c in range(65, 91)}
