@@ -9,7 +9,8 @@ writers: a task that is lost is written again.
 
 Tokenizing: the tokenizer's pre-tokens never cross a place before a space or
 between white space and other characters, so texts are cut there and each
-distinct piece is encoded once by the library (cached, bounded).
+distinct piece is encoded once by the library (cached, bounded). A piece of
+letters is one pre-token, so it goes to the library's model directly.
 
 Defined cases: a null or empty text is the end id alone; repeated documents
 and ids are encoded each time they occur, next to each other; an empty table
@@ -36,6 +37,13 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PIECE = f" ?[{LETTERS}]+(?=[{PUNCTUATION}{WHITE}]|\\Z)|[{PUNCTUATION}]+(?=[{WHITE}]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]"
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter for each byte in a byte-level vocabulary: printable bytes of Latin-1 stand for themselves, the others for what follows U+00FF in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: b if b in shown else 256 + others.index(b) for b in range(256)}
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -48,9 +56,13 @@ class Encoder:
     def __init__(self, path: str, cached: int = CACHED_PIECES):
         import re
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.t = Tokenizer.from_file(path)
+        before, model = self.t.pre_tokenizer, self.t.model
+        if self.t.normalizer or not isinstance(model, models.BPE) or not isinstance(before, pre_tokenizers.ByteLevel) or before.add_prefix_space or not before.use_regex:
+            raise ValueError("not a byte-level BPE vocabulary without a prefix space")
+        self.model, self.letters, self.word = model, byte_letters(), re.compile(f" ?[{LETTERS}]+").fullmatch
         if self.t.get_vocab_size() > 1 << 16:
             raise ValueError("ids of the vocabulary need more than 16 bits")
         self.t.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -63,8 +75,14 @@ class Encoder:
         pieces = [self.cut(t) if t else [] for t in texts]
         known = self.known
         new = list(set().union(*pieces).difference(known))
-        for i in range(0, len(new), 10_000):
-            for p, e in zip(new[i : i + 10_000], self.t.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False)):
+        word, letters, tokenize, other = self.word, self.letters, self.model.tokenize, []
+        for p in new:
+            if word(p):
+                known[p] = array("H", [x.id for x in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
+            else:
+                other.append(p)
+        for i in range(0, len(other), 10_000):
+            for p, e in zip(other[i : i + 10_000], self.t.encode_batch_fast(other[i : i + 10_000], add_special_tokens=False)):
                 known[p] = array("H", e.ids).tobytes()
         of = known.__getitem__
         out = [b"".join(map(of, ps)) for ps in pieces]

@@ -168,7 +168,7 @@ def test_pieces_like_library():
 
     t, e, rng = Tokenizer.from_file(tokens.vocabulary_path()), tokens.Encoder(tokens.vocabulary_path()), random.Random(5)
     t.encode_special_tokens = True
-    parts = ["a", "b", "'s", "'", "  ", " ", "\n", "\x1c", "\xa0", "　", "é", "1", "!", "?", "字", "\x85", "I'll", "<|endoftext|>", "ſ", "²", "é", "€", "."]
+    parts = ["a", "b", "word", "naïve", "Ünß", "'s", "'", "  ", " ", "\n", "\x1c", "\xa0", "　", "é", "1", "!", "?", "字", "\x85", "I'll", "<|endoftext|>", "ſ", "²", "é", "€", "."]
     for _ in range(5000):
         s = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
         assert list(memoryview(e.encode([s])[0]).cast("H")) == t.encode(s, add_special_tokens=False).ids, s
