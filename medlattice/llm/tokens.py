@@ -50,45 +50,44 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-class Encoder:
-    """Ids of whole texts, equal to the library's; pieces are cached as bytes."""
+class Encoder(dict):
+    """Ids of whole texts, equal to the library's; the dictionary holds the ids of pieces as bytes."""
 
     def __init__(self, path: str, cached: int = CACHED_PIECES):
         import re
 
         from tokenizers import Tokenizer, models, pre_tokenizers
 
+        super().__init__()
         self.t = Tokenizer.from_file(path)
         before, model = self.t.pre_tokenizer, self.t.model
         if self.t.normalizer or not isinstance(model, models.BPE) or not isinstance(before, pre_tokenizers.ByteLevel) or before.add_prefix_space or not before.use_regex:
             raise ValueError("not a byte-level BPE vocabulary without a prefix space")
-        self.model, self.letters, self.word = model, byte_letters(), re.compile(f" ?[{LETTERS}]+").fullmatch
         if self.t.get_vocab_size() > 1 << 16:
             raise ValueError("ids of the vocabulary need more than 16 bits")
         self.t.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cut, self.cached, self.known = re.compile(PIECE).findall, cached, {}
+        self.tokenize, self.letters, self.word = model.tokenize, byte_letters(), re.compile(f" ?[{LETTERS}]+").fullmatch
+        self.cut, self.cached, self.new = re.compile(PIECE).findall, cached, []
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian uint16 ids, without an end."""
+    def __missing__(self, piece: str) -> bytes:
         from array import array
 
-        pieces = [self.cut(t) if t else [] for t in texts]
-        known = self.known
-        new = list(set().union(*pieces).difference(known))
-        word, letters, tokenize, other = self.word, self.letters, self.model.tokenize, []
-        for p in new:
-            if word(p):
-                known[p] = array("H", [x.id for x in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
-            else:
-                other.append(p)
-        for i in range(0, len(other), 10_000):
-            for p, e in zip(other[i : i + 10_000], self.t.encode_batch_fast(other[i : i + 10_000], add_special_tokens=False)):
-                known[p] = array("H", e.ids).tobytes()
-        of = known.__getitem__
-        out = [b"".join(map(of, ps)) for ps in pieces]
-        if len(known) > self.cached:  # full: what came first, so most common pieces, stays
-            for p in new:
-                del known[p]
+        if self.word(piece):
+            ids = [x.id for x in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.t.encode(piece, add_special_tokens=False).ids
+        self.new.append(piece)
+        got = self[piece] = array("H", ids).tobytes()
+        return got
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian uint16 ids, without an end."""
+        of = self.__getitem__
+        out = [b"".join(map(of, self.cut(t))) if t else b"" for t in texts]
+        if len(self) > self.cached:  # full: what came first, so most common pieces, stays
+            for p in self.new:
+                del self[p]
+        self.new.clear()
         return out
 
 
