@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medlattice.operators import audit, graph, history, mpi, search, security, terminology, validate
+from medlattice.operators import audit, bundle, graph, history, mpi, profile, search, security, terminology, validate
 from medlattice.plans import resources as rs
 from medlattice.sources import store
 
@@ -453,3 +453,57 @@ def capabilities(spark, d):
 def audit_classify(spark, d):
     e = rs._load(spark, d, "events").select(F.when(F.col("event_type") == "view", "GET").when(F.col("event_type") == "click", "PATCH").otherwise("POST").alias("m"))
     return e.select(F.lit("U").alias("type"), audit.classify(F.col("m"), F.lit(200))[0].alias("status")).groupBy("type", "status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "",
+    """with hits as (select p.m, count(*) hits, min(c_custkey) hit from customer c join (select distinct cast(floor(c_acctbal) as bigint) m from customer) p on cast(floor(c.c_acctbal) as bigint) = p.m group by p.m),
+ b as (select o_orderkey k, hits, case when hits = 1 then cast(hit as varchar) else substr(sha256(concat('b', o_orderkey, '/0')), 1, 32) end pid, c_nationkey nat from orders join customer on o_custkey = c_custkey join hits on m = cast(floor(c_acctbal) as bigint)),
+ s as (select b.*, (select count(*) from supplier where s_nationkey = nat) sups, (select min(s_suppkey) from supplier where s_nationkey = nat) sup from b),
+ r as (select *, case when hits > 1 then 'multiple-matches' when sups <> 1 then 'unresolved' end reason from s)
+ select concat('b', k) bundle, 0 n, case when reason is null then 'exists' else 'rejected' end status, reason, case when reason is null then pid end id, null::varchar subject, null::varchar provider from r union all
+ select concat('b', k), 1, case when reason is null then 'created' else 'rejected' end, reason, case when reason is null then substr(sha256(concat('b', k, '/1')), 1, 32) end,
+  case when reason is null then concat('Patient/', pid) end, case when reason is null then concat('Organization/', sup) end from r""",
+)
+def bundle_transaction(spark, d):
+    """An order as a bundle of a patient, unless one has its balance, and an encounter that refers to it and to the one supplier of its nation."""
+    orders, customers = rs._load(spark, d, "orders"), rs._load(spark, d, "customer")
+    rows = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).withColumn("m", F.floor("c_acctbal").cast("string"))
+    key, none = F.concat(F.lit("b"), F.col("o_orderkey").cast("string")), F.lit(None).cast("string")
+    urn = F.concat(F.lit("urn:uuid:"), F.col("o_custkey").cast("string"))
+    ref = lambda c: F.struct(c.alias("reference"))
+    who = F.concat(F.lit("Organization?identifier=urn:nation|"), F.col("c_nationkey").cast("string"))
+    patient = rows.select(key.alias("bundle"), F.lit(0).alias("n"), urn.alias("full_url"), F.lit("POST").alias("method"), none.alias("url"), F.concat(F.lit("identifier=urn:balance|"), "m").alias("if_none_exist"), F.to_json(F.struct(F.lit("Patient").alias("resourceType"))).alias("body"))
+    body = F.to_json(F.struct(F.lit("Encounter").alias("resourceType"), ref(urn).alias("subject"), ref(who).alias("serviceProvider")))
+    visit = rows.select(key.alias("bundle"), F.lit(1).alias("n"), none.alias("full_url"), F.lit("POST").alias("method"), none.alias("url"), none.alias("if_none_exist"), body.alias("body"))
+    stored = customers.select(F.lit("Patient").alias("kind"), F.lit("urn:balance").alias("system"), F.floor("c_acctbal").cast("string").alias("value"), F.col("c_custkey").cast("string").alias("id"))
+    supplier = rs._load(spark, d, "supplier").select(F.lit("Organization").alias("kind"), F.lit("urn:nation").alias("system"), F.col("s_nationkey").cast("string").alias("value"), F.col("s_suppkey").cast("string").alias("id"))
+    got = bundle.apply(patient.unionByName(visit), stored.unionByName(supplier))
+    return got.select("bundle", "n", "status", "reason", "id", F.get_json_object("body", "$.subject.reference").alias("subject"), F.get_json_object("body", "$.serviceProvider.reference").alias("provider"))
+
+
+@query("patient", "select id, case when gender is null then 'required:gender' else '' end issues from patient")
+def profile_required(spark, d):
+    path = lambda p, **k: {"id": f"Patient.{p}", "path": f"Patient.{p}", "min": 1} | k
+    rules = {"url": "urn:profile", "snapshot": {"element": [path("gender"), path("name.family"), path("contact.name"), path("identifier.system")]}}
+    return rs.patient(spark, d).select("id", F.array_join(profile.profile_issues(F.col("body_json"), [rules]), ";").alias("issues"))
+
+
+@query("patient", "select id, case when gender is null then 'resourceType,id' else 'resourceType,id,gender' end fields from patient")
+def elements_projection(spark, d):
+    return rs.patient(spark, d).select("id", F.array_join(F.json_object_keys(profile.elements(F.col("body_json"), ["gender"])), ",").alias("fields"))
+
+
+@query("patient", "select id, '1' version, last_updated updated, family from patient")
+def stamped_body(spark, d):
+    p = rs.patient(spark, d)
+    body = p.select(profile.stamp(F.col("body_json"), F.col("id"), F.col("version_id"), F.col("last_updated")).alias("b"))
+    at = lambda c: F.get_json_object("b", f"$.{c}")
+    return body.select(at("id").alias("id"), at("meta.versionId").alias("version"), at("meta.lastUpdated").alias("updated"), at("name[0].family").alias("family"))
+
+
+@query("", "select concat('resp-', o_orderkey) id, 'queued' outcome, concat('Claim/', o_orderkey) request from orders where o_custkey = 7 and o_orderstatus <> 'F'")
+def prior_auth_inquire(spark, d):
+    use = F.when(F.col("o_orderstatus") == "F", "claim").otherwise("preauthorization")
+    claims = rs._load(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("Patient/"), F.col("o_custkey").cast("string")).alias("patient"), F.lit("Organization/1").alias("insurer"), use.alias("use"))
+    return profile.inquired(profile.submitted(claims, "2026-01-01"), patient="Patient/7").select("id", "outcome", "request")
