@@ -6,7 +6,9 @@ is parsed: a signed token needs a JSON header naming an algorithm, a JSON
 payload and a signature of the algorithm's length; a key in DER needs a
 SEQUENCE whose nested lengths fill exactly their parents and hold the fields
 of a key; an SSH key needs length-prefixed fields that fill the blob and a
-known algorithm name or the private container's magic.
+known algorithm name or the private container's magic. Lines that follow a body
+without padding look like more of it, so a body ends where the key's own lengths
+say, if the text has the end of a line, padding or a dashed line there.
 
 The base kinds (assign, access, hex) come from their patterns alone and always
 stay; confirmed kinds (jwt, der, ssh) are added.
@@ -34,13 +36,16 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|AAAA|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{30,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*={0,2}")
+BODY = re.compile(r"(?:M[A-P]|AAAA|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{30,}")
+ENCODED = re.compile(rf"(?<![A-Za-z0-9+/_-]){BODY.pattern}(?:\r?\n[A-Za-z0-9+/_-]+)*={{0,2}}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
 #: Signature bytes by algorithm (0: none; None: the length of the key).
 SIGNATURES = {"none": 0, "HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64, "RS256": None, "RS384": None, "RS512": None, "PS256": None, "PS384": None, "PS512": None}
 #: Names of SSH key algorithms.
 SSH_NAMES = {"ssh-rsa", "ssh-dss", "ssh-ed25519", "ecdsa-sha2-nistp256", "ecdsa-sha2-nistp384", "ecdsa-sha2-nistp521", "sk-ssh-ed25519@openssh.com", "sk-ecdsa-sha2-nistp256@openssh.com"}
 SSH_MAGIC = b"openssh-key-v1\x00"
+#: Fields of a public key blob, where they aren't three.
+SSH_FIELDS = {"ssh-dss": 5, "ssh-ed25519": 2, "sk-ecdsa-sha2-nistp256@openssh.com": 4}
 
 
 def _base64(text: str) -> bytes | None:
@@ -139,6 +144,58 @@ def is_ssh_key(data: bytes | None) -> bool:
     return len(fields) >= 2 and fields[0].decode("latin-1") in SSH_NAMES and all(fields[1:])
 
 
+def der_size(data: bytes) -> int | None:
+    """Bytes of the SEQUENCE at the start, by its own length."""
+    if len(data) < 6 or data[0] != 0x30:
+        return None
+    count = data[1] & 0x7F if data[1] & 0x80 else 0
+    return 2 + data[1] if not data[1] & 0x80 else 2 + count + int.from_bytes(data[2 : 2 + count], "big") if 1 <= count <= 4 else None
+
+
+def ssh_size(data: bytes) -> int | None:
+    """Bytes of the public key blob or private container at the start, by its fields' lengths."""
+
+    def skip(at: int, fields: int) -> int:
+        for _ in range(fields):
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+            if at > len(data):
+                break
+        return at
+
+    if data.startswith(SSH_MAGIC):
+        at = skip(len(SSH_MAGIC), 3)
+        return skip(at + 4, int.from_bytes(data[at : at + 4], "big") + 1)
+    name = data[4 : 4 + int.from_bytes(data[:4], "big")].decode("latin-1")
+    return skip(0, SSH_FIELDS.get(name, 3)) if name in SSH_NAMES else None
+
+
+def _key_at(run: str) -> tuple[str, int] | None:
+    """Kind and length in characters of the encoded key at the start of a run of lines."""
+    flat = re.sub(r"[\s=]", "", run).replace("-", "+").replace("_", "/")
+    data = base64.b64decode(flat + "A" * (-len(flat) % 4))[: len(flat) * 3 // 4]
+    kind, test, size = ("der", is_der_key, der_size(data)) if data[:1] == b"\x30" else ("ssh", is_ssh_key, ssh_size(data))
+    if size and size <= len(data) and test(data[:size]):
+        left = -(-size * 4 // 3)
+        for line in re.finditer(r"[^\s=]+", run):
+            if left <= len(line[0]):
+                rest = run[line.start() + left :]
+                if not rest or rest.startswith(("\r", "\n", "=", "-----")):
+                    return kind, len(run) - len(rest.lstrip("="))
+                break
+            left -= len(line[0])
+    return (kind, len(run)) if test(_base64(run)) else None
+
+
+def _keys(run: str) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of the keys in a run of encoded lines, each at the start of a line."""
+    out, end = [], 0
+    for line in re.finditer(r"[^\s=]+", run):
+        if line.start() >= end and BODY.match(run, line.start()) and (key := _key_at(run[line.start() :])):
+            end = line.start() + key[1]
+            out.append((line.start(), key[0], end))
+    return out
+
+
 def find(text: str | None) -> list[tuple[int, str, int]]:
     """(start, kind, end) of all spans, by start, then kind as in KINDS."""
     if not text:
@@ -149,11 +206,7 @@ def find(text: str | None) -> list[tuple[int, str, int]]:
     if "eyJ" in text:
         out += [(m.start(), "jwt", m.end()) for m in TOKEN.finditer(text) if is_signed_token(*m.groups())]
     for m in ENCODED.finditer(text):
-        data = _base64(m[0])
-        if is_der_key(data):
-            out.append((m.start(), "der", m.end()))
-        elif is_ssh_key(data):
-            out.append((m.start(), "ssh", m.end()))
+        out += [(m.start() + a, kind, m.start() + b) for a, kind, b in _keys(m[0])]
     for m in HEX_DER.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             out.append((m.start(), "der", m.end()))
