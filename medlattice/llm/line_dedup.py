@@ -1,14 +1,18 @@
 """Line dedup by pairwise alignment of documents that share lines.
 
-Method: lines are hashed; for every line found in more than one document the
-first of them (least doc_id) is its holder, so that a later document has one
-partner for each of its shared lines at most and a line shared by n documents
-costs n pairs, however common it is. Partners found by rare lines and by common
-ones are treated alike; nothing is capped. Each later document is aligned with
+Method: lines are hashed, and so are runs of adjacent lines that just reach
+`min_words` words, one from each line on and one back from each line. For every
+run found in more than one document the first of them (least doc_id) is its
+holder, so that a later document has one partner for each of its shared runs at
+most and a run shared by n documents costs n pairs, however common it is. Every
+line of a passage of `min_words` words or more is in such a run inside it, so no
+passage lacks a partner; nothing is capped. Each later document is aligned with
 each partner by patience diff over line hashes: lines that occur once in both
 are anchors, the longest increasing run of anchors is kept, matches grow from
 the anchors and the gaps between them are aligned in turn. Aligned blocks of
-adjacent lines with at least `min_words` words are deleted from the later one.
+adjacent lines with at least `min_words` words are deleted from the later one;
+what is left of it is compared with the partner's runs once more, for passages
+that one alignment can't hold: repeated, in another order or without anchors.
 
 Defined cases: a null or empty text has no lines with words and stays as it is;
 lines are compared after trimming; lines without words never match; ties of
@@ -29,18 +33,39 @@ MIN_WORDS = 50
 _ADDED = ("n_lines", "n_removed")
 
 
-def _lines(batches):
-    import numpy as np
-    import pyarrow as pa
-    import xxhash
+def windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(from, to) of the shortest runs of min_words words or more that start at a line, and of those that end at one; every line has words."""
+    out, at, total = [], 0, 0
+    for k, w in enumerate(words):
+        total += w
+        if total < min_words and at:
+            out.append((at - 1, k + 1))
+        while total >= min_words and at <= k:
+            out.append((at, k + 1))
+            total -= words[at]
+            at += 1
+    return out
+
 
-    for batch in slices(batches):
-        hashes, words = [], []
-        for t in batch.column("text").to_pylist():
-            lines = [x.strip() for x in t.split("\n")] if t else []
-            hashes.append([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) if x else 0 for x in lines])
-            words.append([len(x.split()) for x in lines])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], names=["id", "th", "hashes", "words"])
+def _lines(min_words: int):
+    def run(batches):
+        from array import array
+
+        import pyarrow as pa
+        import xxhash
+
+        for batch in slices(batches):
+            hashes, words, runs = [], [], []
+            for t in batch.column("text").to_pylist():
+                lines = [x.strip() for x in t.split("\n")] if t else []
+                hashes.append([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) if x else 0 for x in lines])
+                words.append([len(x.split()) for x in lines])
+                own = array("q", [h for h in hashes[-1] if h]).tobytes()
+                runs.append(list({xxhash.xxh64_intdigest(own[8 * a : 8 * b]) - (1 << 63) for a, b in windows([w for h, w in zip(hashes[-1], words[-1]) if h], min_words)}))
+            ints = [pa.array(x, pa.list_(kind)) for x, kind in ((hashes, pa.int64()), (words, pa.int32()), (runs, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *ints], names=["id", "th", "hashes", "words", "runs"])
+
+    return run
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -107,7 +132,27 @@ def removed(later: list[int], earlier: list[int], words: list[int], min_words: i
         if i is not None:
             block.append(i)
             last = (i, j)
-    return out
+    return sorted({*out, *_in_runs(later, earlier, words, min_words)}) if len(out) < sum(map(bool, later)) else out
+
+
+def _in_runs(later: list[int], earlier: list[int], words: list[int], min_words: int) -> set[int]:
+    """Lines of `later` in runs of min_words words or more that `earlier` holds anywhere."""
+    from array import array
+
+    count = {h: w for h, w in zip(later, words) if h}
+    held, part = set(), []
+    for h in [*earlier, None]:
+        if h in count:
+            part.append(h)
+        elif h != 0:  # not in `later`, or the end
+            own = array("q", part).tobytes()
+            held.update(own[8 * a : 8 * b] for a, b in windows([count[x] for x in part], min_words))
+            part = []
+    if not held:
+        return set()
+    at = [k for k, h in enumerate(later) if h]
+    own = array("q", [later[k] for k in at]).tobytes()
+    return {k for a, b in windows([words[k] for k in at], min_words) if own[8 * a : 8 * b] in held for k in at[a:b]}
 
 
 def _align(min_words: int):
@@ -148,13 +193,13 @@ def _cut(columns: list[str]):
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text cut, n_lines (before) and n_removed."""
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("string"))
-    lines = keyed.filter("id is not null and text is not null").mapInArrow(_lines, "id bigint, th bigint, hashes array<bigint>, words array<int>")
+    lines = keyed.filter("id is not null and text is not null").mapInArrow(_lines(min_words), "id bigint, th bigint, hashes array<bigint>, words array<int>, runs array<bigint>")
     lines = table(lines, "lines")
-    entries = lines.select("id", "th", F.explode(F.array_distinct(F.filter("hashes", lambda h: h != 0))).alias("hash"))
+    entries = lines.select("id", "th", F.explode("runs").alias("hash"))
     key = F.struct("id", "th")
     holders = entries.groupBy("hash").agg(F.min(key).alias("first"), F.max(key).alias("last")).filter("first <> last").select("hash", "first")
     pairs = entries.join(holders, "hash").filter(key != F.col("first")).select("id", "th", F.col("first.id").alias("fid"), F.col("first.th").alias("fth")).distinct()
-    one = lines.dropDuplicates(["id", "th"])
+    one = lines.drop("runs").dropDuplicates(["id", "th"])
     sides = pairs.join(one, ["id", "th"]).join(one.select(F.col("id").alias("fid"), F.col("th").alias("fth"), F.col("hashes").alias("earlier")), ["fid", "fth"])
     out = sides.select("id", "th", "hashes", "words", "earlier").mapInArrow(_align(min_words), "id bigint, th bigint, line int").distinct()
     out = table(out.groupBy("id", "th").agg(F.collect_list("line").alias("_out")), "lines-out")  # of one document

@@ -219,6 +219,27 @@ def test_lines(spark):
     assert line_dedup.patience([1, 2, 3, 4], [2, 9, 3, 1]) == [(1, 0), (2, 2)]
 
 
+def test_lines_against_all_runs(spark):
+    """A later document's lines in any run of 50 words that any earlier document holds go, whoever holds its parts."""
+    long = lambda k: " ".join(f"{k}w{j}" for j in range(15))
+    p, q = [long(k) for k in "abcd"], [long(k) for k in "efgh"]
+    texts = [p[:2], p[2:], p, [*p, "tail of five more words"], [*p, "x", *p], [p[0], p[1], "", *p[2:], "z"], [*q, "mid", *p], [*p, "mid", *q], ["y"] * 120, ["y"] * 70 + ["own"] + ["y"] * 60, [*p[2:], *p[:2]]]
+    rng = random.Random(4)
+    texts += [[long(rng.choice("abcdefghij")) if rng.random() < 0.9 else "" for _ in range(rng.randint(3, 14))] for _ in range(60)]
+    docs = spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup(docs).collect()}
+    seen, removed = set(), 0
+    for i, t in enumerate(texts):
+        at = [k for k, x in enumerate(t) if x]
+        own = [(a, b) for a in range(len(at)) for b in range(a + 1, len(at) + 1) if sum(len(t[k].split()) for k in at[a:b]) >= 50]
+        run = lambda a, b: tuple(t[k] for k in at[a:b])
+        gone = {k for a, b in own if run(a, b) in seen for k in at[a:b]}
+        assert got[i].text == "\n".join(x for k, x in enumerate(t) if k not in gone) and got[i].n_removed == len(gone), i
+        seen |= {run(a, b) for a, b in own}
+        removed += len(gone)
+    assert got[3].n_removed == 4 and got[4].n_removed == 8 and removed
+
+
 def test_jaccard_against_all_pairs(spark, base):
     extra = []
     rng, text = random.Random(3), [f"v{k}" for k in range(400)]
