@@ -8,7 +8,9 @@ paragraphs, headings, lists' items, quotes, code and tables stay, since
 articles repeat words legitimately, and only other subtrees (boxes, sections)
 are deleted; elsewhere any block subtree is. Elements that are never main text
 by their tag, role or class names (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments of readers) are dropped as well.
+adverts, forms, scripts, styles, comments of readers) are dropped as well. In an
+article only whole names of a short list count (INSIDE), ids only of boxes and
+sections, as headings give their words to ids and classes there.
 
 The main text is that of the articles if the page has one, else of what is left
 of the body. Character references are decoded, white space inside a block
@@ -47,9 +49,10 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table th
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt"}
 #: Words of class and id names, and roles, of what isn't main text.
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comments comment commentlist respond disqus newsletter subscribe subscription signup share sharing social related widget toolbar pagination pager".split())
+INSIDE = frozenset("ad ads advert adverts advertisement sponsored sidebar navbar breadcrumb breadcrumbs comments comments-area commentlist respond disqus disqus_thread newsletter newsletter-signup share sharing share-buttons social-share related related-posts pagination pager".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar".split())
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|$)|(?P<decl>[!?][^>]*)(?:>|$)|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|$)|(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
-_ATTR = re.compile(r"""(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _SPACE = re.compile(r"[\s]+")
 
 
@@ -121,17 +124,15 @@ def _is_noise(node: Node, in_article: bool) -> bool:
         return not in_article  # the header of an article holds its headline
     if not node.attrs or node.tag in ("html", "body", "article", "main"):
         return False
+    attrs: dict[str, str] = {}
     for m in _ATTR.finditer(node.attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id"):
-            if any(w in NAMES or w.partition("-")[0] in NAMES or w.partition("_")[0] in NAMES for w in value.split()):
-                return True
-        elif name == "role":
-            if value in ROLES:
-                return True
-        elif name == "hidden" or value == "true":
-            return True
-    return False
+        attrs.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in ROLES:
+        return True
+    names, ids = attrs.get("class", "").split(), attrs.get("id", "").split()
+    if in_article:
+        return any(w in INSIDE for w in (names if node.tag in PROSE else names + ids))
+    return any(w in NAMES or w.partition("-")[0] in NAMES or w.partition("_")[0] in NAMES for w in names + ids)
 
 
 def subtree_hashes(root: Node) -> dict[int, int]:

@@ -290,6 +290,17 @@ def test_html():
     assert html.main_text("<body><p>a<p>b<table><tr><td>c<td>d</table>") == "a\nb\nc\nd"
 
 
+def test_html_keeps_what_only_looks_hidden():
+    kept = ['style="overflow:hidden"', 'title="the hidden truth"', 'data-x="hidden"', "data-hidden", 'data-role="menu"', 'data-class="ad"', "alt='x class=ad'"]
+    for attrs in kept:
+        assert html.main_text(f"<body><article><div {attrs}><p>a</div></article></body>") == "a" == html.main_text(f"<body><div {attrs}><p>a</div></body>"), attrs
+    for attrs in ('id="related-work"', 'id="social-history"', 'class="header-title"', 'class="notice-period"', 'class="notice"'):
+        assert html.main_text(f"<article><section {attrs}><h2>b</h2><p>a</section></article>") == "b\na", attrs
+    assert html.main_text('<article><p>see <a href="/hidden-gems">gems</a><h2 id="comments">c</h2></article>') == "see gems\nc"
+    for attrs in ("hidden", 'HIDDEN=""', 'aria-hidden="true"', 'role="menu"', "class='x ads'", "id=comments"):
+        assert html.main_text(f"<article><p>a<div {attrs}>b</div></article>") == "a", attrs
+
+
 def test_html_templates(spark):
     page = lambda k: f"<body><div><span>Shared box of the site</span></div><article><p>Text {k}</p><div>Follow us</div><p>Same words</p></article></body>"
     rows = [(k, f"http://h.org/{k}", page(k)) for k in range(12)] + [(50, "http://other.org/", page(50)), (51, None, None), (52, "x", "")]
