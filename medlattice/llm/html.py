@@ -2,8 +2,8 @@
 
 Method: every page becomes a tree of elements; each block subtree is hashed
 over its tags, attributes and text; Spark counts the pages of each host that
-hold a hash, and subtrees found on `min_pages` pages of their host or more are
-deleted. Two things bound what may go: inside an article (<article> or <main>)
+hold a hash, and subtrees found on `min_pages` pages of their host or more, and
+on `min_share` of its pages at least, are deleted. Two things bound what may go: inside an article (<article> or <main>)
 paragraphs, headings, lists' items, quotes, code and tables stay, since
 articles repeat words legitimately, and only other subtrees (boxes, sections)
 are deleted; elsewhere any block subtree is. Elements that are never main text
@@ -39,6 +39,8 @@ from medlattice.llm.common import quoted, read, slices, table
 from medlattice.llm.urls import host_of
 
 MIN_PAGES = 10
+#: Of a host's distinct pages: what is on fewer isn't its template, however often it occurs on a large host.
+MIN_SHARE = 0.01
 MAX_BROADCAST = 500_000
 #: Elements of the HTML standard by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -242,16 +244,19 @@ def _placed(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"_host": host_of(F.col("url")), "_key": F.xxhash64("url", "html")})
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """_host, hash, pages: block subtrees found on min_pages pages of a host or more."""
-    rows = _placed(pages.select("url", "html")).select("_host", "_key", "html").mapInArrow(_hash_rows, "_host string, _key bigint, hash bigint")
-    return rows.groupBy("_host", "hash").agg(F.count("*").alias("pages"), F.min("_key").alias("a"), F.max("_key").alias("b")).filter((F.col("pages") >= min_pages) & (F.col("a") != F.col("b"))).drop("a", "b")
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """_host, hash, pages: block subtrees found on min_pages distinct pages of a host or more, and on min_share of them at least."""
+    placed = _placed(pages.select("url", "html")).select("_host", "_key", "html")
+    rows = placed.mapInArrow(_hash_rows, "_host string, _key bigint, hash bigint")
+    often = rows.groupBy("_host", "hash").agg(F.count_distinct("_key").alias("pages")).filter(F.col("pages") >= max(min_pages, 2))
+    hosts = placed.groupBy("_host").agg(F.count_distinct("_key").alias("of"))
+    return often.join(hosts, "_host").filter(F.col("pages") >= min_share * F.col("of")).drop("of")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST, min_share: float = MIN_SHARE) -> DataFrame:
     """pages, without html, with text and n_chars."""
     spark = pages.sparkSession
-    found = table(templates(pages, min_pages), "html-templates")
+    found = table(templates(pages, min_pages, min_share), "html-templates")
     kept = [c for c in pages.columns if c.lower() not in ("text", "n_chars", "html", "_host", "_key", "_templates")]
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     rows = _placed(pages.select(*[quoted(c) for c in kept], "html"))

@@ -311,6 +311,15 @@ def test_html_templates(spark):
     assert html.extract(pages.filter("false")).isEmpty()
 
 
+def test_html_templates_by_share_of_distinct_pages(spark):
+    page = lambda k, more="": f"<body><div>Site box</div><p>Text {k}</p>{more}</body>"
+    rows = [(k, f"http://large.org/{k}", page(k, "<div>Recurs</div>" if k < 10 else "")) for k in range(1100)]
+    rows += [(3000 + k, "http://small.org/a", page("a")) for k in range(9)] + [(4000, "http://small.org/b", page("b"))]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == len(rows) and got[3] == "Text 3\nRecurs" and got[149] == "Text 149"
+    assert got[3000] == "Site box\nText a" and got[4000] == "Site box\nText b"
+
+
 def test_urls(spark):
     rows = [(1, "http://www.example.com/en/1", "www.example.com", "/en/1", "www.example.com/en/", "allow"), (2, "HTTP://X.Example.com/en/?q", "x.example.com", "/en/", "example.com/en/", "block"), (3, "http://a.net/fr/9#x", "a.net", "/fr/9", "net/fr/", "block"), (4, "http://b.com?x", "b.com", "", None, None), (5, None, "", "", None, None), (6, "no scheme", "", "", None, None)]
     got = urls.judge(spark.createDataFrame([(r[0], r[1], "mine") for r in rows], "page_id bigint, url string, verdict string")).orderBy("page_id").collect()
