@@ -18,7 +18,7 @@ import zlib
 
 import numpy as np
 
-SCALE = 20
+SCALE = 20  # bits of the frequency table's sum, at least; more for more than 2^18 symbols
 LANES = 2048
 STEPS = 128
 MAGIC = b"RNS1"
@@ -28,16 +28,15 @@ _32 = np.uint64(32)
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
-    """Counts scaled to a sum of 2^SCALE; every symbol that occurs keeps 1 at least."""
+    """Counts scaled to a sum of 2^scale, a power of 2; every symbol that occurs keeps 1 at least."""
     counts = np.asarray(counts, dtype=np.int64)
     seen = np.flatnonzero(counts)
     out = np.zeros(len(counts), dtype=np.int64)
     if not len(seen):
         return out
-    if len(seen) > 1 << (SCALE - 1):
-        raise ValueError("too many symbols for the table")
+    scale = max(SCALE, len(seen).bit_length() + 1)
     c = counts[seen]
-    room = (1 << SCALE) - len(seen)
+    room = (1 << scale) - len(seen)
     exact = c * (room / c.sum())
     got = np.floor(exact).astype(np.int64)
     order = np.lexsort((seen, got - exact))  # largest remainder first, then the smaller id
@@ -51,6 +50,7 @@ class Tables:
         self.freq = np.asarray(freq, dtype=np.uint64)
         self.cum = np.concatenate(([0], np.cumsum(self.freq)[:-1])).astype(np.uint64)
         self.pad = int(np.argmax(self.freq))
+        self.scale = max(1, int(self.freq.sum())).bit_length() - 1
         self._slots = None
 
     @property
@@ -70,7 +70,7 @@ def encode(tokens: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, t
     if n and not f.min():
         raise ValueError("a token is not in the frequency table")
     x, words, states = np.full(lanes, _LOW, dtype=np.uint64), [], {}
-    shift, scale = np.uint64(63 - SCALE), np.uint64(SCALE)
+    shift, scale = np.uint64(63 - t.scale), np.uint64(t.scale)
     for s in range(total - 1, -1, -1):
         fs = f[s]
         out = x >= (fs << shift)
@@ -129,7 +129,7 @@ class Block:
         count = min(self.steps, -(-self.n // self.lanes) - first)
         x, at = self.states[k].astype(np.uint64), int(self.places[k])
         out = np.empty((count, self.lanes), dtype=np.uint32)
-        mask, scale = np.uint64((1 << SCALE) - 1), np.uint64(SCALE)
+        mask, scale = np.uint64((1 << t.scale) - 1), np.uint64(t.scale)
         for s in range(count):
             slot = x & mask
             symbol = t.slots[slot]

@@ -10,7 +10,12 @@ writers: a task that is lost is written again.
 Tokenizing: the tokenizer's pre-tokens never cross a place before a space or
 between white space and other characters, so texts are cut there and each
 distinct piece is encoded once by the library (cached, bounded). A piece of
-letters is one pre-token, so it goes to the library's model directly.
+letters is one pre-token, so it goes to the library's model directly. A text
+that holds the string of an added token (such as "<|endoftext|>") goes to the
+library as a whole, which encodes it as that token, as its `encode` does unless
+told otherwise; `ordinary` makes such strings ordinary text instead.
+
+Ids take 16 bits between the steps, or 32 where the vocabulary needs them.
 
 Defined cases: a null or empty text is the end id alone; repeated documents
 and ids are encoded each time they occur, next to each other; an empty table
@@ -28,6 +33,7 @@ from medlattice.llm.common import read, scratch_path, slices
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_TOKENS = 1 << 19
+PART_TOKENS = 1 << 26
 CACHED_PIECES = 1_000_000
 #: Unicode White_Space, fixed by the standard.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -50,10 +56,22 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def id_kind(tokenizer) -> str:
+    """The array type that holds all ids."""
+    return "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
+
+
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 class Encoder(dict):
     """Ids of whole texts, equal to the library's; the dictionary holds the ids of pieces as bytes."""
 
-    def __init__(self, path: str, cached: int = CACHED_PIECES):
+    def __init__(self, path: str, ordinary: bool = False, cached: int = CACHED_PIECES):
+        import json
         import re
 
         from tokenizers import Tokenizer, models, pre_tokenizers
@@ -63,9 +81,10 @@ class Encoder(dict):
         before, model = self.t.pre_tokenizer, self.t.model
         if self.t.normalizer or not isinstance(model, models.BPE) or not isinstance(before, pre_tokenizers.ByteLevel) or before.add_prefix_space or not before.use_regex:
             raise ValueError("not a byte-level BPE vocabulary without a prefix space")
-        if self.t.get_vocab_size() > 1 << 16:
-            raise ValueError("ids of the vocabulary need more than 16 bits")
-        self.t.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.kind = id_kind(self.t)
+        self.t.encode_special_tokens = ordinary
+        added = [x["content"] for x in json.loads(self.t.to_str())["added_tokens"] if not (ordinary and x["special"])]
+        self.marks = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.tokenize, self.letters, self.word = model.tokenize, byte_letters(), re.compile(f" ?[{LETTERS}]+").fullmatch
         self.cut, self.cached, self.new = re.compile(PIECE).findall, cached, []
 
@@ -77,13 +96,18 @@ class Encoder(dict):
         else:
             ids = self.t.encode(piece, add_special_tokens=False).ids
         self.new.append(piece)
-        got = self[piece] = array("H", ids).tobytes()
+        got = self[piece] = array(self.kind, ids).tobytes()
         return got
 
+    def whole(self, text: str) -> bytes:
+        from array import array
+
+        return array(self.kind, self.t.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian uint16 ids, without an end."""
-        of = self.__getitem__
-        out = [b"".join(map(of, self.cut(t))) if t else b"" for t in texts]
+        """Little-endian ids of `kind`, without an end."""
+        of, marks = self.__getitem__, self.marks
+        out = [(self.whole(t) if marks(t) else b"".join(map(of, self.cut(t)))) if t else b"" for t in texts]
         if len(self) > self.cached:  # full: what came first, so most common pieces, stays
             for p in self.new:
                 del self[p]
@@ -92,10 +116,10 @@ class Encoder(dict):
 
 
 #: One encoder for each vocabulary in a Python worker: what a task has cached serves the next one.
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def _tokenize(path: str, end: int):
+def _tokenize(path: str, end: int, ordinary: bool):
     def run(batches):
         import gc
         import os
@@ -106,43 +130,48 @@ def _tokenize(path: str, end: int):
 
         from medlattice.llm import tokens  # the worker's module: this function's own globals are a copy
 
-        if path not in tokens._ENCODERS:
-            tokens._ENCODERS[path] = Encoder(path)
-        encoder, tail = tokens._ENCODERS[path], end.to_bytes(2, "little")
+        if (path, ordinary) not in tokens._ENCODERS:
+            tokens._ENCODERS[path, ordinary] = Encoder(path, ordinary)
+        encoder = tokens._ENCODERS[path, ordinary]
+        kind = np.dtype(encoder.kind)
+        tail, size = end.to_bytes(kind.itemsize, "little"), max(end + 1, encoder.t.get_vocab_size())
         gc.disable()  # millions of strings in lists and no cycles
         try:
             for batch in slices(batches, 8_000_000):
                 ids = [b + tail for b in encoder.encode(batch.column("text").to_pylist())]
                 packed = [pa.compress(b, codec="zstd", asbytes=True) for b in ids]
-                counts = np.bincount(np.frombuffer(b"".join(ids), dtype="<u2"), minlength=1 << 16).astype("<u4").tobytes()
+                counts = np.bincount(np.frombuffer(b"".join(ids), dtype=kind), minlength=size).astype("<u4").tobytes()
                 counts = [*[None] * (len(ids) - 1), pa.compress(counts, codec="zstd", asbytes=True)]  # of the slice, in its last row
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "n", "ids", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) // kind.itemsize for b in ids], pa.int64()), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "n", "ids", "counts"])
         finally:
             gc.enable()
 
     return run
 
 
-def _unpack(n: int, blob: bytes):
+def _unpack(n: int, blob: bytes, kind):
     import numpy as np
     import pyarrow as pa
 
-    return np.frombuffer(pa.decompress(blob, n * 2, codec="zstd", asbytes=True), dtype="<u2")
+    return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), dtype=kind)
 
 
-def _count(batches):
-    import numpy as np
-    import pyarrow as pa
+def _count(size: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        counts = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            for b in batch.column("counts").to_pylist():
+                counts += np.frombuffer(pa.decompress(b, 4 * size, codec="zstd", asbytes=True), dtype="<u4")
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["id", "n"])
 
-    counts = np.zeros(1 << 16, dtype=np.int64)
-    for batch in batches:
-        for b in batch.column("counts").to_pylist():
-            counts += np.frombuffer(pa.decompress(b, 4 << 16, codec="zstd", asbytes=True), dtype="<u4")
-    seen = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["id", "n"])
+    return run
 
 
-def _pack(tables, block_tokens: int):
+def _pack(tables, block_tokens: int, kind: str):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -163,7 +192,7 @@ def _pack(tables, block_tokens: int):
                     yield out()
                     ids, held, size, block = [], [], 0, block + 1
                 ids.append(i)
-                held.append(_unpack(n, b))
+                held.append(_unpack(n, b, kind))
                 size += n
         if held:
             yield out()
@@ -199,34 +228,40 @@ def _decode(tables, with_ids: bool):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, ordinary: bool = False) -> None:
     """Write path/blocks (part, block, n_tokens, data) and path/table (id, frequency)."""
     from medlattice.llm import rans
 
     spark = docs.sparkSession
     import numpy as np
 
+    vocabulary = vocabulary or vocabulary_path()
+    size = max(end_id + 1, vocabulary_size(vocabulary))
+    kind = "H" if size <= 1 << 16 else "I"
     schema = "doc_id bigint, n bigint, ids binary, counts binary"
     held = scratch_path(spark, "token-ids")
-    docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_tokenize(vocabulary or vocabulary_path(), end_id), schema).write.option("compression", "none").parquet(held)
+    docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_tokenize(vocabulary, end_id, ordinary), schema).write.option("compression", "none").parquet(held)
     ids = spark.read.schema(schema).parquet(held)
-    counts = np.zeros(1 << 16, dtype=np.int64)  # a row for each id of the vocabulary at most
-    for r in ids.select("counts").filter("counts is not null").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    counts = np.zeros(size, dtype=np.int64)  # a row for each id of the vocabulary at most
+    for r in ids.select("counts").filter("counts is not null").mapInArrow(_count(size), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     freq = rans.frequencies(counts)
     seen = np.flatnonzero(freq).tolist()
     spark.createDataFrame([(i, int(freq[i])) for i in seen], "id bigint, frequency bigint").coalesce(1).write.parquet(f"{path}/table")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ids.drop("counts").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
-    ordered.mapInArrow(_pack(spark.sparkContext.broadcast(freq), block_tokens), "part bigint, block bigint, n_tokens bigint, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    tokens = int(counts.sum())
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // PART_TOKENS)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n").asc(), F.xxhash64("ids").asc()]  # rows of one id, and rows without one, spread too
+    ordered = ids.drop("counts").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered.mapInArrow(_pack(spark.sparkContext.broadcast(freq), block_tokens, kind), "part bigint, block bigint, n_tokens bigint, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, unless they aren't wanted, ids (little-endian uint32) of every document, decoded and verified."""
     import numpy as np
 
-    freq = np.zeros(1 << 16, dtype=np.int64)
-    for r in spark.read.schema("id bigint, frequency bigint").parquet(f"{path}/table").collect():
+    rows = spark.read.schema("id bigint, frequency bigint").parquet(f"{path}/table").collect()  # one for each id of the vocabulary at most
+    freq = np.zeros(max((r.id for r in rows), default=0) + 1, dtype=np.int64)
+    for r in rows:
         freq[r.id] = r.frequency
     blocks = spark.read.schema("part bigint, block bigint, n_tokens bigint, data binary").parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row for each file

@@ -168,7 +168,8 @@ def test_tokens_round_trip(spark, base, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
+    marked = [(70_000, "x <|endoftext|> y"), (70_001, "<|endoftext|>"), (70_002, "<|endoftext |> <|endoftext|>s\n")]
+    base = base.select("doc_id", "text").unionByName(spark.createDataFrame(marked, "doc_id bigint, text string"))
     want = []
     for r in sorted(base.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
         ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
@@ -187,11 +188,26 @@ def test_pieces_like_library():
     from tokenizers import Tokenizer
 
     t, e, rng = Tokenizer.from_file(tokens.vocabulary_path()), tokens.Encoder(tokens.vocabulary_path()), random.Random(5)
-    t.encode_special_tokens = True
+    o = tokens.Encoder(tokens.vocabulary_path(), ordinary=True)
     parts = ["a", "b", "word", "naïve", "Ünß", "'s", "'", "  ", " ", "\n", "\x1c", "\xa0", "　", "é", "1", "!", "?", "字", "\x85", "I'll", "<|endoftext|>", "ſ", "²", "é", "€", "."]
     for _ in range(5000):
         s = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
-        assert list(memoryview(e.encode([s])[0]).cast("H")) == t.encode(s, add_special_tokens=False).ids, s
+        for one, ordinary in ((e, False), (o, True)):
+            t.encode_special_tokens = ordinary
+            assert list(memoryview(one.encode([s])[0]).cast("H")) == t.encode(s, add_special_tokens=False).ids, s
+    t.encode_special_tokens = False
+    assert list(memoryview(e.encode(["x <|endoftext|> y"])[0]).cast("H")) == [87, 220, 50256, 331]
+
+
+def test_large_vocabulary_blocks():
+    """More ids than 16 bits hold, and more symbols than the least table has room for."""
+    import numpy as np
+
+    from medlattice.llm import rans
+
+    data = np.random.default_rng(2).integers(0, 1_500_000, 1_500_000).astype("<u4")
+    t = rans.Tables(rans.frequencies(np.bincount(data, minlength=1_500_001)))
+    assert t.scale > rans.SCALE and (rans.Block(rans.encode(data, [7], np.array([len(data)]), t)).tokens(t) == data).all()
 
 
 def test_rans_damage():
