@@ -3,14 +3,19 @@
 Method: every page becomes a tree of elements; each block subtree is hashed
 over its tags, attributes and text; Spark counts the pages of each host that
 hold a hash, and subtrees found on `min_pages` pages of their host or more, and
-on `min_share` of its pages at least, are deleted. Two things bound what may go: inside an article (<article> or <main>)
-paragraphs, headings, lists' items, quotes, code and tables stay, since
-articles repeat words legitimately, and only other subtrees (boxes, sections)
-are deleted; elsewhere any block subtree is. Elements that are never main text
-by their tag, role or class names (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments of readers) are dropped as well. In an
-article only whole names of a short list count (INSIDE), ids only of boxes and
-sections, as headings give their words to ids and classes there.
+on `min_share` of its pages at least, are deleted, inside articles (<article> or
+<main>) too. There paragraphs, headings, lists' items, quotes, code and tables
+need `prose_share` of the host's pages instead, since articles repeat words
+legitimately; an article itself stays. Pages count by what their articles hold
+(without an article, by the whole page), so that an article under many urls, or
+repeated rows, count once.
+
+What isn't main text but differs from page to page can't recur; as an addition
+to the method, elements that are never main text by their tag, role or class
+names (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles, comments of readers) are dropped as well. In an article only whole names
+of a short list count (INSIDE), ids only of boxes and sections, as headings give
+their words to ids and classes there.
 
 The main text is that of the articles if the page has one, else of what is left
 of the body. Character references are decoded, white space inside a block
@@ -21,7 +26,7 @@ beyond that each page is joined with the templates among its own hashes.
 
 Defined cases: null or empty html gives an empty text; unclosed, misnested and
 cut-off markup is read as browsers do in the main; null urls share one host;
-repeated pages count once by url and html; an empty table gives no rows;
+an empty table gives no rows;
 columns of the input named like a result column give way to it.
 """
 
@@ -41,6 +46,8 @@ from medlattice.llm.urls import host_of
 MIN_PAGES = 10
 #: Of a host's distinct pages: what is on fewer isn't its template, however often it occurs on a large host.
 MIN_SHARE = 0.01
+#: For prose inside articles.
+PROSE_SHARE = 0.5
 MAX_BROADCAST = 500_000
 #: Elements of the HTML standard by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,7 +60,8 @@ CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comments comment commentlist respond disqus newsletter subscribe subscription signup share sharing social related widget toolbar pagination pager".split())
 INSIDE = frozenset("ad ads advert adverts advertisement sponsored sidebar navbar breadcrumb breadcrumbs comments comments-area commentlist respond disqus disqus_thread newsletter newsletter-signup share sharing share-buttons social-share related related-posts pagination pager".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar".split())
-_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|$)|(?P<decl>[!?][^>]*)(?:>|$)|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|$)|(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/)?([a-zA-Z][^\s/>]*))")
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _SPACE = re.compile(r"[\s]+")
 
@@ -65,56 +73,100 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+#: What an element may close, and where the search for it ends; each is one slot of an open element.
+_SLOTS = (
+    (frozenset({"p"}), frozenset({"table", "td", "th", "article", "main", "section", "aside"})),
+    (frozenset({"li"}), frozenset({"ul", "ol", "menu", "table"})),
+    (frozenset({"dd", "dt"}), frozenset({"dl"})),
+    (frozenset({"td", "th"}), frozenset({"table", "tr"})),
+    (frozenset({"tr"}), frozenset({"table"})),
+    (frozenset({"head"}), frozenset()),
+)
+_CLOSES = {**{t: (0,) for t in CLOSES_P | {"p"}}, "li": (0, 1), "dd": (2,), "dt": (2,), "td": (3,), "th": (3,), "tr": (4,), "body": (0, 5)}
+
+
+class _Open:
+    """The stack of open elements. Each knows the nearest one above that each slot would close, and counts by name answer
+    whether an end tag has anything to close, so that no tag is paid for by a walk that closes nothing."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.near, self.scopes = [root], [(0,) * len(_SLOTS)], [{}]
+        self.names: dict[str, int] = {}
+
+    def push(self, node: Node) -> None:
+        tag, at = node.tag, len(self.nodes)
+        self.near.append(tuple(at if tag in names else 0 if tag in stop else up for (names, stop), up in zip(_SLOTS, self.near[-1])))
+        self.nodes.append(node)
+        self.names[tag] = self.names.get(tag, 0) + 1
+        if tag in BLOCK:
+            self.scopes.append({})
+        else:
+            self.scopes[-1][tag] = self.scopes[-1].get(tag, 0) + 1
+
+    def pop_to(self, at: int) -> None:
+        while len(self.nodes) > at:
+            tag = self.nodes.pop().tag
+            self.near.pop()
+            self.names[tag] -= 1
+            if tag in BLOCK:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][tag] -= 1
+
+    def end(self, tag: str) -> None:
+        if (self.names if tag in BLOCK else self.scopes[-1]).get(tag):  # an inline end tag doesn't close a block
+            while self.nodes[-1].tag != tag:
+                self.pop_to(len(self.nodes) - 1)
+            self.pop_to(len(self.nodes) - 1)
+
+
+def _tag_end(text: str, at: int) -> int:
+    """The place of the > that ends a start tag; quotes without an end are ordinary characters."""
+    while m := _STOP.search(text, at):
+        if m[0] == ">":
+            return m.start()
+        close = text.find(m[0], m.end())
+        at = close + 1 if close >= 0 else m.end()
+    return len(text)
+
+
 def parse(text: str) -> Node:
-    """The tree of a page; texts among children are decoded strings."""
+    """The tree of a page, in time that grows with its length; texts among children are decoded strings."""
     root = Node("#root")
-    stack, at = [root], 0
+    stack, at = _Open(root), 0
 
     def add_text(a: int, b: int) -> None:
         if b > a:
             raw = text[a:b]
-            stack[-1].children.append(_html.unescape(raw) if "&" in raw else raw)
-
-    def close(names, stop=frozenset({"table", "td", "th", "article", "main", "section", "aside"})) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in stop:
-                return
-
-    for m in _TAG.finditer(text):
-        if m.start() < at:
-            continue
+            stack.nodes[-1].children.append(_html.unescape(raw) if "&" in raw else raw)
+
+    def after(mark: str, start: int) -> int:
+        found = text.find(mark, start)
+        return found + len(mark) if found >= 0 else len(text)
+
+    while m := _OPEN.search(text, at):
         add_text(at, m.start())
-        at = m.end()
-        if (tag := m["start"]) is not None:
-            tag = tag.lower()
-            if tag == "p" or tag in CLOSES_P:
-                close({"p"})
-            if tag == "li":
-                close({"li"}, frozenset({"ul", "ol", "menu", "table"}))
-            elif tag in ("dd", "dt"):
-                close({"dd", "dt"}, frozenset({"dl"}))
-            elif tag in ("tr", "td", "th"):
-                close({"td", "th"} if tag != "tr" else {"tr"}, frozenset({"table", "tr"} if tag != "tr" else {"table"}))
-            elif tag == "body":
-                close({"head"}, frozenset())
-            node = Node(tag, m["attrs"] or "")
-            stack[-1].children.append(node)
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(text, at)
-                at = end.end() if end else len(text)
-            elif tag not in VOID and not node.attrs.endswith("/"):
-                stack.append(node)
-        elif (tag := m["end"]) is not None:
-            tag = tag.lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break  # an inline end tag doesn't close a block
+        comment, declared, end, tag = m.groups()
+        if comment:
+            at = after("-->", m.end())
+            continue
+        if declared or end:
+            at = after(">", m.end())
+            if end:
+                stack.end(tag.lower())
+            continue
+        to = _tag_end(text, m.end())
+        node = Node(tag.lower(), text[m.end() : to])
+        at = to + 1
+        for slot in _CLOSES.get(node.tag, ()):
+            if k := stack.near[-1][slot]:
+                stack.pop_to(k)
+        stack.nodes[-1].children.append(node)
+        if node.tag in RAW:
+            found = re.compile(rf"</{re.escape(node.tag)}\b[^>]*>?", re.I).search(text, at)
+            at = found.end() if found else len(text)
+        elif node.tag not in VOID and not node.attrs.endswith("/"):
+            stack.push(node)
     add_text(at, len(text))
     return root
 
@@ -159,8 +211,29 @@ def subtree_hashes(root: Node) -> dict[int, int]:
     return out
 
 
-def page_hashes(text: str | None) -> list[int]:
-    return sorted(set(subtree_hashes(parse(text)).values())) if text else []
+def page_hashes(text: str | None) -> tuple[int, list[tuple[int, bool]]]:
+    """What the page counts as, and (hash, is prose of an article) of its block subtrees, once each."""
+    if not text:
+        return 0, []
+    root = parse(text)
+    hashes, found = subtree_hashes(root), {}
+    articles = _articles(root)
+    inside, todo = set(), list(articles)
+    while todo:
+        node = todo.pop()
+        inside.add(id(node))
+        todo.extend(c for c in node.children if isinstance(c, Node))
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if (h := hashes.get(id(node))) is not None:
+            found[h] = found.get(h, True) and id(node) in inside and node.tag in PROSE
+        todo.extend(c for c in node.children if isinstance(c, Node))
+    if articles:
+        own = hashlib.blake2b(b"".join(hashes[id(a)].to_bytes(8, "big") for a in articles), digest_size=8)
+    else:
+        own = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8)
+    return int.from_bytes(own.digest(), "big", signed=True), sorted(found.items())
 
 
 def _articles(root: Node) -> list[Node]:
@@ -201,7 +274,7 @@ def main_text(text: str | None, templates=frozenset()) -> str:
         else:
             if x.tag != "#root" and _is_noise(x, inside):
                 continue
-            if hashes.get(id(x)) in templates and not (inside and x.tag in PROSE):
+            if hashes.get(id(x)) in templates and x.tag not in ("article", "main"):
                 continue
             if x.tag == "br":
                 now.append(" ")
@@ -220,11 +293,11 @@ def _hash_rows(batches):
     import pyarrow as pa
 
     for batch in slices(batches, column="html"):
-        hosts, found = batch.column("_host").to_pylist(), [page_hashes(t) for t in batch.column("html").to_pylist()]
-        keys = batch.column("_key").to_pylist()
-        flat = [(h, k, x) for h, k, xs in zip(hosts, keys, found) for x in xs]
-        cols = list(zip(*flat)) if flat else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["_host", "_key", "hash"])
+        rows = [(h, k, *page_hashes(t)) for h, k, t in zip(batch.column("_host").to_pylist(), batch.column("_key").to_pylist(), batch.column("html").to_pylist())]
+        flat = [(h, k, page, x, prose) for h, k, page, xs in rows for x, prose in [*xs, (None, None)]]  # the last one is the page itself
+        cols = list(zip(*flat))
+        kinds = zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in kinds], names=["_host", "_key", "page", "hash", "prose"])
 
 
 def _extract(columns: list[str], known=None):
@@ -244,19 +317,25 @@ def _placed(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"_host": host_of(F.col("url")), "_key": F.xxhash64("url", "html")})
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """_host, hash, pages: block subtrees found on min_pages distinct pages of a host or more, and on min_share of them at least."""
-    placed = _placed(pages.select("url", "html")).select("_host", "_key", "html")
-    rows = placed.mapInArrow(_hash_rows, "_host string, _key bigint, hash bigint")
-    often = rows.groupBy("_host", "hash").agg(F.count_distinct("_key").alias("pages")).filter(F.col("pages") >= max(min_pages, 2))
-    hosts = placed.groupBy("_host").agg(F.count_distinct("_key").alias("of"))
-    return often.join(hosts, "_host").filter(F.col("pages") >= min_share * F.col("of")).drop("of")
+_HASHES = "_host string, _key bigint, page bigint, hash bigint, prose boolean"
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
+    """_host, hash, pages: subtrees found on min_pages distinct pages of a host or more, and on min_share of them at least
+    (prose_share, where only articles hold them, as prose)."""
+    rows = _placed(pages.select("url", "html")).select("_host", "_key", "html").mapInArrow(_hash_rows, _HASHES)
+    seen = rows.groupBy("_host", "hash", "page").agg(F.min("prose").alias("prose"))  # repeated pages once
+    counted = seen.groupBy("_host", "hash").agg(F.count("*").alias("pages"), F.min("prose").alias("prose"))  # a null hash counts the host's pages
+    counted = table(counted.filter(F.col("hash").isNull() | (F.col("pages") >= max(min_pages, 2))), "html-counts")
+    hosts = counted.filter("hash is null").select("_host", F.col("pages").alias("of"))
+    share = F.when(F.col("prose"), prose_share).otherwise(min_share)
+    return counted.filter("hash is not null").join(hosts, "_host").filter(F.col("pages") >= share * F.col("of")).select("_host", "hash", "pages")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST, min_share: float = MIN_SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
     """pages, without html, with text and n_chars."""
     spark = pages.sparkSession
-    found = table(templates(pages, min_pages, min_share), "html-templates")
+    found = table(templates(pages, min_pages, min_share, prose_share), "html-templates")
     kept = [c for c in pages.columns if c.lower() not in ("text", "n_chars", "html", "_host", "_key", "_templates")]
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     rows = _placed(pages.select(*[quoted(c) for c in kept], "html"))
@@ -266,7 +345,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, max_broadcast: int = M
             by_host.setdefault(r[0], set()).add(r[1])
         known = spark.sparkContext.broadcast({k: frozenset(v) for k, v in by_host.items()})
         return rows.mapInArrow(_extract(kept, known), schema)
-    own = rows.select("_host", "_key", "html").mapInArrow(_hash_rows, "_host string, _key bigint, hash bigint")
+    own = rows.select("_host", "_key", "html").mapInArrow(_hash_rows, _HASHES)
     own = own.join(found, ["_host", "hash"], "left_semi").groupBy("_key").agg(F.collect_set("hash").alias("_templates"))  # of one page
     return rows.join(own, "_key", "left").mapInArrow(_extract(kept), schema)
 

@@ -320,20 +320,59 @@ def test_html_keeps_what_only_looks_hidden():
 def test_html_templates(spark):
     page = lambda k: f"<body><div><span>Shared box of the site</span></div><article><p>Text {k}</p><div>Follow us</div><p>Same words</p></article></body>"
     rows = [(k, f"http://h.org/{k}", page(k)) for k in range(12)] + [(50, "http://other.org/", page(50)), (51, None, None), (52, "x", "")]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    pages = spark.createDataFrame([(*r, "mine", "mine") for r in rows], "page_id bigint, url string, html string, text string, _key string")
     for most in (10**6, 0):
         got = {r.page_id: r.text for r in html.extract(pages, max_broadcast=most).collect()}
-        assert len(got) == 15 and got[3] == "Text 3\nSame words" and got[50] == "Text 50\nFollow us\nSame words" and got[51] == got[52] == ""
+        assert len(got) == 15 and got[3] == "Text 3" and got[50] == "Text 50\nFollow us\nSame words" and got[51] == got[52] == ""
+    off = {r.page_id: r.text for r in html.extract(pages, min_pages=10**9).collect()}
+    assert off[3] == "Text 3\nFollow us\nSame words"  # what goes, goes by the counts
     assert html.extract(pages.filter("false")).isEmpty()
 
 
+def test_html_template_counts(spark):
+    """Counts of subtrees by distinct articles, against plain Python; prose of articles needs half of a host's pages."""
+    rng, rows = random.Random(8), []
+    for k in range(60):
+        inner = "".join(f"<{t}>{w}</{t}>" for t, w in ((rng.choice(["p", "div", "section"]), rng.choice("abcd")) for _ in range(rng.randint(1, 5))))
+        rows += [(k, f"http://h{k % 2}.org/{n}", f"<body><div>box {k % 3}</div><article><h1>{k // 2 % 25}</h1>{inner}</article>") for n in range(rng.randint(1, 3))]
+    want, pages_of = {}, {}
+    for _, url, text in rows:
+        host, root = url[7:13], html.parse(text)
+        page, todo = html.page_hashes(text)[0], [(root, False)]
+        pages_of.setdefault(host, set()).add(page)
+        hashes = html.subtree_hashes(root)
+        while todo:
+            node, inside = todo.pop()
+            inside = inside or node.tag == "article"
+            if id(node) in hashes:
+                pages, prose = want.setdefault((host, hashes[id(node)]), (set(), set()))
+                pages.add(page)
+                prose.add(inside and node.tag in html.PROSE)
+            todo += [(c, inside) for c in node.children if isinstance(c, html.Node)]
+    want = {(*k, len(p)) for k, (p, prose) in want.items() if len(p) >= 3 and len(p) >= (0.5 if prose == {True} else 0.2) * len(pages_of[k[0]])}
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {tuple(r) for r in html.templates(pages, 3, 0.2).collect()} == want and len(want) > 5
+
+
 def test_html_templates_by_share_of_distinct_pages(spark):
     page = lambda k, more="": f"<body><div>Site box</div><p>Text {k}</p>{more}</body>"
     rows = [(k, f"http://large.org/{k}", page(k, "<div>Recurs</div>" if k < 10 else "")) for k in range(1100)]
     rows += [(3000 + k, "http://small.org/a", page("a")) for k in range(9)] + [(4000, "http://small.org/b", page("b"))]
+    rows += [(5000 + k, f"http://mirror.org/{k}", f"<nav>{k}</nav><article><p>One text</p></article>") for k in range(30)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert len(got) == len(rows) and got[3] == "Text 3\nRecurs" and got[149] == "Text 149"
-    assert got[3000] == "Site box\nText a" and got[4000] == "Site box\nText b"
+    assert got[3000] == "Site box\nText a" and got[4000] == "Site box\nText b" and got[5003] == "One text"
+
+
+def test_html_damaged_pages_in_linear_time():
+    import time
+
+    n = 100_000
+    for text in ("<a " * n + '"', "<div>" * n + "</i>" * n, "<b><div>" + "<i>" * n + "</b>" * n, "<p><table>" + "<div>" * n, "<a href='" * n, "<p>" * n, "</p>" * n, "<!--" * n, "<li><b>" * n + "</li>" * n):
+        began = time.time()
+        html.page_hashes(text), html.main_text(text, frozenset({1}))
+        assert time.time() - began < 8, text[:20]
+    assert html.main_text("<p>" + "<span x='>'>" * 2000 + "deep <a href=\"x>y</a>") == "deep y"
 
 
 def test_urls(spark):
