@@ -383,6 +383,39 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id bigint, url string")).isEmpty()
 
 
+URL_SQL = r"""
+with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end r from pages),
+h as (select page_id, coalesce(translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host, coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') path from u),
+rules as (select * from (values ('com', '/'), ('example.com', '/en/'), ('www.example.com', '/en/'), ('net', '/es/'), ('net', '/fr/')) t(n, p))
+select page_id, host, path, (select max_by(n || p, length(n || p)) from rules where (host = n or ends_with(host, '.' || n)) and starts_with(path, p)) rule from h
+"""
+
+
+def test_url_rules_against_sql(spark):
+    same, said = compare(urls.op9_url_filter(spark, D).drop("verdict"), connect(D), URL_SQL)
+    assert same, said
+
+
+def test_url_rules_by_join(spark):
+    """Many rules are joined with the hosts' suffixes, with the same result; long urls and repeated rows are as others."""
+    rng = random.Random(6)
+    host = lambda n: ".".join(rng.choice("abc") for _ in range(n))
+    rules = [(rng.choice(["allow", "block"]), f"{host(rng.randint(1, 4))}/{rng.choice(['', 'x', 'x/', 'y/x'])}") for _ in range(80)]
+    rows = [(k, f"http://{host(rng.randint(1, 6))}/{rng.choice(['', 'x', 'x/1', 'y/x', 'z'])}{'?q' if k % 3 else ''}") for k in range(300)] + [(300, "http://a.b/" + "x/" * 20_000), (300, "http://a.b/" + "x/" * 20_000), (301, None), (302, "")]
+    pages = urls.lexical(spark.createDataFrame(rows, "page_id bigint, url string"), rules, 200).select("page_id", "host", "path", "rule", "said")
+    joined = urls.lexical(spark.createDataFrame(rows, "page_id bigint, url string"), rules, 0).select("page_id", "host", "path", "rule", "said")
+    want = Counter(map(tuple, pages.collect()))
+    assert Counter(map(tuple, joined.collect())) == want and len({r[3] for r in want}) > 20
+
+
+def test_url_held_out_pages(spark):
+    """Rules' verdicts of hosts that the trees haven't seen."""
+    n = Counter()
+    for r in urls.held_out(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect():
+        n[r.said == r.guess] += r.n
+    assert n[True] >= 0.8 * sum(n.values()) > 0
+
+
 def test_url_model_held_out(spark):
     """Trees trained on some labelled urls judge others: lexical marks decide here."""
     rng = random.Random(2)
