@@ -6,9 +6,10 @@ window. Windows are hashed into a set that is broadcast, document windows are
 looked up there by a rolling hash over word numbers, every hit is verified
 word by word, and hit documents or hit spans are removed.
 
-The broadcast has a proven bound: the benchmark is cut into blocks of at most
-`block_bytes` of text and documents are scanned once for each block, so that a
-benchmark of any size works with the same memory.
+The broadcast has a proven bound: the benchmark streams through the driver in
+blocks of at most `block_bytes` of text (or one item), one at a time; a window
+takes 16 bytes, a distinct word about 100. Documents are scanned once for each
+block, so that a benchmark of any size works with the same memory.
 
 Defined cases: a null or empty text has no words and no hits; an item without
 words has no window; repeated documents are judged row by row; repeated item
@@ -18,6 +19,8 @@ nothing; columns of the input named like a result column give way to it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 from medlattice.llm.common import quoted, read, slices, table
 
 N = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Lower-casing comes first in the contract; here the class lets A-Z in and each distinct word is lower-cased.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -39,38 +42,54 @@ def item_words(text: str | None) -> list[str]:
 
 
 class WindowIndex:
-    """Windows of one block of the benchmark, as word numbers from 1."""
+    """Windows of one block of the benchmark: word numbers from 1, all items end to end, and for each window size the sorted
+    hashes with their places. About 16 bytes a window, besides the block's distinct words."""
 
     def __init__(self, items: list[tuple[str, str | None]], n: int = N):
-        self.vocabulary: dict[str, int] = {}
-        self.windows: dict[int, dict[bytes, list[str]]] = {}
         import numpy as np
 
+        self.vocabulary: dict[str, int] = {}
+        of = self.vocabulary
+        self.names, parts, places = [], [], {}
+        at = 0
         for item, text in items:
             words = item_words(text)
             if not words:
                 continue
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.int64)
-            size = min(n, len(ids))
-            of_size = self.windows.setdefault(size, {})
-            for i in range(len(ids) - size + 1):
-                owners = of_size.setdefault(ids[i : i + size].tobytes(), [])
-                if item not in owners:
-                    owners.append(item)
+            parts.append(np.array([of.setdefault(w, len(of) + 1) for w in words], dtype=np.int32))
+            self.names.append((at, item))
+            size = min(n, len(words))
+            places.setdefault(size, []).append(np.arange(at, at + len(words) - size + 1, dtype=np.int32))
+            at += len(words)
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+        self.starts = np.array([a for a, _ in self.names], dtype=np.int64)
+        self.windows: dict[int, tuple] = {}
+        for size, found in places.items():
+            place = np.concatenate(found)
+            hashes = rolling([self.flat[place + j] for j in range(size)])
+            order = np.argsort(hashes, kind="stable")
+            self.windows[size] = (hashes[order], place[order])
 
     def compiled(self):
         """For each window size: the sorted hashes and a bit table in front of them."""
         import numpy as np
 
         out = []
-        for size, windows in self.windows.items():
-            rows = np.frombuffer(b"".join(windows), dtype=np.int64).reshape(-1, size)
-            hashes = np.unique(rolling(rows.T))
+        for size, (hashes, _) in self.windows.items():
             front = np.zeros(1 << 20, dtype=bool)
             front[(hashes >> np.uint64(44)).astype(np.int64)] = True
             out.append((size, hashes, front))
         return out
 
+    def owners(self, ids, size: int, h) -> frozenset[str]:
+        """Items that hold these words, compared word by word."""
+        import numpy as np
+
+        hashes, place = self.windows[size]
+        a, b = np.searchsorted(hashes, h, side="left"), np.searchsorted(hashes, h, side="right")
+        same = [p for p in place[a:b].tolist() if (self.flat[p : p + size] == ids).all()]
+        return frozenset(self.names[k][1] for k in {int(np.searchsorted(self.starts, p, side="right")) - 1 for p in same})
+
 
 def rolling(columns):
     """64-bit hash of windows; columns[j] holds word j of each window."""
@@ -102,6 +121,7 @@ def _scanner(index, columns: list[str]):
                 return got
 
         number = Ids().__getitem__
+        held: dict[bytes, frozenset[str]] = {}
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             words = [find(t) if t else [] for t in texts]
@@ -122,8 +142,12 @@ def _scanner(index, columns: list[str]):
                 ok = front[(h >> np.uint64(44)).astype(np.int64)]
                 at, h = at[ok], h[ok]
                 ok = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
-                for i in at[ok].tolist():
-                    owners = idx.windows[size].get(ids[i : i + size].tobytes())  # verified word by word
+                for i, own in zip(at[ok].tolist(), h[ok]):
+                    words_at = ids[i : i + size].tobytes()
+                    if (owners := held.get(words_at)) is None:
+                        if len(held) > 100_000:
+                            held.clear()
+                        owners = held[words_at] = idx.owners(ids[i : i + size], size, own)
                     if owners:
                         hits.setdefault(int(np.searchsorted(starts, i, side="right")) - 1, []).append((i, size, owners))
             spans_from, spans_to, items = [[] for _ in texts], [[] for _ in texts], [[] for _ in texts]
@@ -150,17 +174,17 @@ def _scanner(index, columns: list[str]):
     return scan
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str | None]]]:
-    """The benchmark in blocks of bounded bytes; rows come to the driver a partition at a time."""
-    blocks, now, size = [], [], 0
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The benchmark in blocks of bounded bytes, one after the other; rows come to the driver a partition at a time."""
+    now, size = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), F.col("text").alias("t"))
     for r in rows.filter("t is not null").toLocalIterator():
         if now and size + len(r.t) > block_bytes:
-            blocks.append(now)
+            yield now
             now, size = [], 0
         now.append((r.i, r.t))
         size += len(r.t)
-    return [*blocks, now]
+    yield now
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -174,12 +198,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = B
     longs = T.ArrayType(T.LongType())
     added = zip(_ADDED, (T.LongType(), T.LongType(), longs, longs, T.ArrayType(T.StringType())))
     schema = T.StructType(fields + [T.StructField(k, t) for k, t in added])
-    blocks = _blocks(benchmark, block_bytes)
-    for k, block in enumerate(blocks):
-        index = spark.sparkContext.broadcast(WindowIndex(block, n))
-        docs = docs.mapInArrow(_scanner(index, kept), schema)
-        if k + 1 < len(blocks):
-            docs = table(docs, "decontaminate")  # one block in memory at a time
+    broadcast = None
+    for block in _blocks(benchmark, block_bytes):
+        if broadcast is not None:  # what the block before has found is written, and its index goes
+            docs = table(docs, "decontaminate")
+            broadcast.destroy()
+        broadcast = spark.sparkContext.broadcast(WindowIndex(block, n))
+        docs = docs.mapInArrow(_scanner(broadcast, kept), schema)
     return docs
 
 

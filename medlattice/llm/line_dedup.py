@@ -198,6 +198,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     entries = lines.select("id", "th", F.explode("runs").alias("hash"))
     key = F.struct("id", "th")
     holders = entries.groupBy("hash").agg(F.min(key).alias("first"), F.max(key).alias("last")).filter("first <> last").select("hash", "first")
+    holders = table(holders, "lines-holders")  # so that the join has two exchanges, and a common run's rows are dealt to several tasks
     pairs = entries.join(holders, "hash").filter(key != F.col("first")).select("id", "th", F.col("first.id").alias("fid"), F.col("first.th").alias("fth")).distinct()
     one = lines.drop("runs").dropDuplicates(["id", "th"])
     sides = pairs.join(one, ["id", "th"]).join(one.select(F.col("id").alias("fid"), F.col("th").alias("fth"), F.col("hashes").alias("earlier")), ["fid", "fth"])

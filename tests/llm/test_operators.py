@@ -72,6 +72,24 @@ def test_decontaminate_blocks_and_spans(spark):
     assert cut[1].split() == ["x", "y", "z"] and cut[3] == "t0 t1 t2"
 
 
+def test_decontaminate_shared_windows(spark):
+    """Windows that items share, twice in one item, of several sizes; against plain search in word lists."""
+    rng = random.Random(9)
+    items = [(f"i{k}", " ".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 3, 9, 16, 30])))) for k in range(40)]
+    docs = [(k, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))) for k in range(80)]
+    got = {r.doc_id: r for r in decontaminate.scan(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string"), block_bytes=300).collect()}
+    for k, text in docs:
+        w, hit, found = text.split(), set(), set()
+        for item, t in items:
+            v = t.split()
+            n = min(13, len(v))
+            grams = {tuple(v[j : j + n]) for j in range(len(v) - n + 1)}
+            at = [j for j in range(len(w) - n + 1) if tuple(w[j : j + n]) in grams]
+            hit |= {x for j in at for x in range(j, j + n)}
+            found |= {item} if at else set()
+        assert (got[k].n_words, got[k].n_hit, got[k].hit_items) == (len(w), len(hit), sorted(found)), k
+
+
 def test_katz_against_counts(spark, base):
     rows = [(r.doc_id, [*[w.translate(LOWER) for w in words(r.text)], None]) for r in base.collect()]
     ones, twos = Counter(), Counter()
