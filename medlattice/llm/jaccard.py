@@ -1,46 +1,50 @@
-"""Exact n-gram Jaccard join in regions, with pivots, and components of its links.
+"""Exact n-gram Jaccard join in Voronoi regions of pivots, and components of its links.
 
 Documents are sets of distinct word n-grams; the Jaccard distance of sets is a
-metric. Two documents link if their similarity is at least `percent` / 100.
-
-Method named: pivots create Voronoi regions, triangle-inequality windows
-replicate boundary documents, regions join recursively and exactly. With
-documents as the top pivots this degenerates: almost all documents are within
-twice the join radius of every pivot (see the README), so each would go to all
-regions. Here the top level is split instead by agreement on a part of the
-n-gram universe, which is as exact: within a window of sizes (neighbouring
-size intervals, the triangle inequality with the empty set as pivot) a linked
-pair differs in at most D n-grams, so of D + 1 + SPARE hashed parts of the
-universe it agrees on at least 1 + SPARE; unless more than SPARE parts are
-empty, one of them isn't. Every document goes to one region for each part
-(its boundary replication). Inside regions:
-
-1. the least document is the region's pivot; distances to it are computed
-   exactly, each pair once;
-2. linked documents join components; a region that lies in one component is done;
-3. otherwise the region is joined again. Regions of at most SMALL documents are
-   compared in one task by parity sketches (the distance of two sketches never
-   exceeds the sets' symmetric difference, so only pairs that can't link are
-   left out), and what is left between components is computed exactly;
-4. in larger regions, of every component but its largest the least document
-   that hasn't been one becomes a pivot (at most PIVOTS a round), whose
-   distances are computed to the documents of other components that neither
-   the triangle inequality over the first pivot nor the sketches exclude. This
-   goes on until each region is done.
-
-So a group of n copies costs n distances for each pivot and never n * n pairs,
-and nothing is capped: rounds end when no pair is left.
+metric. Two documents link if their similarity is at least `percent` / 100, that
+is, if their distance is at most r = 1 - percent / 100.
+
+1. Pivots are PIVOTS documents chosen by hash, with at most PIVOT_GRAMS n-grams
+   altogether, which bounds their broadcast. Exact distances from a document to
+   all of them come from one look-up of its n-grams. It goes to the region of
+   the nearest pivot (its home, at distance h) and, as the boundary window, to
+   each pivot within h + 2r: of a linked pair each is then in the other's home.
+2. Where h + 2r reaches 1, the window holds all pivots, as every document
+   without a shared n-gram is at distance 1. So documents with h >= 1 - 2r are
+   "far", and those with h >= 1 - 3r join them (the triangle inequality: what
+   links with a far one is no nearer). Distances concentrate there, and pivots
+   can't tell them apart; the far region is divided by agreement on parts of the
+   n-gram universe instead, which is as exact: within a group of sizes a linked
+   pair differs in at most D n-grams, so of D + 1 + S hashed parts of the
+   universe it agrees on at least 1 + S; unless more than S parts are empty, one
+   of them isn't. A document goes to one region for each part.
+3. In a region the least document is a pivot again: distances to it are computed
+   exactly, each pair once; linked documents join components, and a region that
+   lies in one component is done. So a group of n copies costs n distances.
+4. Regions of at most SMALL documents are compared in one task by parity
+   sketches (the distance of two sketches never exceeds the sets' symmetric
+   difference, so only pairs that can't link are left out), and what is left
+   between components is computed exactly. Larger regions are divided as in 1,
+   by pivots of their own documents (a far document stays in what is left of
+   its region), and join recursively. A region that this doesn't make smaller,
+   or whose windows replicate its documents more than REPLICAS times on average,
+   is dealt to tasks as pairs of blocks of SMALL documents instead.
+
+The rounds are as many as a region has levels, whatever the number of its
+components. Nothing is capped.
 
 Hashes of words and n-grams have 64 bits. Defined cases: a null or empty text
 has no n-grams and links with nothing; fewer than n words are one n-gram; rows
 with the same doc_id are one document, which links as any exact copy of one of
-its texts does and else by the greatest of them; rows with a null doc_id link with nothing and have a null component; an empty
-table gives no rows; columns of the input named like a result column give way.
+its texts does and else by the greatest of them; a doc_id that is no integer
+fails the cast; rows with a null doc_id link with nothing and have a null
+component; an empty table gives no rows; columns of the input named like a
+result column give way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medlattice.llm.common import WORD, quoted, read, slices, table
@@ -49,8 +53,11 @@ from medlattice.llm.components import components
 N = 3
 PERCENT = 90
 SPARE = 2
-PIVOTS = 8
+PIVOTS = 256
+PIVOT_GRAMS = 500_000
+PIVOT_CHARS = 200_000  # longer texts don't become pivots
 SMALL = 4096
+REPLICAS = 4
 SKETCH_BITS = 512
 LOWER = {c: c + 32 for c in range(65, 91)}
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -95,37 +102,99 @@ class Grams:
         return np.unique(h)
 
 
-def size_bounds(up_to: int, percent: int) -> list[int]:
-    """Starts of size intervals: sets of linked documents are in the same or in neighbouring ones."""
-    bounds = [1]
-    while bounds[-1] <= up_to:
-        bounds.append(bounds[-1] * 100 // percent + 1)
-    return [*bounds, bounds[-1] * 100 // percent + 1, (bounds[-1] * 100 // percent + 1) * 100 // percent + 1]
+class Pivots:
+    """Sets of the pivots, looked up by n-gram; names: their regions' keys."""
 
+    def __init__(self, sets, percent: int):
+        import hashlib
+
+        import numpy as np
 
-def signatures(grams, bounds, percent: int, salt: int):
-    """Region keys of one set: one for each part of the universe, for the window below and the window above its size."""
+        self.radius = (100 - percent) / 100
+        self.sizes = np.array([len(g) for g in sets], dtype=np.int64)
+        self.names = np.array([int.from_bytes(hashlib.blake2b(g.tobytes(), digest_size=8).digest(), "big", signed=True) for g in sets], dtype=np.int64)
+        grams = np.concatenate(sets) if len(sets) else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(grams, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.grams, self.starts = np.unique(grams[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(grams))
+
+    def distances(self, grams):
+        """Exact distances to all pivots."""
+        import numpy as np
+
+        if not len(self.sizes):
+            return np.ones(0)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        at = at[self.grams[at] == grams]
+        if not len(at):
+            return np.ones(len(self.sizes))
+        first, n = self.starts[at], self.ends[at] - self.starts[at]
+        places = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+        both = np.bincount(self.owners[places], minlength=len(self.sizes))
+        return 1 - both / (self.sizes + len(grams) - both)
+
+    def regions(self, grams):
+        """(keys of the Voronoi regions with their windows, whether it is in the far region, pivots within the window)."""
+        d = self.distances(grams)
+        home = d.min() if len(d) else 1.0
+        window = d <= home + 2 * self.radius + 1e-9
+        near = self.names[window] if home < 1 - 2 * self.radius else self.names[:0]
+        return near, home >= 1 - 3 * self.radius - 1e-9, int(window.sum())
+
+
+class Sizes:
+    """Groups of sizes: a set in the interval [bounds[g], bounds[g + 1]) is in group g and, unless it is too large to link
+    with any set of the interval before, in group g - 1. Linked sets are in the group of the smaller one."""
+
+    def __init__(self, percent: int):
+        self.percent, self.bounds, self.parts = percent, [1], []
+
+    def grow(self, size: int) -> None:
+        from math import exp
+
+        p = self.percent
+        while self.bounds[-1] <= size:
+            a = self.bounds[-1]
+            b = max(a + 1, -(-a * 10_000 // (p * p)))
+            most = (100 - p) * (b - 1 + self.top(b)) // (100 + p)  # n-grams in which a linked pair differs
+            spare = SPARE
+            while spare < most and (most + 1 + spare) * exp(-a / (most + 1 + spare)) * 1.5 + 1 > spare:
+                spare += 1  # parts are seldom empty then
+            self.bounds.append(b)
+            self.parts.append((most, spare))
+
+    def top(self, bound: int) -> int:
+        """The greatest size that links with a size below the bound."""
+        return (bound - 1) * 100 // self.percent
+
+    def groups(self, size: int) -> list[tuple[int, int, int]]:
+        """(group, D, S) of each group of a size."""
+        from bisect import bisect_right
+
+        self.grow(size)
+        k = bisect_right(self.bounds, size) - 1
+        return [(g, *self.parts[g]) for g in ((k, k - 1) if k and size <= self.top(self.bounds[k]) else (k,))]
+
+
+def signatures(grams, sizes: Sizes, salt: int):
+    """Region keys of one set: one for each part of the universe, for each group of its size."""
     import numpy as np
 
-    n = len(grams)
-    k = int(np.searchsorted(bounds, n, side="right")) - 1
     out = []
     with np.errstate(over="ignore"):
-        for group in (k, k + 1):  # intervals group - 1 and group
-            if group == 0:
-                continue
-            most = (100 - percent) * (int(bounds[group]) + int(bounds[group + 1]) - 2) // (100 + percent)
+        for group, most, spare in sizes.groups(len(grams)):
             if most < 1:
                 continue  # only equal sets link, and those have the same fingerprint
-            parts = most + 1 + SPARE
-            h = _mix(grams + np.uint64((salt + group * 0x1000193) & 0xFFFFFFFFFFFFFFFF))
+            parts = most + 1 + spare
+            h = _mix(grams + np.uint64((salt * 0x9E3779B1 + group * 0x1000193) & 0xFFFFFFFFFFFFFFFF))
             part = (h % np.uint64(parts)).astype(np.int64)
             count = np.bincount(part, minlength=parts)
             low = np.bincount(part, weights=(grams & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=parts)  # exact: below 2^53
             high = np.bincount(part, weights=(h >> np.uint64(32)).astype(np.float64), minlength=parts)
             key = _mix(low.astype(np.uint64) + np.uint64(group)) ^ (high.astype(np.uint64) * np.uint64(_M1))
             key = _mix(key + np.arange(parts, dtype=np.uint64) * np.uint64(_M2) + count.astype(np.uint64))
-            if int((count == 0).sum()) <= SPARE:
+            if int((count == 0).sum()) <= spare:
                 key = key[count > 0]
             out.append(key)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
@@ -195,32 +264,54 @@ def _small_regions(percent: int):
     return run
 
 
-def _features(n: int, percent: int):
+def _features(n: int, percent: int, pivots):
     def run(batches):
         import hashlib
 
         import numpy as np
         import pyarrow as pa
 
-        of, bounds, seen = Grams(n), np.array(size_bounds(1 << 16, percent)), set()
+        of, sizes_, known, seen = Grams(n), Sizes(percent), pivots.value, set()
+        none = np.zeros(0, dtype=np.int64)
         for batch in slices(batches):
-            sizes, prints, keys, sketches = [], [], [], []
+            sizes, prints, keys, sketches, near, window = [], [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 g = of(text)
-                while len(g) >= bounds[-3]:
-                    bounds = np.array(size_bounds(int(bounds[-1]) * 2, percent))
                 sizes.append(len(g))
                 sketches.append(sketch(g) if len(g) else None)
                 prints.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None)
+                own, far, within = none, False, 0
                 if len(g) and prints[-1] not in seen:  # further copies in this task share the first one's regions
                     if doc is not None and len(seen) < 1_000_000:
                         seen.add(prints[-1])
-                    keys.append(signatures(g, bounds, percent, 0))
-                else:
-                    keys.append(np.zeros(0, dtype=np.int64))
+                    own, far, within = known.regions(g)
+                keys.append(np.concatenate((own, signatures(g, sizes_, 0))) if far else own)
+                near.append(len(own))
+                window.append(within)
             lengths = np.cumsum([0, *map(len, keys)])
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n", "print", "keys", "sketch"])
+            flat = pa.array(np.concatenate(keys) if keys else none)
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat), pa.array(sketches, pa.list_(pa.int64())), pa.array(near, pa.int32()), pa.array(window, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "print", "keys", "sketch", "near", "window"])
+
+    return run
+
+
+def _divide(n: int, pivots):
+    """The regions, inside those of key, of pivots; 0 stands for what is far from all."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        of, known = Grams(n), pivots.value
+        for batch in slices(batches, 1_000_000):
+            out = []
+            for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                near, far, _ = known.regions(of(t))
+                own = np.append(near, 0) if far else near
+                with np.errstate(over="ignore"):
+                    out.append(_mix(_mix(own.view(np.uint64)) + np.uint64(k & 0xFFFFFFFFFFFFFFFF)).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "x", "c")), pa.array(out, pa.list_(pa.int64()))], names=["key", "x", "c", "keys"])
 
     return run
 
@@ -234,7 +325,7 @@ def _compare(n: int, percent: int):
         last, pivot = None, None
         for batch in batches:
             shared, union = [], []
-            for p, tx, tp in zip(batch.column("p").to_pylist(), batch.column("text_x").to_pylist(), batch.column("text_p").to_pylist()):
+            for p, tx, tp in zip(batch.column("p").to_pylist(), map(str, batch.column("text_x")), map(str, batch.column("text_p"))):
                 if p != last:
                     last, pivot = p, of(tp)
                 x = of(tx)
@@ -250,20 +341,49 @@ def _verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, n: int, p
     """pairs x, p with shared, either (sizes of intersection and union) and linked."""
     a = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("text_x")).hint("merge"), "x")
     b = a.join(texts.select(F.col("node").alias("p"), F.col("text").alias("text_p")).hint("merge"), "p")  # so sorted by pivot
-    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")  # each row holds two texts
-    try:
-        out = b.select("x", "p", "text_x", "text_p").mapInArrow(_compare(n, percent), "x bigint, p bigint, shared bigint, either bigint")
-        return table(out.withColumn("linked", 100 * F.col("shared") >= percent * F.col("either")), "jaccard-pairs")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
-def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    out = b.select("x", "p", "text_x", "text_p").mapInArrow(_compare(n, percent), "x bigint, p bigint, shared bigint, either bigint")
+    return table(out.withColumn("linked", 100 * F.col("shared") >= percent * F.col("either")), "jaccard-pairs")
+
+
+def pivot_sets(docs: DataFrame, n: int = N, pivots: int = PIVOTS, salt: int = 0) -> list:
+    """n-gram sets of about `pivots` documents chosen by hash, of PIVOT_GRAMS n-grams at most altogether."""
+    total, h = docs.filter("doc_id is not null").count(), F.xxhash64(F.lit(salt), "doc_id")
+    chosen = docs.filter((F.pmod(h, F.lit(max(1, total))) < pivots) & (F.length("text") <= PIVOT_CHARS))
+    of, out, size = Grams(n), {}, 0
+    for r in chosen.select("doc_id", "text").orderBy(h, "text").limit(2 * pivots).toLocalIterator():
+        g = of(r.text)
+        if len(g) and g.tobytes() not in out and size + len(g) <= PIVOT_GRAMS:
+            out[g.tobytes()] = g
+            size += len(g)
+    return list(out.values())
+
+
+def features(docs: DataFrame, n: int = N, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
+    """doc_id, n, print, keys of regions, sketch, near (Voronoi regions), window (pivots within the home's window)."""
+    sets = docs.sparkSession.sparkContext.broadcast(Pivots(pivot_sets(docs, n, pivots), percent))
+    return docs.mapInArrow(_features(n, percent, sets), "doc_id bigint, n bigint, print binary, keys array<bigint>, sketch array<bigint>, near int, window int")
+
+
+def paths(docs: DataFrame, n: int = N, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
+    """One row: distinct documents; those in Voronoi regions and their entries; those in the far region and their entries; and
+    the entries that windows alone would make."""
+    feats = features(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), n, percent, pivots).filter("n > 0 and window > 0")
+    far = F.size("keys") > F.col("near")
+    return feats.agg(
+        F.count("*").alias("documents"),
+        F.count_if(F.col("near") > 0).alias("near"),
+        F.sum("near").alias("near_entries"),
+        F.count_if(far).alias("far"),
+        F.sum(F.size("keys") - F.col("near")).alias("far_entries"),
+        F.sum("window").alias("window_entries"),
+    )
+
+
+def join(docs: DataFrame, n: int = N, percent: int = PERCENT, pivots: int = PIVOTS, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id, one row for each row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    feats = table(docs.mapInArrow(_features(n, percent), "doc_id bigint, n bigint, print binary, keys array<bigint>, sketch array<bigint>"), "jaccard-features")
+    feats = table(features(docs, n, percent, pivots), "jaccard-features")
     known = feats.filter("doc_id is not null and n > 0")
     nodes = table(known.groupBy("print").agg(F.min("doc_id").alias("node")), "jaccard-nodes")  # equal sets are one node
     member = known.select("doc_id", "print").join(nodes, "print")
@@ -274,10 +394,14 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         own = own.groupBy("_d").agg(F.min("_n").alias("_n"))
         return df.join(own, F.col(name) == F.col("_d"), "left").withColumn(name, F.coalesce("_n", name)).drop("_d", "_n")
 
-    entries = known.select(F.explode("keys").alias("key"), F.col("doc_id").alias("x"))
-    shared = entries.groupBy("key").agg(F.min("x").alias("p"), F.max("x").alias("q")).filter("p <> q").select("key", "p")
-    regions = table(entries.join(shared, "key"), "jaccard-regions")
-    first = as_node(as_node(regions.filter("x <> p").select("x", "p").distinct(), "x"), "p").filter("x <> p").select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
+    def shared(entries: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Entries of regions with more than one document, and pairs x, p with the least document of each region."""
+        many = entries.groupBy("key").agg(F.min("x").alias("p"), F.max("x").alias("q")).filter("p <> q").select("key", "p")
+        regions = table(entries.join(many, "key"), name)
+        own = as_node(as_node(regions.filter("x <> p").select("x", "p").distinct(), "x"), "p").filter("x <> p")
+        return regions, own.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
+
+    regions, first = shared(known.select(F.explode("keys").alias("key"), F.col("doc_id").alias("x"), F.lit(None).cast("bigint").alias("before")), "jaccard-regions")
     info = known.groupBy(F.col("doc_id").alias("node")).agg(F.min("n").alias("n"), F.max("n").alias("n2"), F.min("sketch").alias("sketch"), F.max("sketch").alias("s2"))
     one_text = (F.col("n") == F.col("n2")) & (F.col("sketch") == F.col("s2"))  # else the sketch excludes nothing
     info = table(info.select("node", F.when(one_text, F.col("n")).alias("n"), F.when(one_text, F.col("sketch")).alias("sketch")), "jaccard-sketches")
@@ -306,49 +430,47 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         many = df.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
         return df.join(many, "key", "left_semi")
 
-    def distance(df: DataFrame, pivot: str, name: str) -> DataFrame:
-        d = done.select(F.col("x").alias("_x"), F.col("p").alias("_p"), (1 - F.col("shared") / F.col("either")).alias(name))
-        return df.join(d, (F.greatest("x", pivot) == F.col("_x")) & (F.least("x", pivot) == F.col("_p")), "left").drop("_x", "_p")
-
-    open_ = as_node(as_node(regions, "x"), "p").distinct()
-    open_ = split(labelled(open_)).filter("x <> p")
-    open_ = table(distance(open_.withColumnRenamed("p", "first"), "first", "d").select("key", "x", "d"), "jaccard-open")
-    while True:
-        now = table(split(labelled(open_.select("key", "x", "d"))), "jaccard-open")
-        if now.isEmpty():
-            break
-        of_key = now.groupBy("key").agg(F.count("*").alias("c"))
-        large = of_key.filter(F.col("c") > SMALL).select("key")
-        own = info.select(F.col("node").alias("x"), "n", "sketch")
-        rows = now.join(of_key.filter(F.col("c") <= SMALL).select("key"), "key").join(own, "x").select("key", "x", "n", "component", "sketch")
+    own = info.select(F.col("node").alias("x"), "n", "sketch")
+    open_ = table(split(labelled(as_node(regions.select("key", "x", "before"), "x").distinct())), "jaccard-open")
+    level = 0
+    while not open_.isEmpty():
+        level += 1
+        now = open_.join(open_.groupBy("key").agg(F.count("*").alias("c")), "key")
+        fits = F.col("c") <= small
+        rows = now.filter(fits).select("key", "x", "component")
+        large = table(now.filter(~fits).select("key", "x", "component", "c", (F.col("c") > 0.9 * F.col("before")).alias("stuck")), "jaccard-large")
+        deeper = None
+        if not large.isEmpty():
+            texts = table(_texts(docs, large.select(F.col("x").alias("node")).distinct()).withColumnRenamed("node", "doc_id"), "jaccard-texts")
+            sets = spark.sparkContext.broadcast(Pivots(pivot_sets(texts, n, pivots, level), percent))
+            parts = large.filter("not coalesce(stuck, false)").join(texts.withColumnRenamed("doc_id", "x").hint("merge"), "x").select("key", "x", "c", "text")
+            parts = table(parts.mapInArrow(_divide(n, sets), "key bigint, x bigint, c bigint, keys array<bigint>"), "jaccard-divided")
+            better = parts.groupBy("key").agg(F.sum(F.size("keys")).alias("e"), F.max("c").alias("c")).filter(F.col("e") <= REPLICAS * F.col("c")).select("key")
+            deeper, tops = shared(parts.join(better, "key", "left_semi").select(F.explode("keys").alias("key"), "x", F.col("c").alias("before")), "jaccard-regions")
+            block = F.pmod(F.xxhash64("x"), F.ceil(F.col("c") / small)).cast("int")
+            dealt = large.join(better, "key", "left_anti").select("key", "x", "component", block.alias("b"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("c") / small) - 1).cast("int"))).alias("j"))
+            rows = rows.unionByName(dealt.select(F.xxhash64("key", F.least("b", "j"), F.greatest("b", "j")).alias("key"), "x", "component"))
+        rows = table(rows.join(own, "x").select("key", "x", "n", "component", "sketch"), "jaccard-compared")
         exact = rows.filter("n is not null").repartition("key").sortWithinPartitions("key").mapInArrow(_small_regions(percent), "x bigint, p bigint")
-        open_ = table(now.join(large, "key", "left_semi"), "jaccard-open")
-        pivots = _next_pivots(open_)
-        near = (F.abs(F.col("d") - F.col("qd")) <= (100 - percent) / 100 + 1e-9) | F.col("d").isNull() | F.col("qd").isNull()
-        far = open_.join(pivots, "key").filter((F.col("component") != F.col("qc")) & near).select(F.greatest("x", "q").alias("x"), F.least("x", "q").alias("p"))
         odd = rows.filter("n is null").select("key", F.col("x").alias("q"), F.col("component").alias("qc"))  # no sketch: met by all of its region
         odd = rows.join(odd, "key").filter(F.col("component") != F.col("qc")).select(F.greatest("x", "q").alias("x"), F.least("x", "q").alias("p"))
-        pairs = exact.unionByName(possible(far.unionByName(odd).distinct())).distinct().join(done.select("x", "p"), ["x", "p"], "left_anti")
-        pairs = table(pairs, "jaccard-candidates")
+        pairs = exact.unionByName(odd)
+        if deeper is not None:
+            pairs = pairs.unionByName(possible(tops))
+        pairs = table(pairs.distinct().join(done.select("x", "p"), ["x", "p"], "left_anti"), "jaccard-candidates")
         got = _verified(spark, pairs, _texts(docs, _ends(pairs)), n, percent)
-        done = table(done.unionByName(got), "jaccard-pairs")
-        open_ = open_.join(pivots.select("key", F.col("q").alias("x")), ["key", "x"], "left_anti")
+        done = table(done.select("x", "p", "linked").unionByName(got.select("x", "p", "linked")), "jaccard-pairs") if deeper is not None else done.select("x", "p", "linked").unionByName(got.select("x", "p", "linked"))
         if not got.filter("linked").isEmpty():
             links = copies.unionByName(done.filter("linked").select(F.col("x").alias("u"), F.col("p").alias("v")))
             found = components(links)
+        if deeper is None:
+            break
+        open_ = table(split(labelled(deeper.select("key", "x", "before").distinct())), "jaccard-open")
     of_doc = found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     out = feats.select("doc_id", F.col("n").alias("n_shingles")).join(of_doc, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _next_pivots(rows: DataFrame) -> DataFrame:
-    """key, qc, q, qd: of every component of a region but its largest the least document, of PIVOTS components at most."""
-    per = rows.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("x", "d")).alias("q"))
-    order = Window.partitionBy("key").orderBy(F.desc("c"), "component")
-    ranked = per.withColumn("k", F.row_number().over(order)).filter((F.col("k") > 1) & (F.col("k") <= PIVOTS + 1))
-    return ranked.select("key", F.col("component").alias("qc"), F.col("q.x").alias("q"), F.col("q.d").alias("qd"))
-
-
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("x", "p")).alias("node")).distinct()
 

@@ -274,7 +274,8 @@ def test_lines_against_all_runs(spark):
     assert got[3].n_removed == 4 and got[4].n_removed == 8 and removed
 
 
-def test_jaccard_against_all_pairs(spark, base):
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_jaccard_against_all_pairs(spark, base, n, percent):
     extra = []
     rng, text = random.Random(3), [f"v{k}" for k in range(400)]
     for k in range(60):  # near copies at many distances
@@ -282,12 +283,14 @@ def test_jaccard_against_all_pairs(spark, base):
         for j in rng.sample(range(400), rng.randint(0, 12)):
             t[j] = f"u{k}_{j}"
         extra.append((20_000 + k, " ".join(t)))
-    docs = base.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id bigint, text string"))
+    for k in range(80):  # short texts of few words, whose sets are close
+        extra.append((30_000 + k, " ".join(rng.choice("abc") for _ in range(rng.randint(1, 25)))))
+    docs = base.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id bigint, text string")).cache()
     sets = {}
     for r in docs.collect():
         w = [x.translate(LOWER) for x in words(r.text)]
         if r.doc_id is not None:
-            sets[r.doc_id] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+            sets[r.doc_id] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
     root = {i: i for i in sets}
 
     def find(i):
@@ -298,21 +301,40 @@ def test_jaccard_against_all_pairs(spark, base):
     ids = sorted(sets)
     for x, i in enumerate(ids):
         for j in ids[x + 1 :]:
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    for small in (4096, 1):  # by sketches, and by rounds of pivots
-        old, jaccard.SMALL = jaccard.SMALL, small
-        try:
-            for r in jaccard.join(docs).collect():
-                if r.doc_id is not None:
-                    assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id))
-                else:
-                    assert r.component_id is None
-        finally:
-            jaccard.SMALL = old
-    kept = [r.doc_id for r in jaccard.one_of_each(docs).collect()]
+    # Both paths in small regions; no pivots, or all documents as pivots, and regions divided again or dealt in blocks.
+    for pivots, small in ((16, 4096), (0, 4)) if n == 3 else ((16, 4096), (10**6, 2)):
+        for r in jaccard.join(docs, n, percent, pivots, small).collect():
+            if r.doc_id is not None:
+                assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id)), (pivots, small)
+            else:
+                assert r.component_id is None
+    kept = [r.doc_id for r in jaccard.one_of_each(docs, n, percent).collect()]
     assert sorted(i for i in kept if i is not None) == sorted({find(i) for i in ids}) and kept.count(None) == 2
+    some = jaccard.paths(docs, n, percent, 10**6).first()
+    assert some.near >= some.documents - 1  # all but the one too long for a pivot are their own home
+
+
+def test_jaccard_windows(spark):
+    """Of each linked pair both are in a common region, for any pivots; distances are exact."""
+    import numpy as np
+
+    rng = random.Random(11)
+    sets = [np.unique(np.array([rng.randint(0, 60) * 977 for _ in range(rng.randint(1, 60))], dtype=np.uint64)) for _ in range(120)]
+    d = lambda a, b: 1 - len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    for percent in (90, 80, 60):
+        known, sizes = jaccard.Pivots(sets[:7], percent), jaccard.Sizes(percent)
+        regions = []
+        for s in sets:
+            assert np.allclose(known.distances(s), [d(s, p) for p in sets[:7]])
+            near, far, _ = known.regions(s)
+            regions.append({*near.tolist(), *(("far", k) for k in (jaccard.signatures(s, sizes, 3).tolist() if far else ()))})
+        for a, x in zip(sets, regions):
+            for b, y in zip(sets, regions):
+                if a.tobytes() != b.tobytes() and d(a, b) <= (100 - percent) / 100:
+                    assert x & y
 
 
 def test_html():
