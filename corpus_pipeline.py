@@ -13,8 +13,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each group of near copies."""
-    return jaccard.one_of_each(docs)
+    """One document, that with the least doc_id, of each group of near copies: five words, a similarity of 0.8 or more."""
+    return jaccard.one_of_each(docs, n=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
