@@ -10,12 +10,17 @@ from medlattice.sources.store import Table, retry
 
 
 def apply_batch(serving: Table, batch: DataFrame) -> None:
-    """Newer versions win, so a batch that is replayed changes nothing."""
-    fresh = newest(batch)
-    old = serving.read()
-    if old is not None:
-        fresh = newest(old.unionByName(fresh.select(*old.columns)))
-    retry(lambda: serving.overwrite(fresh))
+    """Newer versions win, so a batch that is replayed changes nothing; only parts that may hold its ids are rewritten."""
+
+    def once() -> None:
+        fresh, at = newest(batch), serving.version()
+        old = serving.read(at)
+        if old is not None:
+            known = old.select("id", F.col("version_id").alias("_v"))
+            fresh = fresh.select(*old.columns).join(known, "id", "left").filter(F.col("_v").isNull() | (F.col("_v") < F.col("version_id"))).drop("_v")
+        serving.upsert(fresh, at)
+
+    retry(once)
 
 
 def start(spark: SparkSession, bronze: str, schema, serving: Table, checkpoint: str, files: int = 1000):
