@@ -39,6 +39,10 @@ def number(code: str, value: Column) -> Column:
     return F.array(entry(code, value))
 
 
+def uri(code: str, value: Column) -> Column:
+    return F.array(entry(code, value))
+
+
 def quantity(code: str, value: Column, system: Column | str = "", unit: Column | str | None = None) -> Column:
     """The value, with system, else unit, in the system's place."""
     if unit is not None:

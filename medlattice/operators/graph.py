@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medlattice.functions.index import reference_id, reference_type
+from medlattice.operators.lineage import cut
 from medlattice.operators.search import current, search
 
 
@@ -24,17 +25,31 @@ def edges(df: DataFrame, code: str | None = None) -> DataFrame:
 
 def chained(df: DataFrame, code: str, target: DataFrame, target_kind: str, query: str) -> DataFrame:
     """Rows whose reference `code` points at a target that the query selects."""
-    hits = search(target, target_kind, query, paged=False).select(F.concat(F.lit(f"{target_kind}/"), "id").alias("ref"))
-    ids = edges(current(df), code).join(hits, "ref", "left_semi").select("id")
+    return chained_any(df, code, {target_kind: target}, [query])
+
+
+def chained_any(df: DataFrame, code: str, targets: dict[str, DataFrame], queries: list[str]) -> DataFrame:
+    """Rows whose reference `code` points at a target, of any of the types, that any of the queries selects."""
+    hits = [search(t, kind, q, paged=False).select(F.concat(F.lit(f"{kind}/"), "id").alias("ref")) for kind, t in targets.items() for q in queries]
+    if not hits:
+        return current(df).filter("false")
+    ids = edges(current(df), code).join(reduce(DataFrame.unionByName, hits), "ref", "left_semi").select("id")
     return current(df).join(ids, "id", "left_semi")
 
 
-def has(df: DataFrame, kind: str, source: DataFrame, source_kind: str, code: str, query: str) -> DataFrame:
-    """Rows that a source selected by the query refers to by `code`."""
+def has(df: DataFrame, kind: str, source: DataFrame | None, source_kind: str, code: str, query: str) -> DataFrame:
+    """Rows that a source selected by the query refers to by `code`; none without the source's table."""
+    if source is None:
+        return current(df).filter("false")
     hits = edges(search(source, source_kind, query, paged=False), code).filter(reference_type(F.col("ref")) == kind)
     return current(df).join(hits.select(reference_id(F.col("ref")).alias("id")), "id", "left_semi")
 
 
+def has_all(df: DataFrame, kind: str, sources: list[tuple[DataFrame | None, str, str, str]]) -> DataFrame:
+    """Rows that meet every one of several reverse chains (source, its type, code, query)."""
+    return reduce(lambda rows, s: has(rows, kind, *s), sources, current(df))
+
+
 def include(found: DataFrame, code: str, target: DataFrame, target_kind: str) -> DataFrame:
     """Live target rows that the found rows refer to, once each."""
     refs = edges(found, code).filter(reference_type(F.col("ref")) == target_kind).select(reference_id(F.col("ref")).alias("id")).distinct()
@@ -42,24 +57,22 @@ def include(found: DataFrame, code: str, target: DataFrame, target_kind: str) ->
 
 
 def include_iterate(found: DataFrame, steps: list[tuple[str, str, str]], tables: dict[str, DataFrame], kind: str, rounds: int = 5) -> DataFrame:
-    """type, id of what is reached from the found rows of `kind` by (type, code, target) steps, at most `rounds` rounds."""
-    frontier = {kind: found}
-    seen: dict[str, list[DataFrame]] = {}
+    """type, id of what is reached from the found rows of `kind` by (type, code, target) steps, at most `rounds` rounds.
+
+    The found rows themselves are never included. Each round's frontier is written once, and an empty one ends it.
+    """
+    seen = cut(found.select(F.lit(kind).alias("type"), "id").distinct())
+    matches, frontier = seen, {kind: found}
     for _ in range(rounds):
-        new: dict[str, DataFrame] = {}
-        for source, code, target in steps:
-            if source in frontier:
-                got = include(frontier[source], code, tables[target], target)
-                for old in seen.get(target, []):
-                    got = got.join(old.select("id"), "id", "left_anti")
-                new[target] = new[target].unionByName(got).dropDuplicates(["id"]) if target in new else got
-        if not new:
+        parts = [include(frontier[source], code, tables[target], target).select(F.lit(target).alias("type"), "id") for source, code, target in steps if source in frontier]
+        if not parts:
+            break
+        new = cut(reduce(DataFrame.unionByName, parts).distinct().join(seen, ["type", "id"], "left_anti"))
+        if new.isEmpty():
             break
-        for target, got in new.items():
-            seen.setdefault(target, []).append(got)
-        frontier = new
-    parts = [df.select(F.lit(t).alias("type"), "id") for t, dfs in seen.items() for df in dfs]
-    return reduce(DataFrame.unionByName, parts).distinct()
+        seen = seen.unionByName(new)
+        frontier = {t: tables[t].join(new.filter(F.col("type") == t), "id", "left_semi") for t in {target for _, _, target in steps}}
+    return seen.join(matches, ["type", "id"], "left_anti")
 
 
 def revinclude(found: DataFrame, kind: str, source: DataFrame, code: str) -> DataFrame:

@@ -66,6 +66,7 @@ def decisions(people: DataFrame, comps: DataFrame) -> DataFrame:
     """
     joined = people.join(comps, "id")
     big = joined.groupBy("component").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+    # The members are the review's content: a steward picks among them. The rules need the count and the two ends only.
     members = joined.groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"))
     a, b = (people.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("gender", "deceased", "active", "last_updated", "ssn")]) for side in ("first", "last"))
     pair = big.join(members, "component").join(a, "first").join(b, "last")
@@ -103,10 +104,10 @@ def terminal(history: DataFrame) -> DataFrame:
 
 
 def rewrite_references(df: DataFrame, column: str, survivors: DataFrame) -> DataFrame:
-    """References Patient/<merged> in a column turned to their survivor; by join."""
-    token = F.regexp_extract(column, r"^Patient/([^/]+)", 1)
+    """References in a column turned to their survivor, by join: the id after the last `Patient/` changes, what is before and behind it stays."""
+    head, token, tail = (F.regexp_extract(column, r"(?s)^(.*Patient/)([^/]+)(.*)$", k) for k in (1, 2, 3))
     joined = df.withColumn("_m", token).join(survivors.select(F.col("merged").alias("_m"), F.col("survivor").alias("_to")), "_m", "left")
-    return joined.withColumn(column, F.when(F.col("_to").isNotNull(), F.concat(F.lit("Patient/"), F.col("_to"))).otherwise(F.col(column))).drop("_m", "_to")
+    return joined.withColumn(column, F.when(F.col("_to").isNotNull(), F.concat(head, F.col("_to"), tail)).otherwise(F.col(column))).select(*df.columns)
 
 
 def rewrite_body(body: str, to: dict[str, str]) -> str:
@@ -143,3 +144,23 @@ def rewrite_bodies(df: DataFrame, survivors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.string()) if c == "body_json" else b.column(c) for c in names], names=names)
 
     return df.join(maps, "id", "left").select(*df.columns, "_to").mapInArrow(run, df.schema)
+
+
+def member_match(asked: DataFrame, people: DataFrame) -> DataFrame:
+    """asked, result, id of persons asked for (asked, n identifiers [system, value], subscriber, family, birthdate, gender).
+
+    Each identifier in its order, then the subscriber as an identifier of any system, then family, birth date and gender
+    together; the first rule with exactly one match decides. Else several, or none. people: id, identifiers, family,
+    birthdate, gender.
+    """
+    idents = people.select("id", F.explode("identifiers").alias("i")).select("id", F.col("i.system").alias("_system"), F.col("i.value").alias("value"))
+    one = asked.select("asked", F.posexplode("identifiers").alias("rank", "i")).select("asked", "rank", F.nullif("i.system", F.lit("")).alias("system"), F.col("i.value").alias("value"))
+    two = asked.filter("subscriber is not null").select("asked", F.lit(1_000_000).alias("rank"), F.lit(None).cast("string").alias("system"), F.col("subscriber").alias("value"))
+    by_id = one.unionByName(two).join(idents, "value").filter(F.col("system").isNull() | (F.col("system") == F.col("_system"))).select("asked", "rank", "id")
+    who = people.select("id", F.lower("family").alias("_family"), F.col("birthdate").alias("_birth"), F.col("gender").alias("_gender"))
+    same = (F.lower("family") == F.col("_family")) & (F.col("birthdate") == F.col("_birth")) & (F.col("gender") == F.col("_gender"))
+    by_name = asked.join(who, same).select("asked", F.lit(2_000_000).alias("rank"), "id")
+    rules = by_id.unionByName(by_name).groupBy("asked", "rank").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"))
+    best = rules.groupBy("asked").agg(F.min(F.when(F.col("n") == 1, F.struct("rank", "id"))).alias("x"))
+    result = F.when(F.col("x").isNotNull(), "matched").when(F.col("_there"), "several").otherwise("none")
+    return asked.select("asked").join(best.withColumn("_there", F.lit(True)), "asked", "left").select("asked", result.alias("result"), F.col("x.id").alias("id"))

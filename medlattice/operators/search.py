@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 PREFIXES = ("eq", "ne", "gt", "lt", "ge", "le", "sa", "eb", "ap")
 CONTROL = {"_sort", "_count", "_offset", "_summary", "_elements", "_include", "_revinclude", "_has", "_total"}
+KINDS = {"token", "string", "date", "number", "quantity", "uri", "reference"}
 UNSUPPORTED_TOKEN = {"in", "not-in", "below", "above", "of-type", "text"}
 #: resource type -> parameter -> kind
 REGISTRY: dict[str, dict[str, str]] = {
-    "Patient": {"family": "string", "gender": "token", "identifier": "token", "segment": "token", "balance": "number"},
+    "Patient": {"family": "string", "gender": "token", "identifier": "token", "segment": "token", "balance": "number", "profile": "uri"},
     "Encounter": {"status": "token", "class": "token", "date": "date", "subject": "reference"},
     "Observation": {"code": "token", "date": "date", "value-quantity": "quantity", "performer": "reference", "encounter": "reference"},
     "Organization": {"name": "string", "balance": "number"},
@@ -51,10 +52,12 @@ def split_prefix(value: str) -> tuple[str, str]:
     return (value[:2], value[2:]) if value[:2] in PREFIXES else ("", value)
 
 
-def parse(kind: str, query: str, strict: bool = False) -> tuple[list[Condition], dict]:
-    """Conditions and control parameters of a query string; unknown parameters are ignored, or rejected if strict."""
-    conditions, control, wrong = [], {}, []
-    known = REGISTRY.get(kind, {})
+def parse(kind: str, query: str, strict: bool = False, registry: dict | None = None) -> tuple[list[Condition], dict]:
+    """Conditions and control parameters of a query string. Unknown parameters and control parameters are ignored, or rejected
+    if strict, and so are modifiers that the index can't serve, which otherwise match plainly. A known parameter of a
+    type that can't be searched is always rejected: leaving it out would widen the result."""
+    conditions, control, wrong, never = [], {}, [], []
+    known = (registry or REGISTRY).get(kind, {})
     for key, value in parse_qsl(query, keep_blank_values=True):
         name, _, modifier = key.partition(":")
         if name in CONTROL:
@@ -62,9 +65,14 @@ def parse(kind: str, query: str, strict: bool = False) -> tuple[list[Condition],
         elif name in ("_id", "_lastUpdated"):
             conditions.append(Condition(name, name, value, modifier, split_prefix(value)[0] if name == "_lastUpdated" else ""))
         elif name not in known:
+            if "." not in name:  # chains are another operator's
+                wrong.append(key)
+        elif known[name] not in KINDS:
+            never.append(f"{name} ({known[name]})")
+        elif modifier in UNSUPPORTED_TOKEN:
             wrong.append(key)
-        elif known[name] == "token" and modifier in UNSUPPORTED_TOKEN:
-            wrong.append(key)
+            prefix, rest = split_prefix(value) if known[name] in ("date", "number", "quantity") else ("", value)
+            conditions.append(Condition(name, known[name], rest, "", prefix))
         elif known[name] in ("date", "number", "quantity") and modifier != "missing":
             prefix, rest = split_prefix(value)
             conditions.append(Condition(name, known[name], rest, modifier, prefix))
@@ -72,8 +80,8 @@ def parse(kind: str, query: str, strict: bool = False) -> tuple[list[Condition],
             conditions.append(Condition(name, known[name], value, modifier))
     if "," in control.get("_sort", "") and strict:
         wrong.append("_sort")
-    if strict and wrong:
-        raise SearchError("unsupported: " + ", ".join(wrong))
+    if never or (strict and wrong):
+        raise SearchError("unsupported: " + ", ".join(never + (wrong if strict else [])))
     return conditions, control
 
 

@@ -120,3 +120,49 @@ def redact(df: DataFrame, blocked: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.string()) if c == "body_json" else b.column(c) for c in b.schema.names], names=b.schema.names)
 
     return df.mapInArrow(run, df.schema)
+
+
+def provisions(consents: DataFrame) -> DataFrame:
+    """patient, labels, actors, purposes, start, end of every permit inside active consents (patient, body_json), nested ones
+    too; a nested one holds while all around it do. Empty lists cover everything."""
+
+    def walk(batches):
+        import pyarrow as pa
+
+        lists = pa.list_(pa.string())
+        schema = pa.schema([("patient", pa.string()), ("labels", lists), ("actors", lists), ("purposes", lists), ("start", pa.string()), ("end", pa.string())])
+        for b in batches:
+            out = []
+            for patient, body in zip(b.column("patient").to_pylist(), b.column("body_json").to_pylist()):
+                doc = json.loads(body) if body else {}
+                todo = [(doc["provision"], "", "9999")] if doc.get("status") == "active" and doc.get("provision") else []
+                while todo:
+                    p, since, until = todo.pop()
+                    period = p.get("period") or {}
+                    since, until = max(since, period.get("start") or ""), min(until, period.get("end") or "9999")
+                    codes = lambda k: [c["code"] for c in p.get(k) or [] if c.get("code")]  # noqa: E731, B023
+                    if p.get("type") == "permit":
+                        actors = [((a.get("reference") or {}).get("reference")) or "" for a in p.get("actor") or []]
+                        out.append({"patient": patient, "labels": codes("securityLabel"), "actors": actors, "purposes": codes("purpose"), "start": since, "end": until})
+                    todo += [(x, since, until) for x in p.get("provision") or []]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return consents.select("patient", "body_json").mapInArrow(walk, "patient string, labels array<string>, actors array<string>, purposes array<string>, start string, end string")
+
+
+def with_provisions(df: DataFrame, permits: DataFrame, actor: str, ids: list[str], purpose: str | None, now: str) -> DataFrame:
+    """df (id, patient, labels: what blocks it, decision) with denials lifted where a permit covers a label, the actor (a
+    reference, or one that ends in one of its ids), the purpose and the time."""
+    named = F.exists("actors", lambda a: (a == actor) | reduce(lambda x, y: x | y, [a.endswith(f"/{i}") for i in ids], F.lit(False)))
+    for_purpose = F.array_contains("purposes", purpose) if purpose is not None else F.lit(False)
+    live = permits.filter(((F.size("actors") == 0) | named) & ((F.size("purposes") == 0) | for_purpose) & (F.col("start") <= now) & (F.col("end") >= now))
+    blocked = df.filter("decision = 'deny'").select("id", "patient", F.col("labels").alias("_own"))
+    lifted = blocked.join(live, "patient").filter(((F.size("labels") == 0) & (F.size("_own") > 0)) | F.arrays_overlap("labels", "_own")).select("id").distinct()
+    rows = df.join(lifted.withColumn("_lift", F.lit(True)), "id", "left")
+    return rows.withColumn("decision", F.when(F.col("_lift"), "permit").otherwise(F.col("decision"))).select(*df.columns)
+
+
+def visible(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, total) of a search under decisions: denied rows go, and the total counts what is left."""
+    rows = found.filter("decision = 'permit'")
+    return rows, rows.agg(F.count("*").alias("total"))

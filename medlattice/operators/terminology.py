@@ -93,3 +93,82 @@ def unloaded_value_sets(bindings: DataFrame, expansion: DataFrame) -> DataFrame:
     """Bound value sets, without version, that have no expansion."""
     wanted = bindings.select(F.substring_index("valueset", "|", 1).alias("valueset")).distinct()
     return wanted.join(expansion.select("valueset").distinct(), "valueset", "left_anti")
+
+
+def expansion_total(expansion: DataFrame, valueset: str, text: str = "") -> DataFrame:
+    """One row: total of a value set's rows that a page is cut from."""
+    rows = expansion.filter(F.col("valueset") == valueset)
+    if text:
+        rows = rows.filter(F.lower("code").contains(text.lower()) | F.lower(F.coalesce("display", F.lit(""))).contains(text.lower()))
+    return rows.agg(F.count("*").alias("total"))
+
+
+_DEFINITION = "url string, type string, name string, derivation string, snapshot struct<element:array<struct<binding:struct<valueSet:string>>>>"
+
+
+def bound_value_sets(package: DataFrame, expansion: DataFrame | None = None, hosts: list[str] | None = None) -> DataFrame:
+    """valueset: bound in a package's structure definitions (type, body_json), without version; not those that have an
+    expansion, and only those of some hosts, if given."""
+    docs = package.filter("type = 'StructureDefinition'").select(F.from_json("body_json", _DEFINITION).alias("d"))
+    bound = docs.select(F.explode("d.snapshot.element").alias("e")).select(F.substring_index("e.binding.valueSet", "|", 1).alias("valueset")).filter("valueset is not null").distinct()
+    if hosts:
+        bound = bound.filter(F.regexp_extract("valueset", "^[a-z]+://([^/]+)", 1).isin(hosts))
+    return bound if expansion is None else bound.join(expansion.select("valueset").distinct(), "valueset", "left_anti")
+
+
+def profiles(package: DataFrame) -> DataFrame:
+    """url, type, name of installed profiles: structure definitions that constrain another."""
+    docs = package.filter("type = 'StructureDefinition'").select(F.from_json("body_json", _DEFINITION).alias("d")).select("d.*")
+    return docs.filter("derivation = 'constraint'").select("url", "type", "name")
+
+
+def installed(wanted: DataFrame, package: DataFrame) -> DataFrame:
+    """url, installed of wanted profiles."""
+    have = package.select(F.get_json_object("body_json", "$.url").alias("url")).distinct().withColumn("_there", F.lit(True))
+    return wanted.join(have, "url", "left").select("url", F.coalesce("_there", F.lit(False)).alias("installed"))
+
+
+def update_report(headers: DataFrame, latest: DataFrame) -> DataFrame:
+    """system, loaded (the greatest version), latest, current of systems whose newest version is known from elsewhere."""
+    own = headers.groupBy("system").agg(F.max("version").alias("loaded"))
+    return latest.withColumnRenamed("version", "latest").join(own, "system", "left").select("system", "loaded", "latest", F.coalesce(F.col("loaded") == F.col("latest"), F.lit(False)).alias("current"))
+
+
+def replace_expansion(stored: DataFrame, valueset: str, rows: DataFrame) -> DataFrame:
+    """Stored expansions with the rows of one value set replaced."""
+    return stored.filter(F.col("valueset") != valueset).unionByName(rows.select(F.lit(valueset).alias("valueset"), "system", "code", "display"))
+
+
+def loaded(concepts: DataFrame, version: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, header) of one load of a code system: each (system, code) once, at most `limit` rows if a limit is asked for."""
+    rows = concepts.groupBy("system", "code").agg(F.min("display").alias("display"))
+    rows = rows.orderBy("system", "code").limit(limit) if limit is not None else rows
+    return rows, rows.groupBy("system").agg(F.lit(version).alias("version"), F.count("*").alias("count"))
+
+
+def questionnaire_package(asked: DataFrame, questionnaires: DataFrame, libraries: DataFrame, value_sets: DataFrame) -> DataFrame:
+    """asked, kind, url of what an asked canonical needs: the questionnaire, its libraries and the value sets of its items of
+    any depth, as far as they are stored (url, body_json); nothing where the questionnaire isn't."""
+    library = "http://hl7.org/fhir/StructureDefinition/cqf-library"
+    url = F.substring_index("asked", "|", 1)
+    forms = asked.select("asked", url.alias("url")).join(questionnaires.select("url", "body_json"), "url")
+
+    def needs(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for name, body in zip(b.column("asked").to_pylist(), b.column("body_json").to_pylist()):
+                doc = json.loads(body)
+                found = {("Library", e.get("valueCanonical")) for e in doc.get("extension") or [] if e.get("url") == library}
+                todo = list(doc.get("item") or [])
+                while todo:
+                    item = todo.pop()
+                    found.add(("ValueSet", item.get("answerValueSet")))
+                    todo.extend(item.get("item") or [])
+                out += [(name, k, u.split("|")[0]) for k, u in found if u]
+            yield pa.RecordBatch.from_pydict({c: [r[k] for r in out] for k, c in enumerate(("asked", "kind", "url"))}, schema=pa.schema([(c, pa.string()) for c in ("asked", "kind", "url")]))
+
+    wanted = forms.select("asked", "body_json").mapInArrow(needs, "asked string, kind string, url string").distinct()
+    have = libraries.select(F.lit("Library").alias("kind"), "url").unionByName(value_sets.select(F.lit("ValueSet").alias("kind"), "url")).distinct()
+    return forms.select("asked", F.lit("Questionnaire").alias("kind"), "url").unionByName(wanted.join(have, ["kind", "url"], "left_semi").select("asked", "kind", "url"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medlattice.operators import audit, bundle, graph, history, mpi, profile, search, security, terminology, validate
+from medlattice.operators import audit, bundle, graph, history, mpi, profile, promotion, search, security, terminology, validate
+from medlattice.operators import capabilities as caps
+from medlattice.operators.lineage import cut
 from medlattice.plans import resources as rs
 from medlattice.sources import store
 
@@ -38,7 +40,11 @@ def _sql(names: str, body: str) -> str:
     wanted = set(names.split())
     for n in list(wanted):
         wanted |= set(_NEEDS.get(n, []))
-    return ("with recursive " + ",\n".join(v for k, v in CTES.items() if k in wanted) + "\n" if wanted else "") + body
+    named = "with recursive " + ",\n".join(v for k, v in CTES.items() if k in wanted) if wanted else ""
+    own = body.lstrip()
+    if named and own.startswith("with "):  # its own tables follow the derived ones
+        return named + ",\n" + own.removeprefix("with ").removeprefix("recursive ")
+    return (named + "\n" if named else "") + body
 
 
 def query(names: str = "", sql: str | None = None):
@@ -272,8 +278,9 @@ def mpi_pairs(spark, d):
 
 
 def _decided(spark, d):
+    """Decisions, written once: several operators join them."""
     p = rs.people(spark, d)
-    return mpi.decisions(p, mpi.components(p, mpi.links(mpi.identifier_keys(p))))
+    return cut(mpi.decisions(p, mpi.components(p, mpi.links(mpi.identifier_keys(p)))))
 
 
 @query("comps", "select id, component from comps")
@@ -292,10 +299,11 @@ def mpi_reviews(spark, d):
     return _decided(spark, d).filter("decision not in ('merge', 'link')").drop("survivor")
 
 
-@query("decision", "select p.mrn identifier_value, d.survivor fhir_id, d.decision decision_path from decision d join patient p on p.id = d.component where d.survivor is not null")
+@query("decision", """with k as (select distinct mrn, d.component, d.decision, d.survivor from decision d join patient p on list_contains(string_split(d.members, ','), p.id))
+ select 'urn:mrn' identifier_system, k.mrn identifier_value, case when decision = 'merge' then survivor else (select min(id) from patient q where q.mrn = k.mrn) end fhir_id, 'deterministic_rule:shared-identifier' decision_path from k union all
+ select 'urn:cust', name, case when d.decision = 'merge' then survivor else p.id end, 'deterministic_rule:shared-identifier' from decision d join patient p on list_contains(string_split(d.members, ','), p.id)""")
 def patient_link(spark, d):
-    own = rs.patient(spark, d).select(F.col("id").alias("component"), F.col("mrn").alias("identifier_value"))
-    return _decided(spark, d).filter("survivor is not null").join(own, "component").select("identifier_value", F.col("survivor").alias("fhir_id"), F.col("decision").alias("decision_path"))
+    return promotion.patient_links(rs.people(spark, d), _decided(spark, d))
 
 
 @query("patient", "select cast(c_custkey as varchar) merged, cast(((c_custkey - 1) // 8) * 8 + 8 as varchar) survivor from customer where c_custkey % 8 <> 0 and ((c_custkey - 1) // 8) * 8 + 8 <= (select max(c_custkey) from customer)")
@@ -312,7 +320,7 @@ def rewrite_refs(spark, d):
     return mpi.rewrite_references(rs.encounter(spark, d).select("id", "subject"), "subject", mpi.merges(_decided(spark, d)))
 
 
-@query()
+@query("merged encounter", "select e.id, '{\"id\":\"' || e.id || '\",\"subject\":{\"reference\":\"' || coalesce('Patient/' || m.survivor, e.subject) || '\"}}' body_json from encounter e left join merged m on e.subject = 'Patient/' || m.merged")
 def rewrite_json_body(spark, d):
     e = rs.encounter(spark, d).select("id", F.to_json(F.struct("id", F.struct(F.col("subject").alias("reference")).alias("subject"))).alias("body_json"))
     return mpi.rewrite_bodies(e, mpi.merges(_decided(spark, d)))
@@ -325,11 +333,9 @@ def silver_flatten(spark, d):
     return r.select("r.id", F.col("r.name")[0]["family"].alias("family"), "r.gender", F.col("r.identifier")[0]["value"].alias("mrn"))
 
 
-@query("merged patient", "select id, m.merged is null is_current, case when m.merged is null then 'pass' else 'merged' end silver_status from patient p left join merged m on p.id = m.merged")
+@query("merged patient", "select id, m.merged is null is_current from patient p left join merged m on p.id = m.merged")
 def gold_current(spark, d):
-    m = mpi.merges(_decided(spark, d))
-    p = rs.patient(spark, d).join(m.select(F.col("merged").alias("id"), F.lit(True).alias("gone")), "id", "left")
-    return p.select("id", F.col("gone").isNull().alias("is_current"), F.when(F.col("gone"), "merged").otherwise("pass").alias("silver_status"))
+    return promotion.promote_patients(rs.patient(spark, d), mpi.merges(_decided(spark, d))).select("id", "is_current")
 
 
 @query("encounter", "select id, case when status = 'P' or id like '%7' then 'dead-letter' when cls = '1-URGENT' then 'pending' else 'accepted' end route from encounter")
@@ -343,7 +349,7 @@ def required_check(spark, d):
     return validate.with_issues(rs.patient(spark, d), validate.required("gender")).select("id", (F.size("issues") > 0).alias("failed"))
 
 
-@query("patient", r"select id, regexp_matches(name, '^[A-Za-z0-9\-.]{1,64}$') name_ok, regexp_matches(segment, '^[^\s]+( [^\s]+)*$') segment_ok from patient")
+@query("patient", r"select id, regexp_matches(name, '^[A-Za-z0-9\-.]{1,64}$') name_ok, regexp_matches(segment, '^[^\s]+(\s[^\s]+)*$') segment_ok from patient")
 def format_check(spark, d):
     return rs.patient(spark, d).select("id", validate.format_ok(F.col("name"), "id").alias("name_ok"), validate.format_ok(F.col("segment"), "code").alias("segment_ok"))
 
@@ -379,15 +385,20 @@ def scope_filter(spark, d):
     return search.current(rs.encounter(spark, d)).filter(allowed).select("id", "status")
 
 
-@query()
+@query(
+    "doclabels",
+    """select id, case when sens is null then '{"id":"' || id || '","meta":{"security":[{}]},"note":{"extension":[{"valueCoding":{}}]}}'
+ else '{"id":"' || id || '","meta":{"security":[{"code":"PSY"},{"system":"http://terminology.hl7.org/CodeSystem/v3-ObservationValue","code":"REDACTED"}]},"_note":{"extension":[{"url":"http://hl7.org/fhir/StructureDefinition/data-absent-reason","valueCode":"masked"}]}}' end body_json from doclabels""",
+)
 def redact_inline(spark, d):
     body = F.to_json(F.struct("id", F.struct(F.array(F.struct(F.col("sens").alias("code"))).alias("security")).alias("meta"), F.struct(F.array(F.struct(F.struct(F.col("sens").alias("code")).alias("valueCoding"))).alias("extension")).alias("note")))
     return security.redact(rs.doc_labels(spark, d).select("id", body.alias("body_json")), ["PSY"])
 
 
-_AUDIT = """with recursive e as (select row_number() over (order by ts, event_id) k, cast(event_id as varchar) id, strftime(ts, '%Y-%m-%d %H:%M:%S') recorded, event_type, user_id, props from events order by ts, event_id limit 200),
-t as (select k, id, 'id=' || id || chr(10) || 'recorded=' || recorded || chr(10) || 'action=R' || chr(10) || 'outcome=0' || chr(10) || 'subtype=' || event_type || chr(10) || 'agent_who=user/' || user_id || chr(10) || 'entity_ref=' || chr(10) || 'patient=' || (user_id % 10) || chr(10) || 'body_json=' || props body, recorded, user_id from e),
-c as (select k, id, recorded, user_id, sha256('' || chr(10) || body) hash from t where k = 1 union all select t.k, t.id, t.recorded, t.user_id, sha256(c.hash || chr(10) || t.body) from c join t on t.k = c.k + 1)
+_AUDIT = """with recursive e as (select user_id || '/' || strftime(ts, '%Y-%m-%d') chain, row_number() over (partition by user_id, strftime(ts, '%Y-%m-%d') order by ts, cast(event_id as varchar)) k, event_id, user_id, cast(event_id as varchar) id, strftime(ts, '%Y-%m-%d %H:%M:%S') recorded, 'id=' || event_id || chr(10) || 'recorded=' || strftime(ts, '%Y-%m-%d %H:%M:%S') || chr(10) || 'action=R' || chr(10) || 'outcome=0' || chr(10) || 'subtype=' || event_type || chr(10) || 'agent_who=user/' || user_id || chr(10) || 'entity_ref=' || chr(10) || 'patient=' || (user_id % 10) || chr(10) || 'body_json=' || coalesce(props, '') body from events),
+c as (select chain, k, id, event_id, user_id, sha256(chr(10) || body) hash, '' prev from e where k = 1 union all select e.chain, e.k, e.id, e.event_id, e.user_id, sha256(c.hash || chr(10) || e.body), c.hash from c join e on e.chain = c.chain and e.k = c.k + 1),
+t as (select *, case when event_id % 101 = 100 then repeat('0', 64) else prev end link from c),
+f as (select * from t where not exists (select 1 from t x where x.chain = t.chain and x.link = t.hash))
 """
 
 
@@ -400,17 +411,33 @@ def _audit(sql: str):
     return register
 
 
-@_audit("select id, 'content' problem from c where (k - 1) % 60 = 59 or k = 101 union all select id, 'missing-predecessor' from c where k = 101")
+@_audit("select chain, id, 'content' problem from t where event_id % 60 = 59 or event_id % 101 = 100 union all select chain, id, 'missing-predecessor' from t where event_id % 101 = 100 union all select chain, '', 'no-start' from t where k = 1 and event_id % 101 = 100")
 def audit_verify(spark, d):
-    return audit.verify(rs.audit_log(spark, d))
+    return audit.verify(cut(rs.audit_log(spark, d)))
 
 
-@_audit("select 200::bigint n, min(hash) tip from c where k in (100, 200)")
+@_audit("select chain, count(*) n, (select min(hash) from f where f.chain = t.chain) tip from t group by chain")
 def audit_anchor(spark, d):
-    return audit.anchor(rs.audit_log(spark, d))
+    return audit.anchor(cut(rs.audit_log(spark, d)))
+
+
+@_audit("select chain, id, k - 1 as position from c")
+def audit_positions(spark, d):
+    return audit.positions(cut(rs.audit_log(spark, d, damaged=False)))
+
 
+@_audit("select chain, case user_id % 3 when 0 then 'truncated' when 1 then 'rewritten' else 'ok' end state from c where k = 1")
+def audit_anchor_check(spark, d):
+    """Anchors checked after the last records of a third of the users have gone, and those of another third have been written anew."""
+    log = cut(rs.audit_log(spark, d, damaged=False))
+    anchors = cut(audit.anchor(log))
+    last = log.join(anchors.select("chain", F.col("tip").alias("hash"), F.lit(True).alias("last")), ["chain", "hash"], "left")
+    user = F.substring_index("chain", "/", 1).cast("bigint") % 3
+    now = last.filter(~F.coalesce(F.col("last") & (user == 0), F.lit(False))).withColumn("hash", F.when(F.col("last") & (user == 1), F.sha2("hash", 256)).otherwise(F.col("hash")))
+    return audit.check_anchors(now, anchors)
 
-@_audit("select id, recorded from c where user_id % 10 = 3")
+
+@query("", "select cast(event_id as varchar) id, strftime(ts, '%Y-%m-%d %H:%M:%S') recorded from events where user_id % 10 = 3")
 def disclosure_accounting(spark, d):
     return audit.accounting(rs.audit_log(spark, d), "3").select("id", "recorded")
 
@@ -422,7 +449,7 @@ def export_counts(spark, d):
     return e.unionByName(group.select(F.lit("Patient").alias("type"))).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("patient", """select '{"resourceType":"Patient","id":"' || id || '","name":[{"family":"' || family || '"}],' || coalesce('"gender":"' || gender || '",', '') || '"identifier":[{"system":"urn:mrn","value":"' || mrn || '"}]}' as value from patient""")
 def ndjson_export(spark, d):
     from medlattice.sources.loaders import ndjson
 
@@ -431,11 +458,17 @@ def ndjson_export(spark, d):
     return spark.read.text(path)
 
 
-@query("patient", "select a.id asked, min(p.id) found from patient a join patient p on p.mrn = a.mrn group by a.id having count(*) = 1")
+@query("patient", """with a as (select id asked, mrn, family, balance, gender from patient where cast(id as bigint) % 3 < 2), n as (select mrn, count(*) c, min(id) i from patient group by mrn),
+ p as (select family, balance, gender, count(*) c, min(id) i from patient group by all)
+ select asked, case when n.c = 1 or p.c = 1 then 'matched' when n.c > 1 then 'several' else 'none' end result, case when n.c = 1 then n.i when p.c = 1 then p.i end id
+ from a left join n on n.mrn = a.mrn and cast(asked as bigint) % 3 = 0 left join p on p.family = a.family and p.balance = a.balance and p.gender = a.gender and cast(asked as bigint) % 2 = 0""")
 def member_match(spark, d):
-    p = rs.patient(spark, d)
-    asked = p.select(F.col("id").alias("asked"), "mrn")
-    return asked.join(p.select("id", "mrn"), "mrn").groupBy("asked").agg(F.count("*").alias("n"), F.min("id").alias("found")).filter("n = 1").drop("n")
+    """A third of the patients is asked for by identifier, every second by demographics."""
+    p, k, none = rs.patient(spark, d), F.col("id").cast("bigint"), F.lit(None).cast("string")
+    people = p.select("id", "identifiers", "family", F.col("balance").cast("string").alias("birthdate"), "gender")
+    ident = F.array(F.struct(F.lit("urn:mrn").alias("system"), F.col("mrn").alias("value")))
+    asked = p.filter(k % 3 < 2).select(F.col("id").alias("asked"), F.when(k % 3 == 0, ident).otherwise(F.filter(ident, lambda i: F.lit(False))).alias("identifiers"), none.alias("subscriber"), F.when(k % 2 == 0, F.col("family")).alias("family"), F.col("balance").cast("string").alias("birthdate"), "gender")
+    return mpi.member_match(asked, people)
 
 
 @query("", "select o_orderstatus status, o_orderpriority cls, count(*) n, cast(sum(o_custkey) as bigint) s from orders where o_orderdate >= timestamp '1996-01-01' group by cube (o_orderstatus, o_orderpriority)")
@@ -443,16 +476,39 @@ def raw_sql_passthrough(spark, d):
     return store.query(spark, "select o_orderstatus status, o_orderpriority cls, count(*) n, sum(o_custkey) s from orders where o_orderdate >= :since group by cube (o_orderstatus, o_orderpriority)", {"orders": rs._load(spark, d, "orders"), "absent": None}, {"since": "1996-01-01"})
 
 
-@query("", "select 'Encounter' kind, 'class' code, 'token' type union all select 'Encounter', 'date', 'date' union all select 'Encounter', 'status', 'token' union all select 'Encounter', 'subject', 'reference' union all select 'Organization', 'balance', 'number' union all select 'Organization', 'name', 'string'")
+_PARAMETERS = " union all ".join(f"select '{k}' kind, '{c}' code, '{t}' as type" for k, known in search.REGISTRY.items() for c, t in known.items())
+
+
+@query("", _PARAMETERS)
 def capabilities(spark, d):
-    rows = [(k, c, t) for k, params in search.REGISTRY.items() for c, t in params.items() if k in ("Encounter", "Organization")]
-    return spark.createDataFrame(rows, "kind string, code string, type string")
+    return caps.parameters(spark)
 
 
-@query("", "select type, status, count(*) n from (select 'U' type, case when method = 'view' then 'R' when method = 'click' then 'E' else 'C' end status from (select event_type as method from events)) group by all")
+@query("", f"with p as ({_PARAMETERS}), n as (select kind, count(*) parameters from p group by kind), r as (select 'Patient' kind, (select count(*) from customer) resources union all select 'Encounter', (select count(*) from orders) union all select 'Organization', (select count(*) from supplier) union all select 'Observation', (select count(*) from (select distinct l_orderkey, l_linenumber from lineitem))) select n.kind, parameters, resources from n join r on n.kind = r.kind")
+def capability_statement(spark, d):
+    return caps.statement(spark, {"Patient": rs.patient(spark, d), "Encounter": rs.encounter(spark, d), "Observation": rs.observation(spark, d), "Organization": rs.organization(spark, d), "Device": None})
+
+
+@query("brands", "select distinct system uri from brands")
+def terminology_capabilities(spark, d):
+    return caps.terminology(rs.brands(spark, d))
+
+
+@query("", "select cast(c_custkey as varchar) id, 'info' indicator, case when exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P') then 'Coverage requirements: prior authorization may be required for one or more orders' else 'Coverage requirements discovery available' end summary from customer")
+def coverage_cards(spark, d):
+    drafts = rs._load(spark, d, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.count("*").alias("orders"))
+    return caps.cards(rs.patient(spark, d).select("id").join(drafts, "id", "left"))
+
+
+@query("", """select action, subtype, outcome, count(*) n from (select case event_type when 'view' then (case when user_id % 2 = 0 then 'R' else 'E' end) when 'click' then 'U' when 'error' then 'D' else (case when user_id % 2 = 0 then 'E' else 'C' end) end action,
+ case event_type when 'view' then (case when user_id % 2 = 0 then 'read' else 'search-type' end) when 'click' then 'patch' when 'error' then 'delete' else (case when user_id % 2 = 0 then 'operation' else 'create' end) end subtype,
+ case event_id % 4 when 1 then '4' when 2 then '8' else '0' end outcome from events) group by all""")
 def audit_classify(spark, d):
-    e = rs._load(spark, d, "events").select(F.when(F.col("event_type") == "view", "GET").when(F.col("event_type") == "click", "PATCH").otherwise("POST").alias("m"))
-    return e.select(F.lit("U").alias("type"), audit.classify(F.col("m"), F.lit(200))[0].alias("status")).groupBy("type", "status").agg(F.count("*").alias("n"))
+    e = rs._load(spark, d, "events")
+    method = F.when(F.col("event_type") == "view", "GET").when(F.col("event_type") == "click", "PATCH").when(F.col("event_type") == "error", "DELETE").otherwise("POST")
+    status = F.element_at(F.array(*map(F.lit, (200, 404, 503, 301))), (F.col("event_id") % 4 + 1).cast("int"))
+    action, subtype, outcome = audit.classify(method, F.col("user_id") % 2 == 0, status)
+    return e.select(action.alias("action"), subtype.alias("subtype"), outcome.alias("outcome")).groupBy("action", "subtype", "outcome").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -507,3 +563,6 @@ def prior_auth_inquire(spark, d):
     use = F.when(F.col("o_orderstatus") == "F", "claim").otherwise("preauthorization")
     claims = rs._load(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("Patient/"), F.col("o_custkey").cast("string")).alias("patient"), F.lit("Organization/1").alias("insurer"), use.alias("use"))
     return profile.inquired(profile.submitted(claims, "2026-01-01"), patient="Patient/7").select("id", "outcome", "request")
+
+
+from medlattice.plans import operations  # noqa: E402, F401  (registers its queries)

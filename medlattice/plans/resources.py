@@ -35,7 +35,7 @@ def patient(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("2026-01-01T00:00:"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit("Z")).alias("last_updated"),
     )
     idents = ix.identifier_index(("urn:mrn", F.col("mrn"), "MR"), ("urn:cust", F.col("name"), ""))
-    index = (ix.strings("family", F.col("family")), ix.token("gender", F.col("gender")), ix.token("segment", F.col("segment"), "urn:segment"), ix.number("balance", F.col("balance")), ix.token("identifier", F.col("mrn"), "urn:mrn"))
+    index = (ix.strings("family", F.col("family")), ix.token("gender", F.col("gender")), ix.token("segment", F.col("segment"), "urn:segment"), ix.number("balance", F.col("balance")), ix.token("identifier", F.col("mrn"), "urn:mrn"), ix.uri("profile", F.concat(F.lit("urn:profile:"), F.col("segment"))))
     body = F.to_json(F.struct(F.lit("Patient").alias("resourceType"), "id", F.array(F.struct("family")).alias("name"), "gender", F.array(F.struct(F.lit("urn:mrn").alias("system"), F.col("mrn").alias("value"))).alias("identifier")))
     return _row(df, *index).withColumns({"identifiers": idents, "body_json": body})
 
@@ -106,20 +106,16 @@ def value_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return expansion, headers
 
 
-def audit_log(spark: SparkSession, d: str, rows: int = 200) -> DataFrame:
-    """A log of the first events, chained by one writer; every 60th content and one link are tampered with."""
-    from medlattice.operators.audit import FIELDS, append
+def audit_log(spark: SparkSession, d: str, damaged: bool = True) -> DataFrame:
+    """All events as a log: each user's day is a chain. If damaged, every 60th event's content and every 101st one's link are tampered with."""
+    from medlattice.operators.audit import append_chains
 
-    first = _load(spark, d, "events").orderBy("ts", "event_id").limit(rows)  # the writer's batch: its size is the feature
-    named = first.select(
-        F.col("event_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("recorded"), F.lit("R").alias("action"), F.lit("0").alias("outcome"), F.col("event_type").alias("subtype"),
+    rows = _load(spark, d, "events").select(
+        F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("chain"), F.unix_micros(F.col("ts").cast("timestamp")).alias("n"), F.col("event_id").cast("string").alias("id"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("recorded"), F.lit("R").alias("action"), F.lit("0").alias("outcome"), F.col("event_type").alias("subtype"),
         F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("agent_who"), F.lit("").alias("entity_ref"), (F.col("user_id") % 10).cast("string").alias("patient"), F.col("props").alias("body_json"),
     )
-    chained = append([r.asDict() for r in named.collect()])
-    for k, r in enumerate(chained):
-        if k % 60 == 59:
-            r["outcome"] = "8"
-        if k == 100:
-            r["prev_hash"] = "0" * 64
-    schema = ", ".join(f"{f} string" for f in (*FIELDS, "prev_hash", "hash"))
-    return spark.createDataFrame([tuple(r[f] for f in (*FIELDS, "prev_hash", "hash")) for r in chained], schema)
+    k = F.col("id").cast("bigint")
+    tampered = {"outcome": F.when(k % 60 == 59, "8").otherwise(F.col("outcome")), "prev_hash": F.when(k % 101 == 100, "0" * 64).otherwise(F.col("prev_hash"))}
+    log = append_chains(rows)
+    return log.withColumns(tampered).select(*log.columns) if damaged else log

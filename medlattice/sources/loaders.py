@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 FSN = "900000000000003001"  # fixed value: type of a fully specified name
@@ -48,13 +50,40 @@ def expansion_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ndjson(df: DataFrame, path: str) -> int:
-    """body_json lines; returns how many. The manifest is the caller's, written last."""
-    n = df.count()
-    df.select("body_json").write.mode("overwrite").text(path)
-    return n
-
-
-def first_of(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    """body_json lines; returns how many were written, counted while writing."""
+    seen = Observation()
+    df.select("body_json").observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(path)
+    return seen.get["n"]
+
+
+def export(tables: dict[str, DataFrame], path: str, request: str, now: str) -> dict:
+    """One folder of lines for each type with rows, and a manifest, which is renamed into place last: a reader sees a
+    whole export or none. A type that fails is listed as an error."""
+    spark = next(iter(tables.values())).sparkSession
+    made: dict = {"status": "complete", "transactionTime": now, "request": request, "requiresAccessToken": False, "output": [], "error": []}
+    for kind, df in sorted(tables.items()):
+        place = f"{path}/{kind}.ndjson"
+        try:
+            n = ndjson(df, place)
+        except Exception as e:  # reported in the manifest
+            made["error"].append({"type": kind, "url": place, "message": str(e).splitlines()[0]})
+            continue
+        if n:
+            made["output"].append({"type": kind, "url": place, "count": n})
+    if made["error"]:
+        made["status"] = "failed"
+    at = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    fs = at("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(at("_manifest.tmp"), True)
+    out.write(bytearray(json.dumps(made).encode()))
+    out.close()
+    fs.delete(at("manifest.json"), False)
+    fs.rename(at("_manifest.tmp"), at("manifest.json"))
+    return made
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """type, url, n of an export's outputs."""
+    doc = spark.read.text(f"{path}/manifest.json", wholetext=True)
+    rows = doc.select(F.explode(F.from_json(F.get_json_object("value", "$.output"), "array<struct<type:string,url:string,count:bigint>>")).alias("o"))
+    return rows.select("o.type", "o.url", F.col("o.count").alias("n"))
