@@ -59,6 +59,7 @@ PIVOT_CHARS = 200_000  # longer texts don't become pivots
 SMALL = 4096
 REPLICAS = 4
 SKETCH_BITS = 512
+WIDE_BITS = 2048  # for pairs, which are fewer than the entries of regions
 LOWER = {c: c + 32 for c in range(65, 91)}
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -200,13 +201,48 @@ def signatures(grams, sizes: Sizes, salt: int):
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
-def sketch(grams) -> list[int]:
-    """Parities of the n-grams that hash to each of SKETCH_BITS bits."""
+def sketch(grams, bits: int = SKETCH_BITS) -> list[int]:
+    """Parities of the n-grams that hash to each of some bits."""
     import numpy as np
 
     with np.errstate(over="ignore"):
-        at = (_mix(grams ^ np.uint64(_M2)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64).tolist()
+        at = (_mix(grams ^ np.uint64(_M2)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
+def _met(batches):
+    """key, x, p of the keys that more than one x has; rows come sorted by key and x, and p is the key's least x. Rows stream
+    through, whatever a key holds."""
+    import numpy as np
+    import pyarrow as pa
+
+    last, told = None, True  # the last row (key, x, p), and whether it has been given out
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, x = batch.column("key").to_numpy(), batch.column("x").to_numpy()
+        if last is not None:
+            k, x = np.append(last[0], k), np.append(last[1], x)
+        new = np.ones(len(k), dtype=bool)
+        new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
+        if last is not None:
+            new[0] = True
+        k, x = k[new], x[new]
+        first = np.ones(len(k), dtype=bool)
+        first[1:] = k[1:] != k[:-1]
+        start = np.flatnonzero(first)
+        p = np.repeat(x[start], np.diff(np.append(start, len(k))))
+        if last is not None:
+            p[: start[1] if len(start) > 1 else len(k)] = last[2]
+        many = ~first
+        many[:-1] |= ~first[1:]
+        if last is not None:
+            many[0] = not told and len(k) > 1 and not first[1]
+        end = (k[-1:], x[-1:], p[-1])
+        # The last row of a batch waits for the next one unless it is known to be among several.
+        told = bool(not first[-1]) or (len(k) == 1 and last is not None and told)
+        last = end
+        yield pa.RecordBatch.from_arrays([pa.array(k[many]), pa.array(x[many]), pa.array(p[many])], names=["key", "x", "p"])
 
 
 def _small_regions(percent: int):
@@ -274,11 +310,12 @@ def _features(n: int, percent: int, pivots):
         of, sizes_, known, seen = Grams(n), Sizes(percent), pivots.value, set()
         none = np.zeros(0, dtype=np.int64)
         for batch in slices(batches):
-            sizes, prints, keys, sketches, near, window = [], [], [], [], [], []
+            sizes, prints, keys, sketches, wide, near, window = [], [], [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 g = of(text)
                 sizes.append(len(g))
                 sketches.append(sketch(g) if len(g) else None)
+                wide.append(sketch(g, WIDE_BITS) if len(g) else None)
                 prints.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None)
                 own, far, within = none, False, 0
                 if len(g) and prints[-1] not in seen:  # further copies in this task share the first one's regions
@@ -290,8 +327,8 @@ def _features(n: int, percent: int, pivots):
                 window.append(within)
             lengths = np.cumsum([0, *map(len, keys)])
             flat = pa.array(np.concatenate(keys) if keys else none)
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat), pa.array(sketches, pa.list_(pa.int64())), pa.array(near, pa.int32()), pa.array(window, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "print", "keys", "sketch", "near", "window"])
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat), pa.array(sketches, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(near, pa.int32()), pa.array(window, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "print", "keys", "sketch", "wide", "near", "window"])
 
     return run
 
@@ -359,9 +396,9 @@ def pivot_sets(docs: DataFrame, n: int = N, pivots: int = PIVOTS, salt: int = 0)
 
 
 def features(docs: DataFrame, n: int = N, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
-    """doc_id, n, print, keys of regions, sketch, near (Voronoi regions), window (pivots within the home's window)."""
+    """doc_id, n, print, keys of regions, sketches, near (Voronoi regions, which come first), window (pivots within the home's window)."""
     sets = docs.sparkSession.sparkContext.broadcast(Pivots(pivot_sets(docs, n, pivots), percent))
-    return docs.mapInArrow(_features(n, percent, sets), "doc_id bigint, n bigint, print binary, keys array<bigint>, sketch array<bigint>, near int, window int")
+    return docs.mapInArrow(_features(n, percent, sets), "doc_id bigint, n bigint, print binary, keys array<bigint>, sketch array<bigint>, wide array<bigint>, near int, window int")
 
 
 def paths(docs: DataFrame, n: int = N, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
@@ -394,22 +431,31 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, pivots: int = PIVO
         own = own.groupBy("_d").agg(F.min("_n").alias("_n"))
         return df.join(own, F.col(name) == F.col("_d"), "left").withColumn(name, F.coalesce("_n", name)).drop("_d", "_n")
 
-    def shared(entries: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Entries of regions with more than one document, and pairs x, p with the least document of each region."""
+    def several(entries: DataFrame) -> DataFrame:
+        """key, x, p of the regions with more than one document; a region of any size is dealt to several tasks."""
         many = entries.groupBy("key").agg(F.min("x").alias("p"), F.max("x").alias("q")).filter("p <> q").select("key", "p")
-        regions = table(entries.join(many, "key"), name)
-        own = as_node(as_node(regions.filter("x <> p").select("x", "p").distinct(), "x"), "p").filter("x <> p")
-        return regions, own.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
+        return entries.select("key", "x").join(many, "key")
 
-    regions, first = shared(known.select(F.explode("keys").alias("key"), F.col("doc_id").alias("x"), F.lit(None).cast("bigint").alias("before")), "jaccard-regions")
-    info = known.groupBy(F.col("doc_id").alias("node")).agg(F.min("n").alias("n"), F.max("n").alias("n2"), F.min("sketch").alias("sketch"), F.max("sketch").alias("s2"))
-    one_text = (F.col("n") == F.col("n2")) & (F.col("sketch") == F.col("s2"))  # else the sketch excludes nothing
-    info = table(info.select("node", F.when(one_text, F.col("n")).alias("n"), F.when(one_text, F.col("sketch")).alias("sketch")), "jaccard-sketches")
+    def tops(regions: DataFrame) -> DataFrame:
+        """Pairs x, p with the least document of each region."""
+        own = as_node(as_node(regions.filter("x <> p").select("x", "p").distinct(), "x"), "p").filter("x <> p")
+        return own.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
+
+    # Voronoi regions hold any share of all documents and few entries; parts make many entries, nearly all of them alone with
+    # their key, and no large regions, as pivots take those: each of their entries is shuffled once.
+    voronoi = several(known.select(F.explode(F.slice("keys", 1, F.col("near"))).alias("key"), F.col("doc_id").alias("x")))
+    parts = known.select(F.explode(F.slice("keys", F.col("near") + 1, F.greatest(F.lit(0), F.size("keys") - F.col("near")))).alias("key"), F.col("doc_id").alias("x"))
+    parts = parts.repartition("key").sortWithinPartitions("key", "x").mapInArrow(_met, "key bigint, x bigint, p bigint")
+    regions = table(voronoi.unionByName(parts), "jaccard-regions")
+    first = tops(regions)
+    info = known.groupBy(F.col("doc_id").alias("node")).agg(F.min("n").alias("n"), F.min("print").alias("a"), F.max("print").alias("b"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide"))
+    one_text = F.col("a") == F.col("b")  # else the sketches exclude nothing
+    info = table(info.select("node", *[F.when(one_text, F.col(c)).alias(c) for c in ("n", "sketch", "wide")]), "jaccard-sketches")
 
     def possible(df: DataFrame) -> DataFrame:
         """Pairs x, p that sizes and sketches don't exclude."""
-        a = info.select(F.col("node").alias("x"), F.col("n").alias("_nx"), F.col("sketch").alias("_sx"))
-        b = info.select(F.col("node").alias("p"), F.col("n").alias("_np"), F.col("sketch").alias("_sp"))
+        a = info.select(F.col("node").alias("x"), F.col("n").alias("_nx"), F.col("wide").alias("_sx"))
+        b = info.select(F.col("node").alias("p"), F.col("n").alias("_np"), F.col("wide").alias("_sp"))
         bits = F.zip_with("_sx", "_sp", lambda u, v: F.bit_count(u.bitwiseXOR(v)))
         apart = F.aggregate(bits, F.lit(0).cast("int"), lambda t, k: t + k.cast("int"))
         near = apart * (100 + percent) <= (100 - percent) * (F.col("_nx") + F.col("_np"))
@@ -431,7 +477,8 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, pivots: int = PIVO
         return df.join(many, "key", "left_semi")
 
     own = info.select(F.col("node").alias("x"), "n", "sketch")
-    open_ = table(split(labelled(as_node(regions.select("key", "x", "before"), "x").distinct())), "jaccard-open")
+    mixed = not info.filter("n is null").isEmpty()  # one doc_id has several texts
+    open_ = table(split(labelled(as_node(regions.select("key", "x", F.lit(None).cast("bigint").alias("before")), "x").distinct())), "jaccard-open")
     level = 0
     while not open_.isEmpty():
         level += 1
@@ -446,18 +493,22 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, pivots: int = PIVO
             parts = large.filter("not coalesce(stuck, false)").join(texts.withColumnRenamed("doc_id", "x").hint("merge"), "x").select("key", "x", "c", "text")
             parts = table(parts.mapInArrow(_divide(n, sets), "key bigint, x bigint, c bigint, keys array<bigint>"), "jaccard-divided")
             better = parts.groupBy("key").agg(F.sum(F.size("keys")).alias("e"), F.max("c").alias("c")).filter(F.col("e") <= REPLICAS * F.col("c")).select("key")
-            deeper, tops = shared(parts.join(better, "key", "left_semi").select(F.explode("keys").alias("key"), "x", F.col("c").alias("before")), "jaccard-regions")
+            parts = parts.join(better, "key", "left_semi").select(F.explode("keys").alias("key"), "x", F.col("c").alias("before"))
+            deeper = table(several(parts), "jaccard-regions")
+            sizes = parts.groupBy("key").agg(F.max("before").alias("before"))
             block = F.pmod(F.xxhash64("x"), F.ceil(F.col("c") / small)).cast("int")
             dealt = large.join(better, "key", "left_anti").select("key", "x", "component", block.alias("b"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("c") / small) - 1).cast("int"))).alias("j"))
             rows = rows.unionByName(dealt.select(F.xxhash64("key", F.least("b", "j"), F.greatest("b", "j")).alias("key"), "x", "component"))
-        rows = table(rows.join(own, "x").select("key", "x", "n", "component", "sketch"), "jaccard-compared")
-        exact = rows.filter("n is not null").repartition("key").sortWithinPartitions("key").mapInArrow(_small_regions(percent), "x bigint, p bigint")
-        odd = rows.filter("n is null").select("key", F.col("x").alias("q"), F.col("component").alias("qc"))  # no sketch: met by all of its region
-        odd = rows.join(odd, "key").filter(F.col("component") != F.col("qc")).select(F.greatest("x", "q").alias("x"), F.least("x", "q").alias("p"))
-        pairs = exact.unionByName(odd)
+        rows = rows.join(own, "x").select("key", "x", "n", "component", "sketch")
+        pairs = rows.filter("n is not null").repartition("key").sortWithinPartitions("key").mapInArrow(_small_regions(percent), "x bigint, p bigint")
+        if mixed:
+            odd = rows.filter("n is null").select("key", F.col("x").alias("q"), F.col("component").alias("qc"))  # no sketch: met by all of its region
+            odd = rows.join(odd, "key").filter(F.col("component") != F.col("qc")).select(F.greatest("x", "q").alias("x"), F.least("x", "q").alias("p"))
+            pairs = pairs.unionByName(odd)
         if deeper is not None:
-            pairs = pairs.unionByName(possible(tops))
-        pairs = table(pairs.distinct().join(done.select("x", "p"), ["x", "p"], "left_anti"), "jaccard-candidates")
+            pairs = pairs.unionByName(tops(deeper))
+        pairs = possible(pairs.distinct())
+        pairs = table(pairs.join(done.select("x", "p"), ["x", "p"], "left_anti"), "jaccard-candidates")
         got = _verified(spark, pairs, _texts(docs, _ends(pairs)), n, percent)
         done = table(done.select("x", "p", "linked").unionByName(got.select("x", "p", "linked")), "jaccard-pairs") if deeper is not None else done.select("x", "p", "linked").unionByName(got.select("x", "p", "linked"))
         if not got.filter("linked").isEmpty():
@@ -465,7 +516,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, pivots: int = PIVO
             found = components(links)
         if deeper is None:
             break
-        open_ = table(split(labelled(deeper.select("key", "x", "before").distinct())), "jaccard-open")
+        open_ = table(split(labelled(deeper.select("key", "x").distinct().join(sizes, "key"))), "jaccard-open")
     of_doc = found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     out = feats.select("doc_id", F.col("n").alias("n_shingles")).join(of_doc, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -317,6 +317,22 @@ def test_jaccard_against_all_pairs(spark, base, n, percent):
     assert some.near >= some.documents - 1  # all but the one too long for a pivot are their own home
 
 
+def test_jaccard_met():
+    """Keys with more than one document, in batches cut anywhere."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    for _ in range(300):
+        rows = sorted((rng.randint(0, 6), rng.randint(0, 4)) for _ in range(rng.randint(0, 25)))
+        cuts = sorted(rng.randint(0, len(rows)) for _ in range(rng.randint(0, 6)))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.array([r[k] for r in b], dtype=np.int64)) for k in (0, 1)], names=["key", "x"]) for b in parts]
+        got = [tuple(r.values()) for b in jaccard._met(batches) for r in b.to_pylist()]
+        xs = {k: sorted({x for j, x in rows if j == k}) for k, _ in rows}
+        assert got == [(k, x, v[0]) for k, v in sorted(xs.items()) if len(v) > 1 for x in v]
+
+
 def test_jaccard_windows(spark):
     """Of each linked pair both are in a common region, for any pivots; distances are exact."""
     import numpy as np
