@@ -101,3 +101,20 @@ def everything(patient: DataFrame, members: dict[str, tuple[DataFrame, list[str]
     if since:
         rows = rows.filter(F.col("last_updated") >= since)
     return rows.orderBy(F.concat_ws("/", "type", "id")).offset(offset).limit(count)
+
+
+def export(tables: dict[str, tuple[DataFrame, list[str]]], kinds: list[str] | None = None, since: str | None = None, patients: DataFrame | None = None, opted_out: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Current rows of each type to export. tables: type -> (rows, codes of its links with patients).
+
+    Without `patients` (id) all rows; with them, what belongs to these, but for those who opted out: an empty group gives
+    no rows. `since` keeps rows updated from then on, `kinds` some types.
+    """
+    if patients is not None and opted_out is not None:
+        patients = patients.join(opted_out.select("id"), "id", "left_anti")
+    out = {}
+    for kind, (df, codes) in tables.items():
+        if kinds and kind not in kinds:
+            continue
+        rows = current(df) if patients is None else current(df).join(patients.select("id"), "id", "left_semi") if kind == "Patient" else compartment(df, codes, patients)
+        out[kind] = rows.filter(F.col("last_updated") >= since) if since else rows
+    return out

@@ -12,7 +12,9 @@ from pyspark.sql.functions import pandas_udf
 from medlattice.functions.schema import Schemas, flatten, without_null_columns
 from medlattice.operators.history import newest
 from medlattice.operators.lifecycle import uuid7
+from medlattice.operators.lineage import cut
 from medlattice.operators.mpi import identifier_keys, rewrite_bodies
+from medlattice.operators.mpi import merges as merges_of
 from medlattice.sources.store import Table, retry
 
 RULE = "deterministic_rule:shared-identifier"
@@ -142,3 +144,19 @@ def promote_others(bronze: DataFrame, survivors: DataFrame) -> DataFrame:
 def write_gold(gold: Table, rows: DataFrame) -> int:
     """Upsert by id, tombstones included."""
     return retry(lambda: gold.upsert(rows.drop("merged")))
+
+
+def promote(kind: str, bronze: Table, gold: Table, silver_table: Table, schemas: Schemas, now: str, decided: DataFrame | None = None, survivors: DataFrame | None = None) -> DataFrame:
+    """One type from Bronze to Gold and Silver: patients with what has been decided about them, others with references to
+    survivors. Returns the metrics; without a Bronze table there is nothing to do and all are 0."""
+    rows = bronze.read()
+    if rows is None:
+        return bronze.spark.createDataFrame([(0, 0, 0, 0)], "bronze_rows bigint, current_ids bigint, gold bigint, silver bigint")
+    if kind == "Patient" and decided is not None:
+        done = promote_patients(rows, merges_of(decided))
+    else:
+        done = promote_others(rows, survivors) if survivors is not None else newest(rows).withColumns({"is_current": F.lit(True), "merged": F.lit(False)})
+    done = cut(done)
+    write_gold(gold, done)
+    retry(lambda: silver_table.overwrite(silver(done, schemas, kind, now)))
+    return metrics(rows, done, done, decided if kind == "Patient" else None)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medlattice.functions import fhirpath
 from medlattice.functions.schema import Schemas, flatten
-from medlattice.operators import graph, history, lifecycle, mpi, promotion, search, security, structure, terminology, validate
+from medlattice.operators import graph, history, lifecycle, mpi, profile, promotion, search, security, structure, terminology, validate
 from medlattice.operators.lineage import cut
 from medlattice.plans import resources as rs
 from medlattice.plans.queries import _decided, _table, query
@@ -462,3 +464,33 @@ def export_manifest(spark, d):
     p = rs.patient(spark, d)
     loaders.export({"Patient": p, "Patient0": p.filter(F.col("mrn").startswith("P")), "None": p.filter("false")}, path, "$export", NOW)
     return loaders.manifest(spark, path).select("type", "n")
+
+
+@query("patient encounter", """select 'Patient' as type, count(*) n from patient where mrn like 'P%' and cast(id as bigint) % 3 <> 0 and last_updated >= '2026-01-01T00:00:20Z' union all
+ select 'Encounter', count(*) from encounter where d >= '2026-01-01T00:00:20Z' and subject in (select 'Patient/' || id from patient where mrn like 'P%')""")
+def export_group(spark, d):
+    """A group's export since a time, without the members who opted out."""
+    p = rs.patient(spark, d)
+    group, out = p.filter(F.col("mrn").startswith("P")), p.filter("cast(id as bigint) % 3 = 0")
+    tables = {"Patient": (p, []), "Encounter": (rs.encounter(spark, d), ["subject"]), "Observation": (rs.observation(spark, d), ["encounter"])}
+    got = graph.export(tables, ["Patient", "Encounter"], "2026-01-01T00:00:20Z", group, out)
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("type"), "n") for k, df in got.items()])
+
+
+@query("decision", "select (select count(*) from patient) gold, (select count(*) from patient) - count(*) filter (decision = 'merge') current, count(*) filter (decision = 'merge') merged, (select count(*) from patient) bronze_rows, count(*) filter (decision = 'merge') merges from decision")
+def promote_patients(spark, d):
+    """The whole of a promotion: Bronze read, merges applied, Gold upserted and Silver rebuilt."""
+    bronze, gold, silver = (_table(spark, f"promote-{t}") for t in ("bronze", "gold", "silver"))
+    bronze.overwrite(rs.patient(spark, d))
+    m = promotion.promote("Patient", bronze, gold, silver, SCHEMAS, NOW, _decided(spark, d))
+    g = gold.read().agg(F.count("*").alias("gold"), F.count_if(F.col("is_current")).alias("current"))
+    s = silver.read().agg(F.count_if(F.col("silver_status") == "merged").alias("merged"))
+    return g.crossJoin(s).crossJoin(m.select("bronze_rows", "merges"))  # one row each
+
+
+@query("patient", "select id, case when cast(id as bigint) % 2 = 0 and gender is null then 'required:gender' else '' end issues from patient")
+def declared_profiles(spark, d):
+    """Profiles apply to documents that name them."""
+    rules = definition("Patient", _element("Patient.gender", "code", least=1)) | {"url": "urn:profile"}
+    named = F.concat(F.lit('{"meta":{"profile":["'), F.when(F.col("id").cast("bigint") % 2 == 0, "urn:profile|1").otherwise("urn:other"), F.lit('"]},'), F.substring("body_json", 2, 1 << 20))
+    return rs.patient(spark, d).select("id", F.array_join(profile.profile_issues(named, [rules], declared=True), ";").alias("issues"))

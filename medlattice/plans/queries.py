@@ -565,4 +565,4 @@ def prior_auth_inquire(spark, d):
     return profile.inquired(profile.submitted(claims, "2026-01-01"), patient="Patient/7").select("id", "outcome", "request")
 
 
-from medlattice.plans import operations  # noqa: E402, F401  (registers its queries)
+from medlattice.plans import intake, operations  # noqa: E402, F401  (they register their queries)
