@@ -1,4 +1,4 @@
-"""LM scoring with a Katz backoff model of word pairs.
+"""LM scoring with a Katz backoff model, of word pairs unless another order is asked for.
 
 Method: counts of words and of pairs (history, word) come from all training
 documents and are discounted by Good-Turing (Katz's form, counts up to K);
@@ -22,6 +22,11 @@ the pair; owners sum what a history's pairs leave over, which makes the weights
 a second, smaller exchange. Two pairs with equal 64-bit hashes would share
 their count, which is expected for one pair in 2**64 / (distinct pairs).
 
+Orders other than 2 take `Tables`: counts, discounted probabilities and backoff
+weights of each order are tables partitioned by order, and any documents are
+scored from them by joins, from the highest order down. It gives the same for
+order 2 (tested) and takes rows where the packed exchange takes bytes.
+
 Defined cases: a null or empty text is the end token alone; repeated documents
 count each time; an empty table gives no rows; without training documents all
 words are unknown and score as with one pseudo-count; a null doc_id is in
@@ -373,8 +378,124 @@ class Model:
             self.scale = (1 - self.unknown) * self.tokens / seen if seen else 1.0
 
 
-def score(docs: DataFrame) -> DataFrame:
+def _positions(order: int):
+    """A row for each token: hashes g1 .. g<order> of the n-grams that end there, and h2 .. of the histories before it."""
+
+    def run(batches):
+        import re
+
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        find = re.compile(WORD).findall
+        known: dict[str, int] = {}
+
+        def number(word: str) -> int:
+            got = known.get(word)
+            if got is None:
+                if len(known) > 500_000:
+                    known.clear()
+                got = xxhash.xxh64_intdigest(word.translate(LOWER).encode("utf-8", "surrogatepass"))
+                known[word] = got = got if got not in (END, START) else got + 2
+            return got
+
+        def mixed(x):  # the finalizer of splitmix64
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return x ^ (x >> np.uint64(31))
+
+        names = ["rid", "doc_id", "held", *[f"g{k}" for k in range(1, order + 1)], *[f"h{k}" for k in range(2, order + 1)]]
+        for batch in slices(batches, 1_000_000):
+            for n in range(batch.num_rows):
+                doc, text = batch.column("doc_id")[n].as_py(), batch.column("text")[n].as_py()
+                w = np.array([*[START] * (order - 1), *map(number, find(text or "")), END], dtype=np.uint64)
+                size = len(w) - order + 1
+                grams, histories = [], []
+                with np.errstate(over="ignore"):
+                    for k in range(1, order + 1):
+                        more = int(k < order)  # one place in front: the history of the first
+                        h = np.full(size + more, k, dtype=np.uint64)
+                        for j in range(order - k - more, order - more):
+                            h = mixed(h + w[j : j + size + more] + np.uint64(0x9E3779B97F4A7C15))
+                        grams.append(h[more:].view(np.int64))
+                        histories.append(h[: len(h) - more].view(np.int64))
+                rid = np.full(size, batch.column("rid")[n].as_py(), dtype=np.int64)
+                columns = [pa.array(rid), pa.array([doc] * size, pa.int64()), pa.array([is_held_out(doc)] * size, pa.bool_()), *map(pa.array, grams), *map(pa.array, histories[: order - 1])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _token_rows(docs: DataFrame, order: int) -> DataFrame:
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    longs = [f"g{k} bigint" for k in range(1, order + 1)] + [f"h{k} bigint" for k in range(2, order + 1)]
+    return table(rows.mapInArrow(_positions(order), "rid bigint, doc_id bigint, held boolean, " + ", ".join(longs)), "lm-positions")
+
+
+class Tables:
+    """A Katz model of any order in stored tables: `grams` (order, g, c, p) and `weights` (order, h, w); tokens, types and
+    unknown as in Model."""
+
+    def __init__(self, docs: DataFrame, order: int):
+        if order < 1:
+            raise ValueError("the order is at least 1")
+        self.order = order
+        train = _token_rows(docs, order).filter("not held")
+        counts = table(train.groupBy(F.col("g1").alias("g")).agg(F.count("*").alias("c")), "lm-words")
+        d = self._discounts(counts)
+        one = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.col("c") * self._part(d)).alias("kept")).first()
+        self.tokens, self.types, kept = one.n or 0, one.v or 0, one.kept or 0.0
+        scale = 1.0
+        self.unknown = 1 - kept / self.tokens if self.tokens else 1.0
+        if self.unknown <= 1e-12:
+            self.unknown = 1 / (self.tokens + 1)
+            scale = (1 - self.unknown) * self.tokens / kept if kept else 1.0
+        now = counts.select(F.lit(1).alias("order"), "g", "c", (F.col("c") * self._part(d) * scale / max(1, self.tokens)).alias("p"))
+        grams, weights = [table(now, "lm-grams", "order")], []
+        for k in range(2, order + 1):
+            counts = table(train.groupBy(F.col(f"g{k}").alias("g")).agg(F.count("*").alias("c"), F.min(f"h{k}").alias("h"), F.min(f"g{k - 1}").alias("low")), "lm-counts")
+            part = self._part(self._discounts(counts))
+            seen = counts.join(grams[-1].select(F.col("g").alias("low"), F.col("p").alias("q")), "low")
+            of = seen.groupBy("h").agg(F.sum("c").alias("total"), F.sum(F.col("c") * (1 - part)).alias("left"), F.sum("q").alias("lower"))
+            of = table(of.withColumn("some", F.col("left") > 1e-9), "lm-histories")
+            share = F.when(F.col("some"), F.col("left") / F.col("total")).otherwise(1 / (F.col("total") + 1))
+            weight = F.log10(share / F.greatest(1 - F.col("lower"), F.lit(1e-300)))
+            weights.append(table(of.select(F.lit(k).alias("order"), "h", weight.alias("w")), "lm-weights", "order"))
+            p = F.when(F.col("some"), F.col("c") * part / F.col("total")).otherwise(F.col("c") / (F.col("total") + 1))
+            grams.append(table(counts.join(of.select("h", "total", "some"), "h").select(F.lit(k).alias("order"), "g", "c", p.alias("p")), "lm-grams", "order"))
+        self.grams, self.weights = grams, weights
+
+    @staticmethod
+    def _discounts(counts: DataFrame) -> list[float]:
+        times = {r.c: r.n for r in counts.filter(F.col("c") <= K + 2).groupBy("c").agg(F.count("*").alias("n")).collect()}  # K + 2 rows
+        return discounts([times.get(r, 0) for r in range(K + 3)])
+
+    @staticmethod
+    def _part(d: list[float]):
+        """What a count keeps."""
+        return F.coalesce(F.get(F.array(*map(F.lit, d)), F.col("c").cast("int")), F.lit(1.0)) if len(d) > 1 else F.lit(1.0)
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """Scores of any documents, from the stored tables."""
+        rows = _token_rows(docs, self.order)
+        for k in range(self.order, 0, -1):
+            own = self.grams[k - 1].select(F.col("g").alias(f"g{k}"), F.col("p").alias(f"p{k}"), *([F.col("c").alias("c1")] if k == 1 else []))
+            rows = rows.join(own, f"g{k}", "left")
+            if k > 1:
+                rows = rows.join(self.weights[k - 2].select(F.col("h").alias(f"h{k}"), F.col("w").alias(f"w{k}")), f"h{k}", "left")
+        part = F.log10(F.coalesce("p1", F.lit(self.unknown)))
+        for k in range(2, self.order + 1):  # the recursion: a seen n-gram, else its history's weight and the order below
+            part = F.when(F.col(f"p{k}").isNotNull(), F.log10(f"p{k}")).otherwise(F.coalesce(f"w{k}", F.lit(0.0)) + part)
+        base = F.log10((F.coalesce("c1", F.lit(0)) + 1) / ((self.tokens + 1.0) * (self.types + 1)))
+        got = rows.groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.min("held").alias("held_out"), F.count("*").alias("n_tokens"), F.count("c1").alias("n_known"), F.sum(base).alias("base_score"), F.sum(part).alias("score"))
+        return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(self.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all docs, by a model of those in training."""
+    if order != 2:
+        return Tables(docs, order).score(docs)
     rows = table(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_slice, _SLICES), "lm-slices")
     m = Model(rows)
     answers = m.counts.filter("not model").groupBy("slice").agg(F.collect_list(F.struct("kind", "bucket", "n", "counts")).alias("answers"))  # of one slice

@@ -128,6 +128,58 @@ def test_katz_against_counts(spark, base):
     assert got == want
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_katz_of_other_orders(spark, order):
+    """Recursion over stored tables against plain counts; every history's probabilities sum to 1."""
+    rng = random.Random(13)
+    texts = [(k, " ".join(rng.choice("aabbcde") if rng.random() < 0.9 else f"r{rng.randint(0, 30)}" for _ in range(rng.randint(0, 40)))) for k in range(60)] + [(100, None), (None, "a B a")]
+    rows = [(i, [*[w.translate(LOWER) for w in words(t)], "END"]) for i, t in texts]
+    counts = [Counter() for _ in range(order + 1)]
+    for i, w in rows:
+        if not katz.is_held_out(i):
+            padded = ["START"] * (order - 1) + w
+            for k in range(1, order + 1):
+                counts[k].update(tuple(padded[j - k + 1 : j + 1]) for j in range(order - 1, len(padded)))
+    d = [None] + [katz.discounts([0] + [sum(x == r for x in c.values()) for r in range(1, katz.K + 3)]) for c in counts[1:]]
+    keeps = lambda k, c: d[k][c] * c if c < len(d[k]) else c
+    n, v = sum(counts[1].values()), len(counts[1])
+    unknown = 1 - sum(keeps(1, c) for c in counts[1].values()) / n
+    totals, follow = [Counter() for _ in counts], [{} for _ in counts]
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            totals[k][g[:-1]] += c
+            follow[k].setdefault(g[:-1], []).append(g)
+
+    def p(g):
+        k = len(g)
+        if k == 1:
+            return keeps(1, counts[1][g]) / n if g in counts[1] else unknown
+        h = g[:-1]
+        if h not in totals[k]:
+            return p(g[1:])
+        left = totals[k][h] - sum(keeps(k, counts[k][x]) for x in follow[k][h])
+        if g in counts[k]:
+            return keeps(k, counts[k][g]) / totals[k][h] if left > 1e-9 else counts[k][g] / (totals[k][h] + 1)
+        return (left / totals[k][h] if left > 1e-9 else 1 / (totals[k][h] + 1)) / (1 - sum(p(x[1:]) for x in follow[k][h])) * p(g[1:])
+
+    for h in list(totals[order])[:20]:
+        assert math.isclose(sum(p((*h, w)) for (w,) in counts[1]) + p((*h, "not a word")), 1)
+    got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in katz.score(spark.createDataFrame(texts, "doc_id bigint, text string"), order).collect())
+    want = Counter()
+    for i, w in rows:
+        padded = ["START"] * (order - 1) + w
+        s = sum(math.log10(p(tuple(padded[j - order + 1 : j + 1]))) for j in range(order - 1, len(padded)))
+        b = sum(math.log10((counts[1][x,] + 1) / ((n + 1) * (v + 1))) for x in w)
+        want[i, katz.is_held_out(i), len(w), sum((x,) in counts[1] for x in w), n, round(b, 5), round(s, 5)] += 1
+    assert got == want
+
+
+def test_katz_tables_like_packed(spark, base):
+    one = {(r.doc_id, r.n_tokens, round(r.score, 4)) for r in katz.score(base).collect()}
+    assert one == {(r.doc_id, r.n_tokens, round(r.score, 4)) for r in katz.Tables(base, 2).score(base).collect()}
+    assert katz.score(base.filter("false"), 3).isEmpty()
+
+
 def test_secrets_against_patterns(spark, base):
     a = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     for r in secrets.scan(base).collect():
