@@ -34,7 +34,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_TOKENS = 1 << 19
 PART_TOKENS = 1 << 26
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 400_000
 #: Unicode White_Space, fixed by the standard.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PUNCTUATION = r"!-&(-/:-@\[-`{-~"  # ASCII without the apostrophe, which starts pre-tokens like 's
