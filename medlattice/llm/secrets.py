@@ -8,7 +8,8 @@ SEQUENCE whose nested lengths fill exactly their parents and hold the fields
 of a key; an SSH key needs length-prefixed fields that fill the blob and a
 known algorithm name or the private container's magic. Lines that follow a body
 without padding look like more of it, so a body ends where the key's own lengths
-say, if the text has the end of a line, padding or a dashed line there.
+say, if the text has the end of a line, padding or a dashed line there. Hex that
+is the whole of a key or of a signed token is reported as such.
 
 The base kinds (assign, access, hex) come from their patterns alone and always
 stay; confirmed kinds (jwt, der, ssh) are added.
@@ -38,7 +39,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 BODY = re.compile(r"(?:M[A-P]|AAAA|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{30,}")
 ENCODED = re.compile(rf"(?<![A-Za-z0-9+/_-]){BODY.pattern}(?:\r?\n[A-Za-z0-9+/_-]+)*={{0,2}}")
-HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
+#: Hex of a SEQUENCE, of a field's length or the private container's magic, or of a token's first letters.
+HEX_KEY = re.compile(r"(?i)(?<![0-9a-f])(?:30|000000|6f70656e7373682d6b65792d7631|65794a)[0-9a-f]{48,}")
+MAX_KEY = 1 << 16  # bytes; a body that claims more is no key
 #: Signature bytes by algorithm (0: none; None: the length of the key).
 SIGNATURES = {"none": 0, "HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64, "RS256": None, "RS384": None, "RS512": None, "PS256": None, "PS384": None, "PS512": None}
 #: Names of SSH key algorithms.
@@ -171,6 +174,7 @@ def ssh_size(data: bytes) -> int | None:
 
 def _key_at(run: str) -> tuple[str, int] | None:
     """Kind and length in characters of the encoded key at the start of a run of lines."""
+    run = run[: 2 * MAX_KEY]  # its lines and their ends; more than a key of MAX_KEY bytes takes
     flat = re.sub(r"[\s=]", "", run).replace("-", "+").replace("_", "/")
     data = base64.b64decode(flat + "A" * (-len(flat) % 4))[: len(flat) * 3 // 4]
     kind, test, size = ("der", is_der_key, der_size(data)) if data[:1] == b"\x30" else ("ssh", is_ssh_key, ssh_size(data))
@@ -196,6 +200,19 @@ def _keys(run: str) -> list[tuple[int, str, int]]:
     return out
 
 
+def _hex_kind(digits: str) -> str | None:
+    """What a run of hex digits is the whole of."""
+    if len(digits) % 2:
+        return None
+    data = bytes.fromhex(digits)
+    if is_der_key(data):
+        return "der"
+    if is_ssh_key(data):
+        return "ssh"
+    token = TOKEN.fullmatch(data.decode("latin-1"))
+    return "jwt" if token and is_signed_token(*token.groups()) else None
+
+
 def find(text: str | None) -> list[tuple[int, str, int]]:
     """(start, kind, end) of all spans, by start, then kind as in KINDS."""
     if not text:
@@ -207,9 +224,9 @@ def find(text: str | None) -> list[tuple[int, str, int]]:
         out += [(m.start(), "jwt", m.end()) for m in TOKEN.finditer(text) if is_signed_token(*m.groups())]
     for m in ENCODED.finditer(text):
         out += [(m.start() + a, kind, m.start() + b) for a, kind, b in _keys(m[0])]
-    for m in HEX_DER.finditer(text):
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            out.append((m.start(), "der", m.end()))
+    for m in HEX_KEY.finditer(text):
+        if kind := _hex_kind(m[0]):
+            out.append((m.start(), kind, m.end()))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
@@ -254,7 +271,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), *[count(k) for k in KINDS[3:]])
 
 
 QUERIES = {"op4_secrets": op4_secrets}

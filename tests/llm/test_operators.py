@@ -207,6 +207,15 @@ def test_secret_structures():
     ssh = field(b"ssh-ed25519") + field(bytes(32))
     assert [k for _, k, _ in secrets.find("ssh-ed25519 " + base64.b64encode(ssh).decode())] == ["ssh"]
     assert not secrets.is_ssh_key(ssh[:-1])
+    for kind, data in (("ssh", ssh), ("der", der), ("jwt", good[4:-4].encode())):
+        for text in (data.hex(), data.hex().upper()):
+            assert [(k, a, b) for a, k, b in secrets.find(f"x {text}.") if k == kind] == [(kind, 2, 2 + len(text))], kind
+            assert kind not in [k for _, k, _ in secrets.find(f"x {text[:-2]}.")]
+    import time
+
+    began = time.time()
+    secrets.find("\n".join(["MAAA" + "A" * 60, "MIIE" + "B" * 60] * 3000))
+    assert time.time() - began < 20
 
 
 def test_secret_bodies_end_where_keys_do():
