@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder of spark.checkpoint.dir; only where that is unset, as in tests, in a temporary one."""
+    """df checkpointed in the folder of spark.checkpoint.dir; only where that is unset and the master is local, in a temporary one."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='medlattice-')}")
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: the cluster needs a shared folder")
+        sc.setCheckpointDir(shared or f"file://{tempfile.mkdtemp(prefix='medlattice-')}")
     return df.checkpoint()

@@ -55,10 +55,12 @@ def encounter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def observation_versions(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
+    own = Window.partitionBy("l_orderkey", "l_linenumber")
+    w = own.orderBy("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
     df = _load(spark, d, "lineitem").select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"),
         F.row_number().over(w).cast("bigint").alias("version"),
+        (F.row_number().over(w) == F.count("*").over(own)).alias("is_current"),  # the highest version; by the same shuffle
         F.col("l_returnflag").alias("code"),
         F.col("l_quantity").cast("bigint").alias("q"),
         DAY("l_shipdate").alias("d"),
@@ -70,9 +72,7 @@ def observation_versions(spark: SparkSession, d: str) -> DataFrame:
 
 def observation(spark: SparkSession, d: str) -> DataFrame:
     """One version a row of lineitem, current where it is the highest of its id."""
-    from medlattice.operators.history import mark_current
-
-    df = mark_current(observation_versions(spark, d))
+    df = observation_versions(spark, d)
     index = (ix.token("code", F.col("code"), "urn:flag"), ix.quantity("value-quantity", F.col("q"), "urn:unit"), ix.dates("date", F.col("d")), ix.reference("performer", F.col("performer")), ix.reference("encounter", F.col("encounter")))
     return df.withColumn("idx", ix.search_index(*index))
 
