@@ -17,13 +17,15 @@ WORD = rf"[^{SPACE}]+"
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir).
 
-    Only where it is unset, as in tests on one machine, a temporary folder of
-    the driver is made and set.
+    Only where it is unset and the master is local, as in tests on one machine,
+    a temporary folder of the driver is made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: the cluster needs a shared folder")
         root = f"file://{tempfile.mkdtemp(prefix='medlattice-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
