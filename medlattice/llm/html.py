@@ -46,8 +46,8 @@ from medlattice.llm.urls import host_of
 MIN_PAGES = 10
 #: Of a host's distinct pages: what is on fewer isn't its template, however often it occurs on a large host.
 MIN_SHARE = 0.01
-#: For prose inside articles.
-PROSE_SHARE = 0.5
+#: For prose inside articles: passages that many articles share are text, only what nearly every page has is the site's.
+PROSE_SHARE = 0.9
 MAX_BROADCAST = 500_000
 #: Elements of the HTML standard by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -447,7 +447,7 @@ def test_html_templates(spark):
 
 
 def test_html_template_counts(spark):
-    """Counts of subtrees by distinct articles, against plain Python; prose of articles needs half of a host's pages."""
+    """Counts of subtrees by distinct articles, against plain Python; prose of articles needs nearly all of a host's pages."""
     rng, rows = random.Random(8), []
     for k in range(60):
         inner = "".join(f"<{t}>{w}</{t}>" for t, w in ((rng.choice(["p", "div", "section"]), rng.choice("abcd")) for _ in range(rng.randint(1, 5))))
@@ -466,7 +466,7 @@ def test_html_template_counts(spark):
                 pages.add(page)
                 prose.add(inside and node.tag in html.PROSE)
             todo += [(c, inside) for c in node.children if isinstance(c, html.Node)]
-    want = {(*k, len(p)) for k, (p, prose) in want.items() if len(p) >= 3 and len(p) >= (0.5 if prose == {True} else 0.2) * len(pages_of[k[0]])}
+    want = {(*k, len(p)) for k, (p, prose) in want.items() if len(p) >= 3 and len(p) >= (html.PROSE_SHARE if prose == {True} else 0.2) * len(pages_of[k[0]])}
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     assert {tuple(r) for r in html.templates(pages, 3, 0.2).collect()} == want and len(want) > 5
 
