@@ -545,4 +545,16 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_jaccard_join": op7_jaccard_join}
-SQL: dict[str, str] = {}
+#: All pairs that share an n-gram, and what is reached over links.
+SQL = {
+    "op7_jaccard_join": r"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + least(len(w), 3) - 1], ' ') g from (select doc_id, w, unnest(range(1, len(w) - least(len(w), 3) + 2)) i from t where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join n a on x = a.doc_id join n b on y = b.doc_id where 100 * c >= 90 * (a.n + b.n - c)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id node, doc_id comp from n union select e.y, r.comp from r join e on r.node = e.x and r.comp < e.y)
+select t.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, coalesce((select min(comp) from r where node = t.doc_id), t.doc_id) component_id from t left join n using (doc_id)
+"""
+}

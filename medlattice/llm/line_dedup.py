@@ -216,4 +216,20 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_line_dedup": op6_line_dedup}
-SQL: dict[str, str] = {}
+#: Lines of the shortest runs with 50 words, from each line on and back, that any earlier document holds.
+SQL = {
+    "op6_line_dedup": r"""
+with d as (select doc_id, text, case when coalesce(text, '') = '' then []::varchar[] else string_split(text, chr(10)) end ls from documents),
+l as (select doc_id, k, ls[k] raw, trim(ls[k], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) t from (select doc_id, ls, unnest(range(1, len(ls) + 1)) k from d)),
+x as (select *, sum(w) over (partition by doc_id order by k) c, row_number() over (partition by doc_id order by k) j from (select doc_id, k, t, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) w from l where t <> '')),
+runs as (select a.doc_id, a.j, min(b.j) z from x a join x b on a.doc_id = b.doc_id and b.c >= a.c - a.w + 50 and b.j >= a.j group by all
+ union select b.doc_id, max(a.j), b.j from x b join x a on a.doc_id = b.doc_id and b.c >= a.c - a.w + 50 and a.j <= b.j group by b.doc_id, b.j),
+held as (select doc_id, list(t order by j) ts from x group by doc_id),
+keyed as (select r.doc_id, r.j, r.z, md5(array_to_string(ts[r.j : r.z], chr(10))) g from runs r join held using (doc_id)),
+gone as (select distinct doc_id, unnest(range(j, z + 1)) j from (select *, min(doc_id) over (partition by g) first from keyed) where first < doc_id),
+cut as (select l.doc_id, count(*) n_lines, count(gone.j) n_removed, coalesce(string_agg(raw, chr(10) order by l.k) filter (gone.j is null), '') kept
+ from l left join x on x.doc_id = l.doc_id and x.k = l.k left join gone on gone.doc_id = x.doc_id and gone.j = x.j group by l.doc_id)
+select d.doc_id, cast(coalesce(n_lines, 0) as bigint) n_lines, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(length(coalesce(kept, '')) as bigint) n_chars, sha256(coalesce(kept, '')) text_sha256
+from d left join cut using (doc_id)
+"""
+}
