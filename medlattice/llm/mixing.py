@@ -35,8 +35,10 @@ _ADDED = ("size", "source_size", "target", "times", "taken", "_hash", "_seq", "_
 
 
 def _hash(seed: int) -> Column:
-    """63 seeded bits of a document."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text")), 1)
+    """63 bits of a document, of which the upper 60 are seeded digest bits."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("~"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), text("doc_id"), text("source"), F.md5(text("text"))))
+    return F.shiftleft(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), 3)
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -156,5 +158,23 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_mix_sources": op10_mix_sources}
-#: The seeded sample is Spark's hash; sizes and targets are compared with SQL in the tests.
-SQL: dict[str, str] = {}
+#: Targets level by level, and each source in order of its documents' digests up to its target.
+SQL = {
+    "op10_mix_sources": r"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size,
+ cast('0x' || substr(md5(concat_ws('|', '42', coalesce(cast(doc_id as varchar), '~'), coalesce(source, '~'), md5(coalesce(text, '~')))), 1, 15) as bigint) h from documents),
+s as (select source, sum(size) n, row_number() over (order by source nulls last) - 1 k from d group by source),
+w as (select *, [5, 2, 1][k % 3 + 1] w, 2 * n cap, 1.5 * sum(n) over () wanted from s),
+f as (select *, sum(cap) over o - cap b, sum(w) over () - sum(w) over o + w open from w window o as (order by cap / w, source nulls last)),
+l as (select min_by((wanted - b) / open, cap / w) filter ((wanted - b) / open <= cap / w) level from f),
+t as (select source, n, case when level is null then cap else least(cap, level * w) end target from f, l),
+r as (select *, case when n > 0 then floor(target / n) else 0 end whole from t),
+g as (select source, h, count(*) c, max(size) size, sum(sum(size)) over (partition by source order by h) upto, sum(size) n from d group by source, h),
+c as (select r.*, target - whole * r.n need from r),
+x as (select c.source, min_by({'h': g.h, 'part': least(g.c, round((need - (upto - g.n)) / greatest(1, g.size)))}, g.h) best from c join g on c.source is not distinct from g.source where need > 0 and upto >= need group by c.source),
+o as (select d.*, row_number() over (partition by source, h) i from d)
+select o.doc_id, o.size, cast(c.n as bigint) source_size, c.target,
+ cast(o.size * (whole + case when need <= 0 then 0 when x.best is null or o.h < x.best.h then 1 when o.h = x.best.h and i <= x.best.part then 1 else 0 end) as bigint) taken
+from o join c on o.source is not distinct from c.source left join x on o.source is not distinct from x.source
+"""
+}
