@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,11 +54,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def table(df: DataFrame, name: str, *by: str) -> DataFrame:
+class _Made(threading.local):
+    """Paths that the tables of each open `temporary` lie at, in this thread."""
+
+    def __init__(self):
+        self.stack: list[list[str]] = []
+
+
+_MADE = _Made()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables made inside are deleted at the end, but for those made with keep."""
+    _MADE.stack.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.stack.pop():
+            delete_path(spark, path)
+
+
+def table(df: DataFrame, name: str, *by: str, keep: bool = False) -> DataFrame:
     """Write df once to the shared folder, partitioned by these columns, and
     read it back: lineage ends here, so a lost executor costs a re-read and no
     recomputation."""
     path = scratch_path(df.sparkSession, name)
+    if _MADE.stack and not keep:
+        _MADE.stack[-1].append(path)
     df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

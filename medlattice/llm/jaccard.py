@@ -47,7 +47,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlattice.llm.common import WORD, quoted, read, slices, table
+from medlattice.llm.common import WORD, quoted, read, slices, table, temporary
 from medlattice.llm.components import components
 
 N = 3
@@ -417,7 +417,12 @@ def paths(docs: DataFrame, n: int = N, percent: int = PERCENT, pivots: int = PIV
 
 
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT, pivots: int = PIVOTS, small: int = SMALL) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row for each row of docs."""
+    """doc_id, n_shingles, component_id, one row for each row of docs; written once, and what led to it is deleted."""
+    with temporary(docs.sparkSession):
+        return table(_join(docs, n, percent, pivots, small), "jaccard-joined", keep=True)
+
+
+def _join(docs: DataFrame, n: int, percent: int, pivots: int, small: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     feats = table(features(docs, n, percent, pivots), "jaccard-features")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medlattice.llm.common import read, scratch_path, slices
+from medlattice.llm.common import delete_path, read, scratch_path, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -253,6 +253,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     order = [F.col("doc_id").asc_nulls_first(), F.col("n").asc(), F.xxhash64("ids").asc()]  # rows of one id, and rows without one, spread too
     ordered = ids.drop("counts").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered.mapInArrow(_pack(spark.sparkContext.broadcast(freq), block_tokens, kind), "part bigint, block bigint, n_tokens bigint, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    delete_path(spark, held)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
