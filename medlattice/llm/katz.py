@@ -30,7 +30,8 @@ order 2 (tested) and takes rows where the packed exchange takes bytes.
 Defined cases: a null or empty text is the end token alone; repeated documents
 count each time; an empty table gives no rows; without training documents all
 words are unknown and score as with one pseudo-count; a null doc_id is in
-training (its remainder is undefined) and scored; other columns are ignored.
+training (its remainder is undefined) and scored; a doc_id that is no integer
+fails the cast; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ that one alignment can't hold: repeated, in another order or without anchors.
 Defined cases: a null or empty text has no lines with words and stays as it is;
 lines are compared after trimming; lines without words never match; ties of
 doc_id are ordered by a hash of the text, exact repeats of a row (same id and
-text) stay; rows without an id stay; an empty table gives no rows; columns of
+text) stay; rows without an id stay; a doc_id that is no integer fails the cast; an empty table gives no rows; columns of
 the input named like a result column give way to it.
 """
 

@@ -17,7 +17,8 @@ told otherwise; `ordinary` makes such strings ordinary text instead.
 
 Ids take 16 bits between the steps, or 32 where the vocabulary needs them.
 
-Defined cases: a null or empty text is the end id alone; repeated documents
+Defined cases: a doc_id that is no integer fails the cast;
+a null or empty text is the end id alone; repeated documents
 and ids are encoded each time they occur, next to each other; an empty table
 gives no rows; other columns are ignored.
 """

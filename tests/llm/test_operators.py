@@ -314,6 +314,28 @@ def test_lines(spark):
     assert line_dedup.patience([1, 2, 3, 4], [2, 9, 3, 1]) == [(1, 0), (2, 2)]
 
 
+def test_lines_of_ties_repeats_and_long_texts(spark):
+    """Exact repeats stay, of other texts with one id the one with the lesser hash keeps what they share, a long text is no trouble."""
+    p = " ".join(f"w{j}" for j in range(60))
+    long = "\n".join(f"line {k} of many" for k in range(20_000))
+    rows = [(1, p), (1, p), (1, f"{p}\nx"), (2, f"a\n{p}"), (3, long), (4, f"own\n{long}\nend"), (4, f"own\n{long}\nend"), (None, p), (5, None)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    ones = sorted(r.text for r in got if r.doc_id == 1)
+    assert len(got) == len(rows) and ones in ([p, p, "x"], ["", "", f"{p}\nx"])
+    rest = Counter((r.doc_id, r.text, r.n_removed) for r in got if r.doc_id != 1)
+    assert rest == Counter([(2, "a", 1), (3, long, 0), (4, "own\nend", 20_000), (4, "own\nend", 20_000), (None, p, 0), (5, None, 0)])
+
+
+def test_plans_beyond_broadcasts(spark, base, tmp_path, monkeypatch):
+    """The same rows where tables are too large to be broadcast."""
+    few = lambda: Counter(map(tuple, quality.judge(f := quality.features(base.select("doc_id", "text", "lang", "source")), quality.sketches(f)).collect()))
+    digests = lambda: Counter(map(tuple, tokens.token_digests(base).collect()))
+    want = few(), digests()
+    monkeypatch.setattr(quality, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(tokens, "_small", lambda first: False)
+    assert (few(), digests()) == want
+
+
 def test_lines_against_all_runs(spark):
     """A later document's lines in any run of 50 words that any earlier document holds go, whoever holds its parts."""
     long = lambda k: " ".join(f"{k}w{j}" for j in range(15))
