@@ -88,3 +88,8 @@ def test_streaming_promotion(spark, tmp_path):
     assert run([("b", 2, True), ("a", 1, False), ("c", 1, False)]) == [("a", 2, False), ("b", 2, True), ("c", 1, False)]
     promote.apply_batch(serving, spark.createDataFrame([("b", 1, False)], schema))
     assert len(serving.read().collect()) == 3
+
+
+def test_versions_per_minute(spark):
+    rows = spark.sql("select * from values (timestamp'2026-01-01 00:00:01'), (timestamp'2026-01-01 00:00:59'), (timestamp'2026-01-01 00:01:00') t(ingested_at)")
+    assert sorted((r.window.start.minute, r.n) for r in promote.versions_per_minute(rows).collect()) == [(0, 2), (1, 1)]
