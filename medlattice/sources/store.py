@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 _LOCKS: dict[str, threading.RLock] = {}
 BUCKETS = 8
+SPREAD = 256
+FILE_BYTES = 256 << 20
 KEY = "id"
 TIERS = ("bronze", "silver", "gold", "pending", "audit", "deadletter", "security")
 
@@ -136,7 +138,8 @@ class Table:
         """New parts that hold df: one folder for each bucket of ids."""
         folder = f"snapshot-{uuid.uuid4().hex}"
         if self.key in df.columns:
-            rows = df.withColumn("_bucket", self._bucket()).repartition(self.buckets, "_bucket")
+            spread = F.pmod(F.xxhash64(F.lit(1), F.col(self.key).cast("string")), F.lit(SPREAD))  # a large bucket is written by many tasks
+            rows = df.withColumn("_bucket", self._bucket()).repartition("_bucket", spread)
             rows.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
             got = [s.getPath().getName() for s in self._fs.listStatus(self._p(folder))]
             if own := sorted(f"{folder}/{x}" for x in got if x.startswith("_bucket=")):
@@ -201,10 +204,13 @@ class Table:
             old = self.read(at)
             return None if old is None else self._commit(self._write(old.filter(~F.coalesce(where, F.lit(False)))), at)
 
-    def compact(self, by: list[str] | str | None = KEY, files: int = 1, expected: int | None = None) -> int:
-        """Rewritten into `files` files: sorted by a column, so that row groups can be skipped, or by the interleaved bits of several."""
+    def compact(self, by: list[str] | str | None = KEY, files: int | None = None, expected: int | None = None) -> int:
+        """Rewritten into `files` files, by default as many as FILE_BYTES ask for: sorted by a column, so that row groups can be
+        skipped, or by the interleaved bits of several."""
         with self.lock:
             at = self.version() if expected is None else expected
+            if files is None:
+                files = 1 + sum(self._fs.getContentSummary(self._p(x)).getLength() for x in self.parts(at)) // FILE_BYTES
             old, folder = self.read(at), f"snapshot-{uuid.uuid4().hex}"
             keys = [c for c in ([by] if isinstance(by, str) else by or []) if c in old.columns]
             if len(keys) == 1:
