@@ -240,7 +240,16 @@ def discounts(n: list[int], k: int = K) -> list[float]:
     return [1.0, *[(r - part) / r for r in range(1, k + 1)]]
 
 
-def _answer(buckets: int, d1: list[float], d2: list[float], tokens: int, types: int, unknown: float, scale: float):
+def product(tokens: int, types: int) -> float:
+    return (tokens + 1.0) * (types + 1)
+
+
+def add_one(tokens: int, types: int) -> float:
+    """N + 1 * (V + 1): one is added to each known word and to one class of unknown ones."""
+    return tokens + 1.0 * (types + 1)
+
+
+def _answer(buckets: int, d1: list[float], d2: list[float], tokens: int, below: float, unknown: float, scale: float):
     """Each slice's scores but for the weights, the tokens that wait for these, and its share of each history's sums."""
 
     def taken(c, d):
@@ -267,7 +276,7 @@ def _answer(buckets: int, d1: list[float], d2: list[float], tokens: int, types:
                 left = c2 - taken(c2, d2)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     part = np.where(c2 > 0, np.log10((c2 - left) / total[s.first]), np.log10(p1)[s.second])
-                base = np.log10((c + 1) / ((tokens + 1) * (types + 1)))
+                base = np.log10((c + 1) / below)
                 certain = np.bincount(s.first, weights=(c2 > 0) & (left > 1e-9), minlength=s.size) > 0  # its pairs leave some mass
                 waits = ((c2 == 0) | ~certain[s.first])[s.pair]
                 starts = np.concatenate(([0], np.cumsum(s.lengths)[:-1]))
@@ -477,7 +486,7 @@ class Tables:
         """What a count keeps."""
         return F.coalesce(F.get(F.array(*map(F.lit, d)), F.col("c").cast("int")), F.lit(1.0)) if len(d) > 1 else F.lit(1.0)
 
-    def score(self, docs: DataFrame) -> DataFrame:
+    def score(self, docs: DataFrame, below=product) -> DataFrame:
         """Scores of any documents, from the stored tables."""
         rows = _token_rows(docs, self.order)
         for k in range(self.order, 0, -1):
@@ -488,19 +497,21 @@ class Tables:
         part = F.log10(F.coalesce("p1", F.lit(self.unknown)))
         for k in range(2, self.order + 1):  # the recursion: a seen n-gram, else its history's weight and the order below
             part = F.when(F.col(f"p{k}").isNotNull(), F.log10(f"p{k}")).otherwise(F.coalesce(f"w{k}", F.lit(0.0)) + part)
-        base = F.log10((F.coalesce("c1", F.lit(0)) + 1) / ((self.tokens + 1.0) * (self.types + 1)))
+        base = F.log10((F.coalesce("c1", F.lit(0)) + 1) / below(self.tokens, self.types))
         got = rows.groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.min("held").alias("held_out"), F.count("*").alias("n_tokens"), F.count("c1").alias("n_known"), F.sum(base).alias("base_score"), F.sum(part).alias("score"))
         return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(self.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def score(docs: DataFrame, order: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all docs, by a model of those in training."""
+def score(docs: DataFrame, order: int = 2, below=product) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all docs, by a model of those in training.
+
+    base_score sums log10((c + 1) / below(N, V)) of the tokens; c: a token's count, N: of all, V: distinct ones in training."""
     if order != 2:
-        return Tables(docs, order).score(docs)
+        return Tables(docs, order).score(docs, below)
     rows = table(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_slice, _SLICES), "lm-slices")
     m = Model(rows)
     answers = m.counts.filter("not model").groupBy("slice").agg(F.collect_list(F.struct("kind", "bucket", "n", "counts")).alias("answers"))  # of one slice
-    run = _answer(m.buckets, m.d1, m.d2, m.tokens, m.types, m.unknown, m.scale)
+    run = _answer(m.buckets, m.d1, m.d2, m.tokens, below(m.tokens, m.types), m.unknown, m.scale)
     state = table(rows.join(answers, "slice").mapInArrow(run, _STATE), "lm-state")
     weighed = state.select("slice", F.inline("asked")).groupBy("bucket").applyInArrow(_weigh(m.buckets), _WEIGHED)
     weights = table(weighed.withColumn("model", F.col("slice").isNull()), "lm-weights", "model")
@@ -515,7 +526,7 @@ def perplexity(scored: DataFrame) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return score(read(spark, sf_dir, "documents").select("doc_id", "text"), below=add_one)
 
 
 QUERIES = {"op3_lm_score": op3_lm_score}

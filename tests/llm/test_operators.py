@@ -128,6 +128,17 @@ def test_katz_against_counts(spark, base):
     assert got == want
 
 
+def test_katz_query_follows_the_contract(spark, base, monkeypatch):
+    """The query's base adds one to each known word and to one class of unknown ones: (c + 1) / (N + 1 * (V + 1))."""
+    monkeypatch.setattr(katz, "read", lambda *_: base)
+    rows = [(r.doc_id, [*[w.translate(LOWER) for w in words(r.text)], None]) for r in base.collect()]
+    train = Counter(x for i, w in rows if not katz.is_held_out(i) for x in w)
+    n, v = sum(train.values()), len(train)
+    want = Counter((i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(x in train for x in w), n, round(sum(math.log10((train[x] + 1) / (n + 1 * (v + 1))) for x in w), 4)) for i, w in rows)
+    got = katz.op3_lm_score(spark, D).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+
+
 @pytest.mark.parametrize("order", [1, 3, 4])
 def test_katz_of_other_orders(spark, order):
     """Recursion over stored tables against plain counts; every history's probabilities sum to 1."""
