@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -66,11 +67,15 @@ _MADE = _Made()
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables made inside are deleted at the end, but for those made with keep."""
+    """Tables made inside are deleted at the end; those made with keep belong to the `temporary` around it, if any.
+    What a query inside has shuffled is deleted when the query ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(CLEANUP, None)
     _MADE.stack.append([])
+    spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
         for path in _MADE.stack.pop():
             delete_path(spark, path)
 
@@ -80,8 +85,8 @@ def table(df: DataFrame, name: str, *by: str, keep: bool = False) -> DataFrame:
     read it back: lineage ends here, so a lost executor costs a re-read and no
     recomputation."""
     path = scratch_path(df.sparkSession, name)
-    if _MADE.stack and not keep:
-        _MADE.stack[-1].append(path)
+    if len(_MADE.stack) > keep:
+        _MADE.stack[-1 - keep].append(path)
     df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

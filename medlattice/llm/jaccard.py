@@ -60,6 +60,7 @@ SMALL = 4096
 REPLICAS = 4
 SKETCH_BITS = 512
 WIDE_BITS = 2048  # for pairs, which are fewer than the entries of regions
+FEW_IDS = 1_000_000  # up to so many ids are broadcast to find their texts
 LOWER = {c: c + 32 for c in range(65, 91)}
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -422,40 +423,50 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT, pivots: int = PIVO
         return table(_join(docs, n, percent, pivots, small), "jaccard-joined", keep=True)
 
 
-def _join(docs: DataFrame, n: int, percent: int, pivots: int, small: int) -> DataFrame:
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    feats = table(features(docs, n, percent, pivots), "jaccard-features")
+def _several(entries: DataFrame) -> DataFrame:
+    """key, x, p of the regions with more than one document; a region of any size is dealt to several tasks."""
+    many = entries.groupBy("key").agg(F.min("x").alias("p"), F.max("x").alias("q")).filter("p <> q").select("key", "p")
+    return entries.select("key", "x").join(many, "key")
+
+
+def _prepared(feats: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of the features: sizes (doc_id, n of each row); alias (doc_id, node of documents that equal a lesser one); regions (key,
+    x, p); and what tells nodes apart (node, n, sketch, wide)."""
+    sizes = table(feats.select("doc_id", "n"), "jaccard-sizes", keep=True)
     known = feats.filter("doc_id is not null and n > 0")
     nodes = table(known.groupBy("print").agg(F.min("doc_id").alias("node")), "jaccard-nodes")  # equal sets are one node
     member = known.select("doc_id", "print").join(nodes, "print")
-    alias = table(member.filter("doc_id <> node").select("doc_id", "node").distinct(), "jaccard-copies")
+    alias = table(member.filter("doc_id <> node").select("doc_id", "node").distinct(), "jaccard-copies", keep=True)
+    # Voronoi regions hold any share of all documents and few entries; parts make many entries, nearly all of them alone with
+    # their key, and no large regions, as pivots take those: each of their entries is shuffled once.
+    voronoi = _several(known.select(F.explode(F.slice("keys", 1, F.col("near"))).alias("key"), F.col("doc_id").alias("x")))
+    parts = known.select(F.explode(F.slice("keys", F.col("near") + 1, F.greatest(F.lit(0), F.size("keys") - F.col("near")))).alias("key"), F.col("doc_id").alias("x"))
+    parts = parts.repartition("key").sortWithinPartitions("key", "x").mapInArrow(_met, "key bigint, x bigint, p bigint")
+    regions = table(voronoi.unionByName(parts), "jaccard-regions", keep=True)
+    info = known.groupBy(F.col("doc_id").alias("node")).agg(F.min("n").alias("n"), F.min("print").alias("a"), F.max("print").alias("b"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide"))
+    one_text = F.col("a") == F.col("b")  # else the sketches exclude nothing
+    info = table(info.select("node", *[F.when(one_text, F.col(c)).alias(c) for c in ("n", "sketch", "wide")]), "jaccard-sketches", keep=True)
+    return sizes, alias, regions, info
+
+
+def _join(docs: DataFrame, n: int, percent: int, pivots: int, small: int) -> DataFrame:
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    with temporary(spark):  # the keys of regions are most of the features, and are gone before texts are compared
+        feats = table(features(docs, n, percent, pivots), "jaccard-features")
+        sizes, alias, regions, info = _prepared(feats)
 
     def as_node(df: DataFrame, name: str) -> DataFrame:
         own = alias.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"))
         own = own.groupBy("_d").agg(F.min("_n").alias("_n"))
         return df.join(own, F.col(name) == F.col("_d"), "left").withColumn(name, F.coalesce("_n", name)).drop("_d", "_n")
 
-    def several(entries: DataFrame) -> DataFrame:
-        """key, x, p of the regions with more than one document; a region of any size is dealt to several tasks."""
-        many = entries.groupBy("key").agg(F.min("x").alias("p"), F.max("x").alias("q")).filter("p <> q").select("key", "p")
-        return entries.select("key", "x").join(many, "key")
-
     def tops(regions: DataFrame) -> DataFrame:
         """Pairs x, p with the least document of each region."""
         own = as_node(as_node(regions.filter("x <> p").select("x", "p").distinct(), "x"), "p").filter("x <> p")
         return own.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
 
-    # Voronoi regions hold any share of all documents and few entries; parts make many entries, nearly all of them alone with
-    # their key, and no large regions, as pivots take those: each of their entries is shuffled once.
-    voronoi = several(known.select(F.explode(F.slice("keys", 1, F.col("near"))).alias("key"), F.col("doc_id").alias("x")))
-    parts = known.select(F.explode(F.slice("keys", F.col("near") + 1, F.greatest(F.lit(0), F.size("keys") - F.col("near")))).alias("key"), F.col("doc_id").alias("x"))
-    parts = parts.repartition("key").sortWithinPartitions("key", "x").mapInArrow(_met, "key bigint, x bigint, p bigint")
-    regions = table(voronoi.unionByName(parts), "jaccard-regions")
     first = tops(regions)
-    info = known.groupBy(F.col("doc_id").alias("node")).agg(F.min("n").alias("n"), F.min("print").alias("a"), F.max("print").alias("b"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide"))
-    one_text = F.col("a") == F.col("b")  # else the sketches exclude nothing
-    info = table(info.select("node", *[F.when(one_text, F.col(c)).alias(c) for c in ("n", "sketch", "wide")]), "jaccard-sketches")
 
     def possible(df: DataFrame) -> DataFrame:
         """Pairs x, p that sizes and sketches don't exclude."""
@@ -499,8 +510,8 @@ def _join(docs: DataFrame, n: int, percent: int, pivots: int, small: int) -> Dat
             parts = table(parts.mapInArrow(_divide(n, sets), "key bigint, x bigint, c bigint, keys array<bigint>"), "jaccard-divided")
             better = parts.groupBy("key").agg(F.sum(F.size("keys")).alias("e"), F.max("c").alias("c")).filter(F.col("e") <= REPLICAS * F.col("c")).select("key")
             parts = parts.join(better, "key", "left_semi").select(F.explode("keys").alias("key"), "x", F.col("c").alias("before"))
-            deeper = table(several(parts), "jaccard-regions")
-            sizes = parts.groupBy("key").agg(F.max("before").alias("before"))
+            deeper = table(_several(parts), "jaccard-regions")
+            above = parts.groupBy("key").agg(F.max("before").alias("before"))
             block = F.pmod(F.xxhash64("x"), F.ceil(F.col("c") / small)).cast("int")
             dealt = large.join(better, "key", "left_anti").select("key", "x", "component", block.alias("b"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("c") / small) - 1).cast("int"))).alias("j"))
             rows = rows.unionByName(dealt.select(F.xxhash64("key", F.least("b", "j"), F.greatest("b", "j")).alias("key"), "x", "component"))
@@ -521,9 +532,9 @@ def _join(docs: DataFrame, n: int, percent: int, pivots: int, small: int) -> Dat
             found = components(links)
         if deeper is None:
             break
-        open_ = table(split(labelled(deeper.select("key", "x").distinct().join(sizes, "key"))), "jaccard-open")
+        open_ = table(split(labelled(deeper.select("key", "x").distinct().join(above, "key"))), "jaccard-open")
     of_doc = found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-    out = feats.select("doc_id", F.col("n").alias("n_shingles")).join(of_doc, "doc_id", "left")
+    out = sizes.select("doc_id", F.col("n").alias("n_shingles")).join(of_doc, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -532,8 +543,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text: one text for each node."""
-    return docs.join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text"))
+    """node, text: one text for each node (node, distinct). Other documents' texts aren't shuffled while the nodes are few."""
+    nodes = nodes.withColumnRenamed("node", "doc_id")
+    return docs.join(nodes.hint("broadcast" if nodes.count() <= FEW_IDS else "merge"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text"))
 
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

@@ -1,3 +1,4 @@
+import glob
 import math
 import random
 import re
@@ -711,3 +712,25 @@ def test_pipeline_of_odd_tables(spark, clashing, tmp_path):
             now = stage(spark, now, f"{tmp_path}/{name}").cache()
             assert k + 1 == len(corpus_pipeline.STAGES) or now.columns == clashing.columns
         assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == now.count() and (now.count() > 50) == (name == "odd")
+
+
+def test_jaccard_leaves_little_on_disk(spark, base, monkeypatch):
+    """Before texts are compared the features are gone; only texts that are compared are shuffled, and shuffles end with their query."""
+    from medlattice.llm import common
+
+    folder, real, seen = common.scratch_root(spark).removeprefix("file:"), jaccard._verified, []
+
+    def verified(*args):
+        seen.append((glob.glob(f"{folder}/medlattice/jaccard-features-*"), args[2]._jdf.queryExecution().toString(), spark.conf.get(common.CLEANUP)))
+        return real(*args)
+
+    monkeypatch.setattr(jaccard, "_verified", verified)
+    before = spark.conf.get(common.CLEANUP)
+    jaccard.join(base).count()
+    assert seen and all(not made and "BroadcastHashJoin" in plan and clean == "true" for made, plan, clean in seen)
+    assert spark.conf.get(common.CLEANUP) == before
+    monkeypatch.setattr(jaccard, "_verified", real)
+    rows = lambda: sorted(jaccard.join(base).collect(), key=str)
+    few = rows()
+    monkeypatch.setattr(jaccard, "FEW_IDS", 0)
+    assert rows() == few
