@@ -53,15 +53,35 @@ def delete(stored: DataFrame, ids: DataFrame, now: str) -> tuple[DataFrame, Data
     return rows.filter(live).withColumns(made).drop("_there"), gone
 
 
+def _sets(requests: DataFrame) -> DataFrame:
+    """request, all: its conditions (code, value, system, any: of any system), sorted."""
+    one = F.struct("code", "value", F.coalesce("system", F.lit("")).alias("system"), F.col("system").isNull().alias("any"))
+    return requests.groupBy("request").agg(F.array_sort(F.collect_set(one)).alias("all"))  # of one request
+
+
+def _candidates(wanted: DataFrame, current: DataFrame) -> DataFrame:
+    """all, id of rows that meet the condition of each set which the fewest entries meet, systems aside."""
+    sets = wanted.select("all").distinct()
+    pairs = F.array_distinct(F.transform("idx", lambda s: F.struct(s["code"].alias("code"), s["value"].alias("value"))))
+    entries = current.select("id", F.explode(pairs).alias("s")).select("id", "s.code", "s.value")
+    asked = sets.select("all", F.explode("all").alias("c")).select("all", "c.code", "c.value")
+    sizes = entries.groupBy("code", "value").agg(F.count("*").alias("n"))
+    rarest = asked.join(sizes, ["code", "value"], "left").groupBy("all").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "code", "value")).alias("r"))
+    return rarest.filter("r.n > 0").select("all", "r.code", "r.value").join(entries, ["code", "value"]).select("all", "id")
+
+
 def matched(requests: DataFrame, current: DataFrame) -> DataFrame:
     """request, hits, hit (the least id) of conditions (request, code, value, system or null) over the index of current rows;
-    several conditions of a request must hold together."""
-    wanted = requests.groupBy("request").agg(F.count_distinct(F.struct("code", "value", "system")).alias("all"))
-    entries = current.select("id", F.explode("idx").alias("s")).select("id", F.col("s.code").alias("code"), F.col("s.value").alias("value"), F.col("s.system").alias("_system"))
-    met = requests.distinct().join(entries, ["code", "value"]).filter(F.col("system").isNull() | (F.col("system") == F.col("_system")))
-    ids = met.groupBy("request", "id").agg(F.count_distinct(F.struct("code", "value", "system")).alias("n")).join(wanted, "request").filter("n = all")
-    found = ids.groupBy("request").agg(F.count("*").alias("hits"), F.min("id").alias("hit"))
-    return wanted.select("request").join(found, "request", "left").fillna({"hits": 0})
+    several conditions of a request must hold together.
+
+    Requests that ask the same are looked up once, by their rarest condition; a row tells by its own index whether it meets
+    the others. So nothing is joined by a condition that most rows meet, unless a request has no other.
+    """
+    wanted = _sets(requests)
+    fits = lambda s, c: (s["code"] == c["code"]) & (s["value"] == c["value"]) & (c["any"] | (s["system"] == c["system"]))
+    met = _candidates(wanted, current).join(current.select("id", "idx"), "id").filter(F.forall("all", lambda c: F.exists("idx", lambda s: fits(s, c))))
+    found = met.groupBy("all").agg(F.count_distinct("id").alias("hits"), F.min("id").alias("hit"))
+    return wanted.join(found, "all", "left").select("request", "hits", "hit").fillna({"hits": 0})
 
 
 def conditional(requests: DataFrame, hits: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from medlattice.functions import fhirpath
 from medlattice.functions.schema import Schemas
-from medlattice.operators import graph, mpi, search, structure, terminology
+from medlattice.operators import graph, lifecycle, mpi, search, structure, terminology
 from medlattice.operators.maintenance import Maintenance
 from medlattice.plans.operations import DEFINITIONS, SCHEMAS
 from medlattice.sources import loaders
@@ -87,3 +87,17 @@ def test_maintenance_is_single_flight():
     assert m.tick() and m.runs == 2
     bad = Maintenance(lambda: 1 / 0, 1, clock=lambda: now[0])
     assert bad.tick() and bad.runs == 0 and len(bad.errors) == 1
+
+
+def test_common_conditions_are_not_joined(spark):
+    """Requests that ask the same are one, and a condition that all rows meet is looked up in the rows that the other one finds."""
+    idx = "array<struct<code:string,system:string,value:string>>"
+    rows = [(str(k), [("sex", "", "m"), ("mrn", "s" if k % 2 else "t", f"P{k // 2}"), ("mrn", "s", "all")]) for k in range(200)]
+    current = spark.createDataFrame(rows, f"id string, idx {idx}")
+    asks = {"both": [("sex", "m", None), ("mrn", "P3", "s")], "any": [("mrn", "P3", None), ("mrn", "P3", None)], "all": [("sex", "m", None)], "none": [("sex", "m", None), ("mrn", "x", None)], "other": [("sex", "f", None)], "null": [("sex", None, None)], "two": [("mrn", "P3", "s"), ("mrn", "P3", "t")], "like": [("mrn", "P3", "s"), ("sex", "m", None)]}
+    requests = spark.createDataFrame([(q, *c) for q, cs in asks.items() for c in cs] + [(f"r{k}", *c) for k in range(300) for c in asks["both"]], "request string, code string, value string, system string")
+    found = lifecycle.matched(requests, current)
+    joined = lifecycle._candidates(lifecycle._sets(requests), current).count()
+    assert joined <= 200 + 2 + 2 + 2 * 2  # what the rarest condition of each set finds
+    got = {r.request: (r.hits, r.hit) for r in found.collect()}
+    assert got == {"both": (1, "7"), "any": (2, "6"), "all": (200, "0"), "none": (0, None), "other": (0, None), "null": (0, None), "two": (0, None), "like": (1, "7")} | {f"r{k}": (1, "7") for k in range(300)}
