@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+ASKS = 100_000
+KEYS = ["kind", "system", "value"]
 _CONDITION = r"^([A-Za-z]+)\?identifier=([^|]*)\|(.+)$"
 
 
@@ -50,10 +52,23 @@ def new_id() -> Column:
     return F.substring(F.sha2(F.concat_ws("/", "bundle", F.col("n").cast("string")), 256), 1, 32)
 
 
-def _matches(wanted: DataFrame, stored: DataFrame) -> DataFrame:
-    """wanted (kind, system, value, distinct) with hits and one id of live stored identifiers (kind, system, value, id)."""
-    found = wanted.select("kind", "system", "value").distinct().join(stored, ["kind", "system", "value"])
-    return found.groupBy("kind", "system", "value").agg(F.countDistinct("id").alias("hits"), F.min("id").alias("hit"))
+def _salted(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """rows with _salt, which deals those that ask for the same over tasks of about ASKS, and all that don't ask by their place:
+    a join would send equal keys, nulls too, to one task. asked: kind, system, value, asks."""
+    many = asked.filter(F.col("asks") > ASKS).select(*KEYS, F.ceil(F.col("asks") / ASKS).alias("_tasks"))  # few: each has ASKS rows
+    place, asks = F.xxhash64("bundle", "n"), F.coalesce(F.col("kind") != "", F.lit(False)) & F.col("value").isNotNull()
+    salt = F.when(asks, F.pmod(place, F.coalesce("_tasks", F.lit(1)))).otherwise(-1 - F.pmod(place, F.lit(1 << 20)))
+    return rows.join(F.broadcast(many), KEYS, "left").withColumn("_salt", salt).drop("_tasks")
+
+
+def _matched(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """rows (bundle, n, kind, system, value, ...; kind '' or value null: asks for nothing) with hits and one id of live stored
+    identifiers (kind, system, value, id)."""
+    asked = rows.filter("kind <> '' and value is not null").groupBy(*KEYS).agg(F.count("*").alias("asks"))
+    found = asked.join(stored, KEYS).groupBy(*KEYS).agg(F.countDistinct("id").alias("hits"), F.min("id").alias("hit"), F.max("asks").alias("asks"))
+    tasks = F.greatest(F.lit(1), F.ceil(F.col("asks") / ASKS)).cast("bigint")
+    found = found.select(*KEYS, "hits", "hit", F.explode(F.sequence(F.lit(0).cast("bigint"), tasks - 1)).alias("_salt"))
+    return _salted(rows, asked).join(found, [*KEYS, "_salt"], "left").drop("_salt")
 
 
 def apply(entries: DataFrame, stored: DataFrame) -> DataFrame:
@@ -66,7 +81,7 @@ def apply(entries: DataFrame, stored: DataFrame) -> DataFrame:
     e = entries.withColumn("kind", F.get_json_object("body", "$.resourceType"))
     for k, c in enumerate(("system", "value"), 1):
         e = e.withColumn(c, F.nullif(F.regexp_extract(F.coalesce("if_none_exist", F.lit("")), r"^identifier=([^|]*)\|(.+)$", k), F.lit("")))
-    e = e.join(_matches(e.filter("value is not null"), stored), ["kind", "system", "value"], "left")
+    e = _matched(e, stored)
     post, put = F.col("method") == "POST", F.col("method") == "PUT"
     reason = (
         F.when(F.col("kind").isNull(), "no-type").when(~(post | put), "method").when(post & F.col("if_none_exist").isNotNull() & F.col("value").isNull(), "condition")
@@ -84,7 +99,8 @@ def apply(entries: DataFrame, stored: DataFrame) -> DataFrame:
     idents = F.from_json(F.get_json_object("body", "$.identifier"), "array<struct<system:string,value:string>>")
     own = e.select("bundle", "kind", "id", F.explode(idents).alias("i")).select("bundle", "kind", "id", F.coalesce("i.system", F.lit("")).alias("system"), F.col("i.value").alias("value"))
     own = own.groupBy("bundle", "kind", "system", "value").agg(F.countDistinct("id").alias("own_hits"), F.min("id").alias("own_hit"))
-    refs = refs.join(local, ["bundle", "ref"], "left").join(own, ["bundle", "kind", "system", "value"], "left").join(_matches(refs.filter("kind <> ''"), stored), ["kind", "system", "value"], "left")
+    refs = refs.join(local, ["bundle", "ref"], "left").join(own, ["bundle", "kind", "system", "value"], "left")
+    refs = _matched(refs, stored)
     found = F.when(F.col("kind") == "", F.when(F.col("places") == 1, F.col("local"))).otherwise(
         F.concat(F.col("kind"), F.lit("/"), F.when(F.col("own_hits").isNotNull(), F.when(F.col("own_hits") == 1, F.col("own_hit"))).otherwise(F.when(F.col("hits") == 1, F.col("hit"))))
     )

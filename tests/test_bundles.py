@@ -46,6 +46,18 @@ def test_bundle(spark):
     assert applied(spark, rows)["a", 1].id == got["a", 1].id and applied(spark, []) == {}
 
 
+def test_no_task_gets_all_that_ask_alike(spark, monkeypatch):
+    """Entries without a condition, and those with the same one, are dealt over keys of the join, with the same result."""
+    ask = {"resourceType": "Observation", "subject": {"reference": "Organization?identifier=|o"}}
+    rows = [(f"b{k}", 0, None, "POST", None, "identifier=s|1" if k % 2 else None, ask | ({"resourceType": "Patient"} if k % 2 else {})) for k in range(400)]
+    plain = {k: (r.status, r.id, r.body) for k, r in applied(spark, rows).items()}
+    monkeypatch.setattr(bundle, "ASKS", 20)
+    assert {k: (r.status, r.id, r.body) for k, r in applied(spark, rows).items()} == plain
+    e = spark.createDataFrame([(f"b{k}", 0, "Patient" if k % 2 else "Observation", "s" if k % 2 else None, "1" if k % 2 else None) for k in range(400)], "bundle string, n int, kind string, system string, value string")
+    asked = e.filter("value is not null").groupBy(*bundle.KEYS).count().withColumnRenamed("count", "asks")
+    assert max(r["count"] for r in bundle._salted(e, asked).groupBy(*bundle.KEYS, "_salt").count().collect()) <= 60
+
+
 def test_profile(spark):
     path = lambda p, i=None, **k: {"id": f"Observation.{i or p}", "path": f"Observation.{p}"} | k
     definition = {
