@@ -334,6 +334,15 @@ def with_index(df: DataFrame, known: dict[str, dict[str, dict]], schemas: Schema
     return parsed(df, schemas, kind).withColumn("idx", index(known, schemas, kind, F.col("r"))).drop("r")
 
 
+def index_rows(df: DataFrame, known: dict[str, dict[str, dict]], schemas: Schemas, kind: str, *keep: str) -> DataFrame:
+    """The columns kept of df (body_json, ...) and code, system, value: one row for each entry of the index.
+
+    The outer generator has no filter on its array inferred; that one would be pushed below the parsing, where each document
+    is parsed again for each parameter.
+    """
+    return with_index(df, known, schemas, kind).select(*keep, F.inline_outer("idx")).filter("code is not null")
+
+
 def invariants(rules: list[dict], schemas: Schemas, kind: str, root: Column) -> list[Column]:
     """An issue for each constraint {key, expression} that fails on the root; one that can't be compiled passes."""
     out = []

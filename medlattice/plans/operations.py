@@ -77,13 +77,12 @@ def _observations(spark, d):
 )
 def compiled_index(spark, d):
     """Index entries of observations by the registry's FHIRPath expressions."""
-    rows = fhirpath.with_index(_observations(spark, d), REGISTRY, SCHEMAS, "Observation")
-    return rows.select("id", "part", F.inline("idx"))
+    return fhirpath.index_rows(_observations(spark, d), REGISTRY, SCHEMAS, "Observation", "id", "part")
 
 
 @query("patient", "select id, 'family' code, '' system, family as value from patient union all select id, 'gender', '', gender from patient where gender is not null union all select id, 'identifier', 'urn:mrn', mrn from patient union all select id, 'mrn', 'urn:mrn', mrn from patient")
 def compiled_index_patient(spark, d):
-    return fhirpath.with_index(rs.patient(spark, d).drop("idx"), REGISTRY, SCHEMAS, "Patient").select("id", F.inline("idx"))
+    return fhirpath.index_rows(rs.patient(spark, d).drop("idx"), REGISTRY, SCHEMAS, "Patient", "id")
 
 
 @query("", "select code, type, expression from (values " + ", ".join(f"('{c}', '{p['type']}', '{p['expression'].replace(chr(39), chr(39) * 2)}')" for c, p in REGISTRY["Observation"].items()) + ") t(code, type, expression)")

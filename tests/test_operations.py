@@ -7,6 +7,7 @@ from medlattice.functions import fhirpath
 from medlattice.functions.schema import Schemas
 from medlattice.operators import graph, lifecycle, mpi, search, structure, terminology
 from medlattice.operators.maintenance import Maintenance
+from medlattice.plans import operations
 from medlattice.plans.operations import DEFINITIONS, SCHEMAS
 from medlattice.sources import loaders
 
@@ -44,6 +45,15 @@ def test_timing_entries(spark):
     assert [[e.value for e in r.idx] for r in rows] == [["2020", "2021", "2019"], [], []]
 
 
+def test_index_rows_parse_a_document_once(spark):
+    known = fhirpath.registry([{"code": c, "type": t, "base": ["Patient"], "expression": f"Patient.{e}"} for c, t, e in (("family", "string", "name.family"), ("gender", "token", "gender"))])
+    df = spark.createDataFrame([("1", '{"gender":"x","name":[{"family":"A"},{"family":"B"}]}'), ("2", "{}"), ("3", None), ("4", '{"gender":""}')], "id string, body_json string")
+    rows = fhirpath.index_rows(df, known, SCHEMAS, "Patient", "id")
+    assert sorted(map(tuple, rows.collect())) == [("1", "family", "", "a"), ("1", "family", "", "b"), ("1", "gender", "", "x")]
+    plans = [rows, operations.compiled_index(spark, "/root/testdata/sf0.001"), operations.compiled_index_patient(spark, "/root/testdata/sf0.001")]
+    assert [p._jdf.queryExecution().optimizedPlan().toString().count("from_json(") for p in plans] == [1, 1, 1]
+
+
 def test_structure_of_one_document():
     of = lambda doc: structure.structure_issues(doc, SCHEMAS.of("Patient"), "Patient")
     assert of({"resourceType": "Patient", "gender": "x", "_gender": {}, "name": [{"given": ["a"], "family": "b"}]}) == []
