@@ -15,9 +15,16 @@ def mark_current(df: DataFrame) -> DataFrame:
 
 
 def newest(df: DataFrame) -> DataFrame:
-    """One row an id, the highest version, tombstones included; partial aggregation keeps one row a task and id."""
+    """One row an id, the highest version, tombstones included; of equal versions the greatest row.
+
+    Rows are shuffled before they are sorted: a partial aggregation of whole rows would sort what a task reads, and a file's rows
+    are many. The window's order serves the aggregation too.
+    """
     own = [c for c in df.columns if c not in ("id", "version_id")]
-    best = df.groupBy("id").agg(F.max(F.struct("version_id", *own)).alias("r"))
+    if not own:
+        return df.groupBy("id").agg(F.max("version_id").alias("version_id"))
+    tops = df.withColumn("_top", F.max("version_id").over(Window.partitionBy("id"))).filter(F.col("version_id").eqNullSafe(F.col("_top")))
+    best = tops.groupBy("id").agg(F.max(F.struct("version_id", *own)).alias("r"))
     return best.select("id", "r.version_id", *[f"r.{c}" for c in own])
 
 

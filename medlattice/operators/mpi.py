@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from medlattice.operators.lineage import cut
 
@@ -35,8 +37,10 @@ def links(keys: DataFrame) -> DataFrame:
     """u, v: links that connect all who share a key unless their SSNs differ.
 
     Everybody meets the key's least holder without an SSN, who conflicts with nobody; in a key where all have one,
-    those with the same SSN meet. So a key of n holders gives n links, not n * n.
+    those with the same SSN meet. So a key of n holders gives n links, not n * n. The keys are written once, as they are joined to
+    their own aggregates.
     """
+    keys = cut(keys)
     free = keys.groupBy("key").agg(F.min(F.when(F.col("ssn").isNull(), F.col("id"))).alias("free"))
     same = keys.groupBy("key", "ssn").agg(F.min("id").alias("least"))
     joined = keys.join(free, "key").join(same.select("key", F.col("ssn").alias("_s"), "least"), (keys["key"] == same["key"]) & keys["ssn"].eqNullSafe(F.col("_s"))).select("id", F.coalesce("free", "least").alias("hub"))
@@ -44,18 +48,21 @@ def links(keys: DataFrame) -> DataFrame:
 
 
 def components(people: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component (least id), by passing least labels along links and jumping pointers; rounds grow with the logarithm of a path."""
+    """id, component (least id), by passing least labels along links and jumping pointers; rounds grow with the logarithm of a path.
+
+    The links are written once, not made again in each round, and rounds have those only who have links.
+    """
+    edges = cut(edges)
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    labels = people.select("id", F.col("id").alias("component"))
+    labels = people.select("id", F.col("id").alias("component")).join(both.select(F.col("u").alias("id")).distinct(), "id", "left_semi")
     while True:
         near = both.join(labels.select(F.col("id").alias("v"), "component"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
+        step = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        new = step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("far", "component")).alias("component"))
-        new = cut(new)
-        if new.join(labels.withColumnRenamed("component", "old"), "id").filter("component <> old").isEmpty():
-            return new
-        labels = new
+        new = cut(step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("far", "component")).alias("component"), "old"))
+        labels = new.drop("old")
+        if new.filter("component <> old").isEmpty():
+            return people.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def decisions(people: DataFrame, comps: DataFrame) -> DataFrame:
@@ -64,12 +71,11 @@ def decisions(people: DataFrame, comps: DataFrame) -> DataFrame:
     One member: link; two: merge, or the first guardrail that holds; more: multi_match. The survivor of a merge is the
     member updated last, of equals that with the smaller id.
     """
-    joined = people.join(comps, "id")
-    big = joined.groupBy("component").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
     # The members are the review's content: a steward picks among them. The rules need the count and the two ends only.
-    members = joined.groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"))
+    ids = people.select("id").join(comps, "id").groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    big = ids.select("component", F.array_join("ids", ",").alias("members"), F.size("ids").cast("bigint").alias("n"), F.get("ids", 0).alias("first"), F.element_at("ids", -1).alias("last"))
     a, b = (people.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("gender", "deceased", "active", "last_updated", "ssn")]) for side in ("first", "last"))
-    pair = big.join(members, "component").join(a, "first").join(b, "last")
+    pair = big.join(a, "first").join(b, "last")
     sex = lambda s: F.coalesce(f"{s}_gender", F.lit("unknown"))
     days = F.abs(F.unix_millis(F.try_to_timestamp("first_deceased")) - F.unix_millis(F.try_to_timestamp("last_deceased")))
     rule = (
@@ -129,21 +135,35 @@ def rewrite_body(body: str, to: dict[str, str]) -> str:
     return json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
 
 
-def rewrite_bodies(df: DataFrame, survivors: DataFrame) -> DataFrame:
-    """df with body_json rewritten; the survivors of the ids inside each body are joined to it, not broadcast."""
-    ids = F.array_distinct(F.regexp_extract_all("body_json", F.lit(r"Patient/([^/\"\\]+)"), F.lit(1)))
-    found = df.select("id", F.explode(ids).alias("merged")).join(survivors, "merged")
+def body_ids(body: Column | str) -> Column:
+    """The patient ids inside a document, each once."""
+    return F.array_distinct(F.regexp_extract_all(body, F.lit(r"Patient/([^/\"\\]+)"), F.lit(1)))
+
+
+def with_survivors(df: DataFrame, ids: Column, survivors: DataFrame) -> DataFrame:
+    """df with _to: merged -> survivor of each row's ids, null without any; they are joined to it, not broadcast."""
+    found = df.select("id", F.explode_outer(ids).alias("merged")).join(survivors, "merged")  # a filter on the ids would find them twice
     maps = found.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("merged", "survivor"))).alias("_to"))
+    return df.join(maps, "id", "left").select(*df.columns, "_to")
 
-    def run(batches):
-        import pyarrow as pa
 
-        for b in batches:
-            bodies = [rewrite_body(x, dict(m)) if m and x else x for x, m in zip(b.column("body_json").to_pylist(), b.column("_to").to_pylist())]
-            names = [c for c in b.schema.names if c != "_to"]
-            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.string()) if c == "body_json" else b.column(c) for c in names], names=names)
+@arrow_udf(T.StringType())
+def _rewritten(bodies, maps):
+    import pyarrow as pa
 
-    return df.join(maps, "id", "left").select(*df.columns, "_to").mapInArrow(run, df.schema)
+    return pa.array([rewrite_body(x, dict(m)) if m and x else x for x, m in zip(bodies.to_pylist(), maps.to_pylist())], pa.string())
+
+
+def rewritten(body: Column | str, to: Column | str) -> Column:
+    """A document with the ids of a map replaced; only documents that have such ids go through Python."""
+    body, to = (F.col(x) if isinstance(x, str) else x for x in (body, to))
+    return F.when(to.isNull(), body).otherwise(_rewritten(F.when(to.isNotNull(), body), to))
+
+
+def rewrite_bodies(df: DataFrame, survivors: DataFrame) -> DataFrame:
+    """df with body_json rewritten; the survivors of the ids inside each body are joined to it."""
+    rows = with_survivors(df, body_ids("body_json"), survivors)
+    return rows.withColumn("body_json", rewritten("body_json", "_to")).select(*df.columns)
 
 
 def member_match(asked: DataFrame, people: DataFrame) -> DataFrame:

@@ -279,7 +279,7 @@ def mpi_pairs(spark, d):
 
 def _decided(spark, d):
     """Decisions, written once: several operators join them."""
-    p = rs.people(spark, d)
+    p = cut(rs.people(spark, d))
     return cut(mpi.decisions(p, mpi.components(p, mpi.links(mpi.identifier_keys(p)))))
 
 

@@ -14,6 +14,11 @@ def _load(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to tasks by their key: a table's file may be one task, and documents and indexes are made of its rows."""
+    return df.repartition(F.col(key))
+
+
 def _row(df: DataFrame, *index, version=1) -> DataFrame:
     version = F.lit(version).cast("bigint") if isinstance(version, int) else version
     return df.withColumns({"idx": ix.search_index(*index), "version_id": version, "is_current": F.lit(True), "deleted": F.lit(False)})
@@ -24,7 +29,7 @@ def patient(spark: SparkSession, d: str) -> DataFrame:
     tens = F.floor(k / 20).cast("string")
     gender = F.when(k % 7 == 0, None).when(k % 3 == 0, "male").when(k % 3 == 1, "female").otherwise("unknown")
     mrn = F.when((k % 20).isin(0, 1), F.concat(F.lit("P"), tens)).when((k % 20).isin(2, 3, 4), F.concat(F.lit("T"), tens)).otherwise(F.concat(F.lit("S"), k.cast("string")))
-    df = _load(spark, d, "customer").select(
+    df = _dealt(_load(spark, d, "customer"), "c_custkey").select(
         k.cast("string").alias("id"),
         F.lower("c_name").alias("family"),
         gender.alias("gender"),
