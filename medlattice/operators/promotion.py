@@ -13,7 +13,7 @@ from medlattice.functions.schema import Schemas, flatten, without_null_columns
 from medlattice.operators.history import newest
 from medlattice.operators.lifecycle import uuid7
 from medlattice.operators.lineage import cut
-from medlattice.operators.mpi import identifier_keys, rewrite_bodies
+from medlattice.operators.mpi import body_ids, identifier_keys, rewritten, with_survivors
 from medlattice.operators.mpi import merges as merges_of
 from medlattice.sources.store import Table, retry
 
@@ -59,14 +59,16 @@ def apply_merges(current: DataFrame, merges: DataFrame) -> DataFrame:
     return rows.withColumns(new).select(*current.columns, "merged")
 
 
-def rewrite_index(df: DataFrame, survivors: DataFrame) -> DataFrame:
-    """df with `Patient/<merged>` values of idx turned to their survivor; the survivors of one row's ids are joined to it."""
-    refs = df.select("id", F.explode("idx").alias("s")).filter(F.col("s.value").startswith("Patient/"))
-    found = refs.select("id", F.substring("s.value", 9, 1 << 30).alias("merged")).distinct().join(survivors, "merged")
-    maps = found.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("Patient/"), "merged"), F.concat(F.lit("Patient/"), "survivor")))).alias("_to"))
-    moved = lambda s: F.struct(s["code"].alias("code"), s["system"].alias("system"), F.coalesce(F.element_at("_to", s["value"]), s["value"]).alias("value"))
-    rows = df.join(maps, "id", "left")
-    return rows.withColumn("idx", F.when(F.col("_to").isNull(), F.col("idx")).otherwise(F.transform("idx", moved))).select(*df.columns)
+def rewrite_documents(df: DataFrame, survivors: DataFrame) -> DataFrame:
+    """df with ids of merged patients in body_json and in `Patient/<merged>` values of idx turned to their survivor; the survivors
+    of all ids of one row are joined to it once, for both."""
+    values = F.transform(F.filter("idx", lambda s: s["value"].startswith("Patient/")), lambda s: F.substring(s["value"], 9, 1 << 30))
+    none = F.array().cast("array<string>")
+    rows = with_survivors(df, F.array_distinct(F.concat(F.coalesce(body_ids("body_json"), none), F.coalesce(values, none))), survivors)
+    to = lambda s: F.when(s["value"].startswith("Patient/"), F.concat(F.lit("Patient/"), F.element_at("_to", F.substring(s["value"], 9, 1 << 30))))
+    moved = lambda s: F.struct(s["code"].alias("code"), s["system"].alias("system"), F.coalesce(to(s), s["value"]).alias("value"))
+    new = {"body_json": rewritten("body_json", "_to"), "idx": F.when(F.col("_to").isNull(), F.col("idx")).otherwise(F.transform("idx", moved))}
+    return rows.withColumns(new).select(*df.columns)
 
 
 def patient_links(people: DataFrame, decided: DataFrame) -> DataFrame:
@@ -113,10 +115,10 @@ def provenance(history: DataFrame, now: str) -> DataFrame:
 
 
 def silver(current: DataFrame, schemas: Schemas, kind: str, now: str) -> DataFrame:
-    """Governance columns and the type's elements, without columns that are null everywhere."""
+    """Governance columns and the type's elements, without columns that are null everywhere; written once, as that takes two passes."""
     status = F.when(F.col("merged"), "merged").otherwise("pass") if "merged" in current.columns else F.lit("pass")
     rows = current.select(F.col("id").alias("silver_id"), F.col("id").alias("fhir_id"), "version_id", status.alias("silver_status"), F.lit(now).alias("governed_at"), F.coalesce("deleted", F.lit(False)).alias("deleted"), "body_json")
-    return without_null_columns(flatten(rows, schemas, kind, ("silver_id", "fhir_id", "version_id", "silver_status", "governed_at", "deleted")))
+    return without_null_columns(cut(flatten(rows, schemas, kind, ("silver_id", "fhir_id", "version_id", "silver_status", "governed_at", "deleted"))))
 
 
 def metrics(bronze: DataFrame, gold: DataFrame, silver_rows: DataFrame, decided: DataFrame | None = None) -> DataFrame:
@@ -130,14 +132,15 @@ def metrics(bronze: DataFrame, gold: DataFrame, silver_rows: DataFrame, decided:
 
 
 def promote_patients(bronze: DataFrame, merges: DataFrame) -> DataFrame:
-    """The Gold rows of patients: the newest version of each id with merges applied, merged ones out of searches."""
-    rows = apply_merges(newest(bronze), merges)
+    """The Gold rows of patients: the newest version of each id with merges applied, merged ones out of searches. The newest versions are
+    written once, as merges look into them several times."""
+    rows = apply_merges(cut(newest(bronze)), merges)
     return rows.withColumn("is_current", ~F.col("merged"))
 
 
 def promote_others(bronze: DataFrame, survivors: DataFrame) -> DataFrame:
     """The Gold rows of another type: the newest versions with bodies and indexes that refer to survivors."""
-    rows = rewrite_index(rewrite_bodies(newest(bronze), survivors), survivors)
+    rows = rewrite_documents(newest(bronze), survivors)
     return rows.withColumns({"is_current": F.lit(True), "merged": F.lit(False)})
 
 

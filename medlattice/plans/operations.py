@@ -284,7 +284,7 @@ def merge_provenance(spark, d):
 @query("decision", "select (select count(*) from patient) bronze_rows, (select count(*) from patient) current_ids, (select count(*) from patient) gold, (select count(*) from patient) silver, count(*) filter (decision = 'merge') merges, count(*) filter (decision not in ('merge', 'link')) reviews from decision")
 def promotion_metrics(spark, d):
     decided, bronze = _decided(spark, d), rs.patient(spark, d)
-    gold = promotion.promote_patients(bronze, mpi.merges(decided))
+    gold = cut(promotion.promote_patients(bronze, mpi.merges(decided)))
     return promotion.metrics(bronze, gold, promotion.silver(gold, SCHEMAS, "Patient", NOW), decided)
 
 
