@@ -55,3 +55,4 @@ def test_references_are_looked_up_in_one_pass(spark):
         "1": (ref("Patient/B/_history/1"), ["Patient/B"]), "2": (ref("x/Patient/A/_history/2"), ["Patient/A", "Group/a", "Patient/B", "Patient/c"]), "3": (ref("Patient/c"), ["Patient/c"]), "4": (None, None), "5": ("{}", ["Patient/A"]),
     }
     assert n.value <= 2 * len(rows)  # for the look-up and for the result
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [merged") == 1
